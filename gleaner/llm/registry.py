@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, topk, warc
+from . import jaccard, media, mixing, packing, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleaved_media": media.query,
     "op3_zip_warc": warc.query,
     "op4_water_filling_mix": mixing.query,
+    "op6_jaccard_groups": jaccard.query,
     "op9_vector_best_fit": packing.query,
     "op10_segment_topk": topk.query,
 }
 
 SQL: dict[str, str] = {
     "op4_water_filling_mix": mixing.ORACLE,
+    "op6_jaccard_groups": jaccard.ORACLE,
     "op10_segment_topk": topk.ORACLE,
 }
