@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, media, mixing, packing, topk, warc
+from . import jaccard, media, mixing, packing, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleaved_media": media.query,
     "op3_zip_warc": warc.query,
     "op4_water_filling_mix": mixing.query,
     "op6_jaccard_groups": jaccard.query,
+    "op7_compression_toxicity": toxicity.query,
     "op9_vector_best_fit": packing.query,
     "op10_segment_topk": topk.query,
 }
