@@ -80,14 +80,16 @@ def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
 
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words of each text with A-Z in lower case: text ends (offsets), codes and the batch's distinct words."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    split = pc.ascii_split_whitespace(texts)
     flat = split.flatten()
     keep = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     counts = np.concatenate([[0], np.cumsum(keep)])
     raw = split.offsets.to_numpy()
     ends = counts[raw - raw[0]]
     coded = flat.filter(pa.array(keep)).dictionary_encode()
-    return ends, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    lower = pc.ascii_lower(coded.dictionary).dictionary_encode()  # not of the texts: pyarrow 23 garbles slices of large strings
+    to_lower = lower.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return ends, to_lower[coded.indices.to_numpy(zero_copy_only=False)], lower.dictionary
 
 
 def hashes(words: pa.Array) -> np.ndarray:
