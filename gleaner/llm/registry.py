@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, media, mixing, packing, topk, toxicity, warc
+from . import jaccard, media, mixing, packing, pii, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleaved_media": media.query,
+    "op2_weak_pii": pii.query,
     "op3_zip_warc": warc.query,
     "op4_water_filling_mix": mixing.query,
     "op6_jaccard_groups": jaccard.query,
