@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: int
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 8 << 20):
                 rows = []
                 ends, ids = encode.ids(batch.column("text"))
                 for name, a, b in zip(batch.column("doc_id").to_pylist(), ends[:-1], ends[1:], strict=True):
