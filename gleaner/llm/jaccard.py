@@ -302,8 +302,8 @@ def links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, members: Dat
     return left.join(texts, "node").groupBy(*keys).cogroup(right.join(again, "node").groupBy(*keys)).applyInArrow(look, out)
 
 
-def clusters(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text)."""
+def classed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n and class of each row of `docs` (doc_id, text); class is null for empty sets."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = written(sketches(docs), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
@@ -333,9 +333,32 @@ def clusters(docs: DataFrame) -> DataFrame:
     far = links(docs, where, candidates, inside)
 
     whole = components(near.union(far))
-    named_ = seen.join(whole, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    least = named_.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return named_.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return seen.join(whole, "node", "left").select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("class"))
+
+
+def clusters(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text)."""
+    found = written(classed(docs), "classes")
+    least = found.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
+    return found.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, without those whose component has a lesser doc_id (null last; equal ones: a lesser hash of the text).
+
+    Rows that equal one another in doc_id and text count once, whichever stays. Documents with empty sets all stay.
+    """
+    found = written(classed(docs), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    kept = found.where("class IS NOT NULL").groupBy("class").agg(F.min(order).alias("kept"))
+    gone = found.join(kept, "class").where(order != F.col("kept")).select("doc_id", "text_key").distinct()
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & F.col("d._key").eqNullSafe(F.col("g.text_key"))
+    left = keyed.alias("d").join(gone.alias("g"), same, "left_anti")
+    if found.where("class IS NOT NULL").groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count():
+        whole = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
+        left = left.where(whole).dropDuplicates(["doc_id", "_key"]).unionByName(left.where(~whole))
+    return left.drop("_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,31 +47,67 @@ def plan(sizes: DataFrame, total_share: float, max_epochs: float, weights: tuple
     return kept.select("source", "source_size", F.coalesce(F.least("clamp", F.col("level") * F.col("weight")), F.col("clamp")).alias("target"))
 
 
-def mix(docs: DataFrame, total_share: float = 1.5, max_epochs: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 0) -> DataFrame:
-    """doc_id, size, source, source_size, target and taken for each document of `docs` (doc_id, text, source)."""
-    key = order_key(seed)
-    seen = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")), "mixing")
+def _settled(docs: DataFrame, total_share: float, max_epochs: float, weights: tuple[int, ...], seed: int) -> tuple[DataFrame, DataFrame]:
+    """The documents' sizes and order keys, written, and the plan: a row for each source and salt."""
+    seen = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order_key(seed).alias("key")), "mixing")
     seen = seen.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     buckets = written(seen.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mixing-buckets")
     targets = plan(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), total_share, max_epochs, weights)
     targets = targets.withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     targets = targets.withColumn("more", F.round(F.col("target") - F.col("times") * F.col("source_size")).cast("long"))
+    # 65,536 sums for a source at most, whatever its share of the documents.
     lines = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     borders = buckets.withColumn("before", F.coalesce(F.sum("words").over(lines), F.lit(0)))
     borders = borders.alias("a").join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
     borders = borders.where("before <= more AND more < before + words").groupBy(F.col("a.source").alias("source")).agg(F.min_by("bucket", "before").alias("border"), F.min("before").alias("before"))
     full = targets.alias("t").join(borders.alias("b"), F.col("t.source").eqNullSafe(F.col("b.source")), "left").select("t.*", "b.border", "b.before")
     # A source may hold a third of all rows: its plan is repeated for each salt, its documents are dealt among them.
-    full = full.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return seen, full.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _planned(seen: DataFrame, full: DataFrame, *more: str) -> DataFrame:
+    """`seen` with its source's plan; Spark broadcasts the plan if it measures it small, and else deals both by source and salt."""
     dealt = seen.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-    cols = ["doc_id", "size", "d.source", "source_size", "target", "times", "more", "border", "before", "bucket", "key"]
-    joined = dealt.alias("d").join(full.alias("f"), F.col("d.source").eqNullSafe(F.col("f.source")) & (F.col("d.salt") == F.col("f.salt"))).select(*cols)
-    out = ["doc_id", "size", "source", "source_size", "target"]
-    whole = joined.where("border IS NULL OR bucket <> border").withColumn("extra", F.when(F.col("border").isNull(), F.when(F.col("more") > 0, F.col("size")).otherwise(F.lit(0))).when(F.col("bucket") < F.col("border"), F.col("size")).otherwise(F.lit(0)))
+    cols = [*more, "doc_id", "size", "d.source", "source_size", "target", "times", "more", "border", "before", "bucket", "key"]
+    return dealt.alias("d").join(full.alias("f"), F.col("d.source").eqNullSafe(F.col("f.source")) & (F.col("d.salt") == F.col("f.salt"))).select(*cols)
+
+
+def _whole(of: str = "") -> Column:
+    """Words beyond whole repetitions that a document outside its source's border bucket gives."""
+    c = lambda name: F.col(f"{of}{name}")
+    return F.when(c("border").isNull(), F.when(c("more") > 0, c("size")).otherwise(F.lit(0))).when(c("bucket") < c("border"), c("size")).otherwise(F.lit(0))
+
+
+def _cut(joined: DataFrame) -> DataFrame:
+    """The documents of border buckets, with `extra`: the words that each gives beyond whole repetitions."""
     run = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("more") - F.col("before") - F.coalesce(F.sum("size").over(run), F.lit(0))
-    cut = joined.where("bucket = border").withColumn("extra", F.greatest(F.least(left, F.col("size")), F.lit(0)))
-    return whole.select(*out, "times", "extra").unionByName(cut.select(*out, "times", "extra")).select(*out, (F.col("times") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+    return joined.where("bucket = border").withColumn("extra", F.greatest(F.least(left, F.col("size")), F.lit(0)))
+
+
+def mix(docs: DataFrame, total_share: float = 1.5, max_epochs: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 0) -> DataFrame:
+    """doc_id, size, source, source_size, target and taken for each document of `docs` (doc_id, text, source)."""
+    joined = _planned(*_settled(docs, total_share, max_epochs, weights, seed))
+    out = ["doc_id", "size", "source", "source_size", "target"]
+    whole = joined.where("border IS NULL OR bucket <> border").withColumn("extra", _whole())
+    every = whole.select(*out, "times", "extra").unionByName(_cut(joined).select(*out, "times", "extra"))
+    return every.select(*out, (F.col("times") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+
+
+def repeated(docs: DataFrame, total_share: float = 1.5, max_epochs: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 0) -> DataFrame:
+    """The mix itself: rows of `docs`, all columns, as often as it takes them; a part of a document counts if it is half or more.
+
+    A document without words comes as often as its source is repeated whole.
+    """
+    seen, full = _settled(docs, total_share, max_epochs, weights, seed)
+    # The borders' decisions are few, a bucket for each source; the documents themselves are joined to the plan in place.
+    cut = _cut(_planned(seen, full)).groupBy("source", "key").agg(F.max("extra").alias("_extra"))
+    text = docs.withColumns({"key": order_key(seed), "size": word_count(F.col("text"))}).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+    rest = [f"d.{c}" for c in docs.columns if c not in ("doc_id", "source")]
+    joined = _planned(text, full, *rest).alias("j").join(cut.alias("c"), F.col("j.source").eqNullSafe(F.col("c.source")) & (F.col("j.key") == F.col("c.key")), "left")
+    extra = F.when(F.col("j.bucket") == F.col("j.border"), F.coalesce("c._extra", F.lit(0))).otherwise(_whole("j."))
+    copies = F.col("j.times") + F.when((F.col("j.size") > 0) & (2 * extra >= F.col("j.size")), 1).otherwise(0)
+    return joined.select(*[F.col(f"j.{c}").alias(c) for c in docs.columns], F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_copy")).drop("_copy")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,22 +182,35 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(toxic, ordinary, tuple(beta), tuple(centre), tuple(scale), share)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score and predicted of each row of `docs` (doc_id, text)."""
-    out = "doc_id long, score double"
-    schema = to_arrow_schema(T._parse_datatype_string(out))
+def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """`docs` with a column for the score of its `text`."""
+    if name in docs.columns:
+        raise ValueError(f"the input has a column named {name}")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    arrow = to_arrow_schema(schema)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distances = Distances(model.toxic, model.ordinary)
         for whole in batches:
             for batch in slices(whole, "text"):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(distances.features(texts_of(batch, "text"))))], schema=schema)
+                found = pa.array(model.scores(distances.features(texts_of(batch, "text"))))
+                yield pa.RecordBatch.from_arrays([batch.column(c).cast(arrow.field(c).type) for c in docs.columns] + [found], schema=arrow)
+
+    return docs.mapInArrow(score, schema)
+
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, out)
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score and predicted of each row of `docs` (doc_id, text)."""
+    found = with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs`, all columns, that score under 0.5."""
+    return with_score(docs, model, "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scored(docs, fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
