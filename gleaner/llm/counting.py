@@ -97,7 +97,7 @@ def with_leaves(docs: DataFrame, tokenizer: str | None = None, text: str = "text
     """`docs` with its trees' lowest level in column `leaves`."""
     if "leaves" in docs.columns:
         raise ValueError("the input has a column named leaves")
-    path = tokenizer or default_tokenizer()
+    path, columns = tokenizer or default_tokenizer(), docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("leaves", LEAVES)])
     arrow = to_arrow_schema(schema)
 
@@ -113,7 +113,7 @@ def with_leaves(docs: DataFrame, tokenizer: str | None = None, text: str = "text
                 sums = [np.add.reduceat(x[piece], heads) if len(heads) else np.zeros(0, np.int64) for x in (chars, tokens)]
                 values = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in sums], fields=list(arrow.field("leaves").type.value_type))
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(heads, ends).astype(np.int32)), values, type=arrow.field("leaves").type)
-                yield pa.RecordBatch.from_arrays([batch.column(c).cast(arrow.field(c).type) for c in docs.columns] + [lists], schema=arrow)
+                yield pa.RecordBatch.from_arrays([batch.column(c).cast(arrow.field(c).type) for c in columns] + [lists], schema=arrow)
 
     return docs.mapInArrow(build, schema)
 

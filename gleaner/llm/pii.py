@@ -75,18 +75,19 @@ def passes(x: Column) -> Column:
     return F.when(x["kind"] == "email", F.lit(True)).when(x["kind"] == "ip", x["said"].rlike(OCTETS)).when(x["kind"] == "card", card).when(x["kind"] == "phone", n.between(9, 15)).otherwise(F.lit(False))
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, base (structs start, kind, end) and candidates (start, kind, end, base, votes, features) of each document."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def spans(docs: DataFrame, *kept: str) -> DataFrame:
+    """Columns `kept` and found (structs start, kind, end, base, votes, features; base tells base spans) of each document."""
+    text = F.coalesce(F.col("_text"), F.lit(""))
     none = F.array().cast("array<struct<start:int,kind:string,end:int,said:string>>")
     digit, at = text.rlike("[0-9]"), F.contains(text, F.lit("@"))
     only = {"email": at, "ip": digit, "card": digit, "phone": F.contains(text, F.lit("+")), "local": digit}
-    found = docs.select("doc_id", text.alias("text")).withColumns({f"_{k}": F.when(only[k], matches(text, p, k)).otherwise(none) if k in only else F.when(text.rlike(p), matches(text, p, k)).otherwise(none) for k, p in (BASE | WIDER).items()})
+    docs = docs.select(*kept, F.col("text").alias("_text"))
+    found = docs.select(*kept, text.alias("_text")).withColumns({f"_{k}": F.when(only[k], matches(text, p, k)).otherwise(none) if k in only else F.when(text.rlike(p), matches(text, p, k)).otherwise(none) for k, p in (BASE | WIDER).items()})
     every = F.concat(*[F.col(f"_{k}") for k in (*BASE, *WIDER)])
 
     def judged(x: Column) -> Column:
-        before = F.substring("text", F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
-        around = F.concat(F.when(x["start"] > 0, F.substring("text", F.greatest(x["start"], F.lit(1)), F.lit(1))).otherwise(F.lit(" ")), F.substring("text", x["end"] + 1, F.lit(1)))
+        before = F.substring("_text", F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
+        around = F.concat(F.when(x["start"] > 0, F.substring("_text", F.greatest(x["start"], F.lit(1)), F.lit(1))).otherwise(F.lit(" ")), F.substring("_text", x["end"] + 1, F.lit(1)))
         good, size = passes(x), x["end"] - x["start"]
         digits = F.length(F.regexp_replace(x["said"], "[^0-9]", ""))
         strict = F.when(x["kind"] == "secret", size >= 24).when(x["kind"] == "local", digits == 10).when(x["kind"] == "name", size >= 6).otherwise(good)
@@ -98,7 +99,7 @@ def spans(docs: DataFrame) -> DataFrame:
         votes = [form.alias("format"), listed.alias("gazetteer"), cue.alias("cue"), edge.alias("edge")]
         return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), good.alias("base"), F.struct(*votes).alias("votes"), F.struct(F.concat_ws(":", x["kind"], F.when(good, "passed").otherwise("wider")).alias("kind"), length.alias("length"), cue.cast("string").alias("cue"), edge.cast("string").alias("edge")).alias("features"))
 
-    return found.select("doc_id", F.transform(every, judged).alias("found"))
+    return found.select(*kept, F.transform(every, judged).alias("found"))
 
 
 def reliabilities(patterns: DataFrame, rounds: int = 25) -> tuple[float, dict[str, dict[int, tuple[float, float]]]]:
@@ -152,10 +153,9 @@ def _text_of(spans_: Column) -> Column:
     return F.array_join(F.transform(spans_, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, base and spans (structs start, place, kind, end; by start, then kind as listed) of `docs` (doc_id, text)."""
-    judged = written(spans(docs), "spans")
-    bias, weights = train(judged)
+def settled(judged: DataFrame, bias: float, weights: dict[tuple[str, str], float]) -> DataFrame:
+    """`judged` with base and spans (structs start, place, kind, end; by start, then kind as listed) in place of found."""
+    kept = [c for c in judged.columns if c != "found"]
 
     def score(x: Column) -> Column:
         odds = F.lit(bias)
@@ -174,7 +174,13 @@ def detect(docs: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("at"), none.alias("out")),
         lambda s, x: F.when(x["start"] >= s["at"], F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s),
     )["out"]
-    return judged.select("doc_id", base.alias("base"), more.alias("more")).select("doc_id", "base", F.sort_array(F.concat("base", apart)).alias("spans"))
+    return judged.select(*kept, base.alias("base"), more.alias("more")).select(*kept, "base", F.sort_array(F.concat("base", apart)).alias("spans"))
+
+
+def detect(docs: DataFrame) -> DataFrame:
+    """doc_id, base and spans of each row of `docs` (doc_id, text)."""
+    judged = written(spans(docs, "doc_id"), "spans")
+    return settled(judged, *train(judged))
 
 
 def redacted(text: Column, spans_: Column) -> Column:
@@ -190,6 +196,16 @@ def redacted(text: Column, spans_: Column) -> Column:
     return F.when(F.size(spans_) > 0, F.concat(F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.length(text)))).otherwise(text)
 
 
+def without_spans(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, with the spans of their texts redacted; null texts stay null."""
+    clash = {"found", "base", "more", "spans", "_text"} & set(docs.columns)
+    if clash:
+        raise ValueError(f"the input has columns named {sorted(clash)}")
+    bias, weights = train(written(spans(docs), "spans"))
+    found = settled(spans(docs, *docs.columns), bias, weights)
+    return found.select(*[redacted(F.col("text"), F.col("spans")).alias("text") if c == "text" else c for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")

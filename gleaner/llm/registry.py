@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, media, mixing, packing, pii, topk, toxicity, warc
+from . import counting, jaccard, media, mixing, packing, pii, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleaved_media": media.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_water_filling_mix": mixing.query,
     "op6_jaccard_groups": jaccard.query,
     "op7_compression_toxicity": toxicity.query,
+    "op8_edit_aware_counts": counting.query,
     "op9_vector_best_fit": packing.query,
     "op10_segment_topk": topk.query,
 }

@@ -186,7 +186,7 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """`docs` with a column for the score of its `text`."""
     if name in docs.columns:
         raise ValueError(f"the input has a column named {name}")
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    columns, schema = docs.columns, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     arrow = to_arrow_schema(schema)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +194,7 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text"):
                 found = pa.array(model.scores(distances.features(texts_of(batch, "text"))))
-                yield pa.RecordBatch.from_arrays([batch.column(c).cast(arrow.field(c).type) for c in docs.columns] + [found], schema=arrow)
+                yield pa.RecordBatch.from_arrays([batch.column(c).cast(arrow.field(c).type) for c in columns] + [found], schema=arrow)
 
     return docs.mapInArrow(score, schema)
 
