@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counting, jaccard, media, mixing, packing, pii, topk, toxicity, warc
+from . import counting, jaccard, katz, media, mixing, packing, pii, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleaved_media": media.query,
     "op2_weak_pii": pii.query,
     "op3_zip_warc": warc.query,
     "op4_water_filling_mix": mixing.query,
+    "op5_katz_backoff": katz.query,
     "op6_jaccard_groups": jaccard.query,
     "op7_compression_toxicity": toxicity.query,
     "op8_edit_aware_counts": counting.query,
