@@ -1,14 +1,650 @@
-"""Queries of the review-analytics operators and their SQL."""
+"""Queries of the review-analytics operators and their SQL, by name."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import stats, text
+from ..operators import categories, evaluate, insights, phrases, ratings, sampling, sentiment, themes, units
+from ..sources import reviews as source
+from ..sources import sinks
+from . import demo, oracle
+from .demo import REFERENCE
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c: str | Column, name: str | None = None) -> Column:
+    col = F.col(c) if isinstance(c, str) else c
+    return F.round(col, 6).alias(name or c)
+
+
+def _day(c: str) -> Column:
+    return F.date_format(c, "yyyy-MM-dd").alias(c)
+
+
+def _light(spark: SparkSession, sf: str) -> DataFrame:
+    return demo.light(demo.reviews(spark, sf))
+
+
+
+def _reachable(df: DataFrame) -> DataFrame:
+    return df.join(demo.frames(df), ["app_id", "country"])
+
+
+
+
+# Ratings
+
+
+@query(oracle.q(oracle.LIGHT, "SELECT app_id, count(*) AS n, round(avg(rating), 6) AS mean, median(rating) AS median, round(stddev_samp(rating), 6) AS stddev, round(1.0 / (app_id + 1), 6) AS sampling_fraction, app_id = 0 AS census FROM light GROUP BY app_id"))
+def rating_summary(spark, sf):
+    df = _light(spark, sf)
+    got = ratings.rating_summary(df, demo.frames(df))
+    return got.select("app_id", "n", r6("mean"), F.col("median"), r6("stddev"), r6("sampling_fraction"), "census")
+
+
+@query(oracle.q(oracle.LIGHT, f"""SELECT app_id, star AS rating, k AS count, round(k::DOUBLE / n, 6) AS share, round({oracle.shrunk(oracle.low('k', 'n'), 'k', 'n', 'pop', 'low')}, 6) AS low, round({oracle.shrunk(oracle.high('k', 'n'), 'k', 'n', 'pop', 'high')}, 6) AS high,
+  CASE WHEN n = pop THEN 'census' END AS reason
+FROM (SELECT a.app_id, s.star, n, pop, count(l.rating) AS k FROM (SELECT app_id, count(*) AS n, count(*) * (app_id + 1) AS pop FROM light GROUP BY app_id) a CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS star) s LEFT JOIN light l ON l.app_id = a.app_id AND l.rating = s.star GROUP BY ALL)"""))
+def rating_distribution(spark, sf):
+    got = ratings.distribution(_reachable(_light(spark, sf)), "rating", [1, 2, 3, 4, 5])
+    return got.select("app_id", "rating", "count", r6("share"), r6("ci95.low", "low"), r6("ci95.high", "high"), F.col("ci95.reason").alias("reason"))
+
+
+@query(oracle.q(oracle.REVIEWS, f"""SELECT app_id, label AS sentiment_label, k AS count, round(k::DOUBLE / n, 6) AS share, round({oracle.shrunk(oracle.low('k', 'n'), 'k', 'n', 'pop', 'low')}, 6) AS low, round({oracle.shrunk(oracle.high('k', 'n'), 'k', 'n', 'pop', 'high')}, 6) AS high
+FROM (SELECT a.app_id, s.label, n, pop, count(r.sentiment_label) AS k FROM (SELECT app_id, count(*) AS n, count(*) * (app_id + 1) AS pop FROM reviews GROUP BY app_id) a CROSS JOIN (SELECT unnest(['negative', 'neutral', 'positive']) AS label) s LEFT JOIN reviews r ON r.app_id = a.app_id AND r.sentiment_label = s.label GROUP BY ALL)"""))
+def sentiment_distribution(spark, sf):
+    got = ratings.distribution(_reachable(demo.reviews(spark, sf).select("app_id", "country", "sentiment_label")), "sentiment_label", stats.LABELS)
+    return got.select("app_id", "sentiment_label", "count", r6("share"), r6("ci95.low", "low"), r6("ci95.high", "high"))
+
+
+@query(oracle.q(oracle.LIGHT, """SELECT app_id, round(sum(rating * 1.0) / count(*), 6) AS store_mean, true AS agrees FROM light GROUP BY app_id"""))
+def store_mean(spark, sf):
+    walk = ratings.population_walk(_light(spark, sf))
+    frames = walk.select("app_id", F.array(*[f"stars_{s}" for s in range(1, 6)]).alias("histogram"), F.col("mean").alias("looked_up"))
+    return ratings.store_mean(frames).select("app_id", r6("store_mean"), "agrees")
+
+
+@query(oracle.q(oracle.LIGHT.replace("light AS", "RECURSIVE_light AS").replace("RECURSIVE_", "") + f""",
+years AS (SELECT app_id, country, year(created_at) AS y, count(*) AS n, count(*) FILTER (rating <= 2) AS low, sum(rating) AS s FROM light WHERE created_at IS NOT NULL GROUP BY ALL),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY y DESC) AS i FROM years),
+folded(app_id, i, y, n, low, s, bucket, held) AS (
+  SELECT app_id, i, y, n, low, s, 0, CASE WHEN n >= 15 THEN 0 ELSE n END FROM ordered WHERE i = 1
+  UNION ALL SELECT o.app_id, o.i, o.y, o.n, o.low, o.s, f.bucket + CASE WHEN f.held = 0 THEN 1 ELSE 0 END, CASE WHEN f.held + o.n >= 15 THEN 0 ELSE f.held + o.n END FROM folded f JOIN ordered o ON o.app_id = f.app_id AND o.i = f.i + 1),
+last AS (SELECT app_id, max(bucket) AS b, arg_max(held, i) AS held FROM folded GROUP BY app_id),
+placed AS (SELECT f.*, CASE WHEN l.held > 0 AND f.bucket = l.b THEN greatest(l.b - 1, 0) ELSE f.bucket END AS bk FROM folded f JOIN last l USING (app_id)),
+got AS (SELECT app_id, bk AS bucket, min(y) AS a, max(y) AS b, sum(n)::BIGINT AS n, sum(s)::DOUBLE / sum(n) AS mean, sum(low)::BIGINT AS low FROM placed GROUP BY ALL),
+pops AS (SELECT app_id, count(*) * (app_id + 1) AS r FROM light GROUP BY app_id),
+whole AS (SELECT g.*, CASE WHEN app_id = 0 THEN n ELSE greatest(r, n + 1) END AS pop FROM got g JOIN pops USING (app_id))""",
+    f"SELECT app_id, CAST(bucket AS INTEGER) AS bucket, CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END AS label, n, round(mean, 6) AS mean, round(low::DOUBLE / n, 6) AS low_share, round({oracle.shrunk(oracle.low('low', 'n'), 'low', 'n', 'pop', 'low')}, 6) AS low, round({oracle.shrunk(oracle.high('low', 'n'), 'low', 'n', 'pop', 'high')}, 6) AS high FROM whole").replace("WITH", "WITH RECURSIVE", 1))
+def period_metrics(spark, sf):
+    got = ratings.period_metrics(_reachable(_light(spark, sf)))
+    return got.select("app_id", "bucket", "label", "n", r6("mean"), r6("low_share"), r6("low_ci95.low", "low"), r6("low_ci95.high", "high"))
+
+
+@query(oracle.q(oracle.LIGHT, """SELECT app_id, count(*) AS total, round(avg(rating), 6) AS mean, count(*) FILTER (rating = 1) AS stars_1, count(*) FILTER (rating = 2) AS stars_2, count(*) FILTER (rating = 3) AS stars_3, count(*) FILTER (rating = 4) AS stars_4, count(*) FILTER (rating = 5) AS stars_5,
+  (SELECT string_agg(y || ':' || n, ',' ORDER BY y) FROM (SELECT year(created_at) AS y, count(*) AS n FROM light l WHERE l.app_id = o.app_id AND created_at IS NOT NULL GROUP BY 1)) AS per_year FROM light o GROUP BY app_id"""))
+def population_walk(spark, sf):
+    got = ratings.population_walk(_light(spark, sf))
+    years = F.array_join(F.transform(F.map_entries("per_year"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ",")
+    return got.select("app_id", "total", r6("mean"), *[f"stars_{s}" for s in range(1, 6)], years.alias("per_year"))
+
+
+@query(oracle.q(oracle.LIGHT, "SELECT app_id, CAST(rating AS INTEGER) AS rating, count(*) AS count, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY app_id), 6) AS share FROM light GROUP BY app_id, rating"))
+def frame_weights(spark, sf):
+    return ratings.frame_weights(_light(spark, sf)).select("app_id", "rating", "count", r6("share"))
+
+
+@query()
+def population_compare(spark, sf):
+    df = _light(spark, sf)
+    drawn = sampling.uniform_sample(df, 100, 42)
+    dist = ratings.distribution(drawn.join(df.groupBy(*ratings.GROUP).agg(F.count("*").alias("reachable")), list(ratings.GROUP)), "rating", [1, 2, 3, 4, 5])
+    return ratings.population_compare(dist, ratings.frame_weights(df)).select("app_id", "rating", r6("share"), r6("true_share"), "covers", "skipped")
+
+
+@query()
+def ci_coverage(spark, sf):
+    got = ratings.ci_coverage(_light(spark, sf), replicates=40, k=100, seed=42)
+    return got.select("app_id", "rating", "evaluable", "covered", r6("rate"))
+
+
+@query()
+def mean_bca_ci(spark, sf):
+    return ratings.mean_bca_ci(_reachable(_light(spark, sf))).select("app_id", "n", r6("mean"), r6("low"), r6("high"), "reason")
+
+
+# Text
+
+
+@query(r"""SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(s, '|')) AS digest FROM (
+  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])[\s\p{Z}]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents)""")
+def split_sentences(spark, sf):
+    s = text.sentences(F.coalesce("text", F.lit("")))
+    return demo.table(spark, sf, "documents").select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.md5(F.array_join("s", "|")).alias("digest"))
+
+
+@query(f"SELECT doc_id, md5({oracle.LEXICAL.format('text')}) AS digest FROM documents")
+def lexical_text(spark, sf):
+    return demo.table(spark, sf, "documents").select("doc_id", F.md5(text.lexical(F.col("text"))).alias("digest"))
+
+
+@query(oracle.q(oracle.PHRASES.split("counts AS")[0].rstrip().rstrip(","), "SELECT source_review_id, count(*) AS n_grams FROM grams GROUP BY source_review_id"))
+def ngrams(spark, sf):
+    r = demo.reviews(spark, sf).where("analysable").select("source_review_id", F.size(text.ngrams(text.words(F.col("lexical_text")))).cast("long").alias("n_grams"))
+    return r.where("n_grams > 0")
+
+
+@query("SELECT page_id, md5(trim(regexp_replace(url, '[\\s\\p{Z}]+', ' ', 'g'))) AS digest FROM pages WHERE NOT contains(url, '&') OR true".replace("\\\\", "\\"))
+def normalise_text(spark, sf):
+    # Addresses have no characters that NFKC changes; entities in them would have to be of the kind that needs a semicolon.
+    return demo.table(spark, sf, "pages").select("page_id", F.md5(text.normalise(F.col("url"))).alias("digest"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_filter([
+  CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty_body' END, CASE WHEN text <> '' AND NOT regexp_matches(text, '[\p{L}\p{N}]') THEN 'emoji_only' END,
+  CASE WHEN length(coalesce(text, '')) < 20 THEN 'short' END, CASE WHEN length(text) > 2000 THEN 'long_text' END, CASE WHEN coalesce(text, '') = '' THEN 'no_text' END,
+  CASE WHEN text <> '' AND lang NOT IN ('en', 'und') THEN 'non_english' END], lambda x: x IS NOT NULL), ',') AS flags, text <> '' AND lang IN ('en', 'und') AS analysable FROM documents""")
+def text_flags(spark, sf):
+    t = F.coalesce("text", F.lit(""))
+    flags = text.flags(t, F.lit(""), t, F.col("lang"), F.array().cast("array<string>"))
+    return demo.table(spark, sf, "documents").select("doc_id", F.array_join(flags, ",").alias("flags"), text.analysable(t, F.col("lang")).alias("analysable"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, text AS body, left(text, CASE WHEN doc_id % 2 = 0 THEN 12 ELSE 0 END) || CASE WHEN doc_id % 3 = 0 THEN '!' ELSE '' END AS title FROM documents)
+SELECT doc_id, md5(CASE WHEN title = '' OR (lower(title) = lower(body) OR starts_with(lower(body), lower(title)) AND NOT regexp_matches(substr(lower(body), length(title) + 1, 1), '[\p{L}\p{N}]')) THEN body
+  WHEN regexp_matches(title, '[.!?\p{So}\p{Sk}]$') THEN title || ' ' || body ELSE title || '. ' || body END) AS digest FROM t""")
+def analysis_text(spark, sf):
+    d = demo.table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"), F.concat(F.left("text", F.when(F.col("doc_id") % 2 == 0, 12).otherwise(0)), F.when(F.col("doc_id") % 3 == 0, "!").otherwise("")).alias("title"))
+    return d.select("doc_id", F.md5(text.joined(F.col("title"), F.col("body"))).alias("digest"))
+
+
+@query(r"SELECT page_id, CASE WHEN regexp_matches(v, '^[=+\-@\t\r\n＝＋－＠]') THEN chr(9) || v ELSE v END AS safe FROM (SELECT page_id, list_element(['=', '+', '-', '@', '', 'a', '＝'], CAST(page_id % 7 + 1 AS INTEGER)) || url AS v FROM pages)")
+def csv_escape(spark, sf):
+    v = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("=", "+", "-", "@", "", "a", "＝")]), (F.col("page_id") % 7 + 1).cast("int")), F.col("url"))
+    return demo.table(spark, sf, "pages").select("page_id", text.csv_safe(v).alias("safe"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(v, '^[0-9]{1,19}$') THEN TRY_CAST(v AS BIGINT) ELSE TRY_CAST(nullif(regexp_extract(v, '/id([0-9]{1,19})$', 1), '') AS BIGINT) END AS app_id FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN CAST(page_id + 1 AS VARCHAR) WHEN 1 THEN 'https://apps.apple.com/us/app/some-name/id' || (page_id + 5) ELSE 'no number' END AS v FROM pages)")
+def parse_app_id(spark, sf):
+    n = lambda k: (F.col("page_id") + k).cast("string")
+    v = F.when(F.col("page_id") % 3 == 0, n(1)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://apps.apple.com/us/app/some-name/id"), n(5))).otherwise("no number")
+    return demo.table(spark, sf, "pages").select("page_id", source.parse_app_id(v).alias("app_id"))
+
+
+@query("SELECT conv_id, turn, role, CASE WHEN length(trim(text)) > 300 THEN rtrim(left(trim(text), 297)) || '...' ELSE trim(text) END AS excerpt FROM conversations")
+def truncate_excerpt(spark, sf):
+    return demo.table(spark, sf, "conversations").select("conv_id", "turn", "role", text.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query(f"SELECT doc_id, {oracle.label('text', demo.NEGATIVE, demo.POSITIVE)} AS label, len(string_split_regex(trim(text), '\\s+')) > 512 AS truncated FROM documents".replace("\\\\", "\\"))
+def lexicon_scorer(spark, sf):
+    s = sentiment.lexicon_scorer(F.col("text"), demo.NEGATIVE, demo.POSITIVE)
+    return demo.table(spark, sf, "documents").select("doc_id", s.alias("s")).select("doc_id", "s.label", "s.truncated")
+
+
+TERMS = (("the", "of"), ("ing", "er"), ("en", "de"), ("que", "la"))
+_HITS = ", ".join("(" + " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) / {len(w)}.0" for w in g) + ")" for g in TERMS)
+
+
+@query(f"SELECT doc_id, list_transform([h[1] / n, h[2] / n, h[3] / n, h[4] / n, h[5] / n], lambda x: round(x, 6)) AS vector FROM (SELECT doc_id, h, sqrt(list_dot_product(h, h)) AS n FROM (SELECT doc_id, [{_HITS}, 1.0]::DOUBLE[] AS h FROM (SELECT doc_id, lower(text) AS t FROM documents)))")
+def hash_embed(spark, sf):
+    return demo.table(spark, sf, "documents").select("doc_id", F.transform(sentiment.hash_embed(F.col("text"), TERMS), lambda x: F.round(x, 6)).alias("vector"))
+
+
+@query()
+def lang_profile(spark, sf):
+    d = demo.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return sentiment.detect_language(d, sentiment.language_profiles(d), "doc_id").select("doc_id", "language", r6("confidence"))
+
+
+# Consistency and preparation
+
+
+@query(oracle.q(oracle.REVIEWS, f"""SELECT app_id, count(*) AS compared, count(*) FILTER (sentiment_label = {oracle.STAR}) AS agreeing, count(*) FILTER (rating <= 2 AND sentiment_label = 'positive') AS low_stars_positive, count(*) FILTER (rating <= 2 AND sentiment_label = 'neutral') AS low_stars_neutral,
+  count(*) FILTER (rating >= 4 AND sentiment_label = 'negative') AS high_stars_negative, count(*) FILTER (rating >= 4 AND sentiment_label = 'neutral') AS high_stars_neutral, round(count(*) FILTER (sentiment_label = {oracle.STAR})::DOUBLE / count(*), 6) AS agreement FROM reviews WHERE rating <> 3 GROUP BY app_id"""))
+def rating_consistency(spark, sf):
+    return sentiment.rating_consistency(demo.reviews(spark, sf)).drop("country").withColumn("agreement", F.round("agreement", 6))
+
+
+@query(oracle.q(oracle.LIGHT, """SELECT app_id, count(*) AS n, count(*) FILTER (analysable) AS n_analysable,
+  (SELECT string_agg(f || ':' || k, ',' ORDER BY f) FROM (SELECT f, count(*) AS k FROM (SELECT CASE WHEN length(body) > 2000 THEN 'long_text' END AS f, app_id FROM light UNION ALL SELECT CASE WHEN language <> 'en' THEN 'non_english' END, app_id FROM light) x WHERE x.app_id = o.app_id AND f IS NOT NULL GROUP BY f)) AS flags,
+  (SELECT string_agg(language || ':' || k, ',' ORDER BY language) FROM (SELECT language, count(*) AS k FROM light x WHERE x.app_id = o.app_id GROUP BY language)) AS languages FROM light o GROUP BY app_id"""))
+def preprocessing_summary(spark, sf):
+    got = sentiment.preprocessing_summary(demo.reviews(spark, sf).select("app_id", "country", "analysable", "flags", "language"))
+    said = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",").alias(c)
+    return got.select("app_id", "n", "n_analysable", said("flags"), said("languages"))
+
+
+@query(oracle.q(oracle.LIGHT, """SELECT app_id, rank, source_review_id FROM (SELECT app_id, source_review_id, CAST(row_number() OVER (PARTITION BY app_id ORDER BY NOT (length(body) > 2000 OR language <> 'en'), source_review_id) AS INTEGER) AS rank FROM light) WHERE rank <= 5"""))
+def preprocessing_examples(spark, sf):
+    return sentiment.preprocessing_examples(demo.reviews(spark, sf)).select("app_id", "rank", "source_review_id")
+
+
+# Phrases
+
+
+@query(oracle.q(oracle.PHRASES, "SELECT app_id, phrase, support, rest, example_review_id, strftime(newest, '%Y-%m-%d') AS newest FROM counts WHERE support + rest >= 3"))
+def phrase_support(spark, sf):
+    got = phrases.phrase_support(demo.reviews(spark, sf), REFERENCE).where("support + rest >= 3")
+    return got.select("app_id", "phrase", "support", "rest", "example_review_id", _day("newest"))
+
+
+@query(oracle.q(oracle.PHRASES, "SELECT app_id, phrase, round(z, 6) AS z FROM words WHERE support + rest >= 5"))
+def fightin_words(spark, sf):
+    got = phrases.fightin_words(phrases.phrase_support(demo.reviews(spark, sf), REFERENCE)).where("support + rest >= 5")
+    return got.select("app_id", "phrase", r6("z"))
+
+
+_LONGER = "NOT EXISTS (SELECT 1 FROM {t} o WHERE o.app_id = e.app_id AND o.support = e.support AND length(o.phrase) > length(e.phrase) AND contains(' ' || o.phrase || ' ', ' ' || e.phrase || ' '))"
+
+
+@query(oracle.q(oracle.PHRASES, f"SELECT app_id, rank, phrase, support, n_negative, rest, n_rest, example_review_id, round(share_last_12_months, 6) AS share_last_12_months FROM (SELECT *, CAST(row_number() OVER (PARTITION BY app_id ORDER BY support DESC, phrase) AS INTEGER) AS rank FROM eligible e WHERE {_LONGER.format(t='eligible')}) WHERE rank <= 15"))
+def common_phrases(spark, sf):
+    r = demo.reviews(spark, sf)
+    got = phrases.common_phrases(phrases.phrase_support(r, REFERENCE), phrases.totals(r), demo.BLOCKED)
+    return got.select("app_id", "rank", "phrase", "support", "n_negative", "rest", "n_rest", "example_review_id", r6("share_last_12_months"))
+
+
+@query(oracle.q(oracle.PHRASES + ", positive AS (SELECT * FROM eligible WHERE z > 0)", f"SELECT app_id, rank, phrase, support, rest, round(z, 6) AS z, z >= 1.96 AS z_ge_1_96 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY app_id ORDER BY round(z, 9) DESC, support DESC, phrase) AS INTEGER) AS rank FROM positive e WHERE {_LONGER.format(t='positive')}) WHERE rank <= 15"))
+def distinctive_phrases(spark, sf):
+    r = demo.reviews(spark, sf)
+    got = phrases.distinctive_phrases(phrases.phrase_support(r, REFERENCE), phrases.totals(r), demo.BLOCKED)
+    return got.select("app_id", "rank", "phrase", "support", "rest", r6("z"), "z_ge_1_96")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Distinctive phrases of negative reviews, end to end."""
+    return distinctive_phrases(spark, sf_dir)
+
+
+@query()
+def group_phrases(spark, sf):
+    u = demo.kept_units(spark, sf).withColumn("cluster", F.col("rating"))
+    return phrases.group_phrases(u, blocked=demo.BLOCKED).select("app_id", "cluster", "rank", "phrase", "support", r6("z"))
+
+
+# Units and categories
+
+
+@query(oracle.q(oracle.UNITS, "SELECT app_id, review_id, unit_id, md5(sentence) AS digest, negative_score FROM units"))
+def unit_gate(spark, sf):
+    return demo.kept_units(spark, sf).select("app_id", "review_id", "unit_id", F.md5("sentence").alias("digest"), "negative_score")
+
+
+@query(oracle.q(oracle.UNITS, "SELECT app_id, count(*) AS candidates, count(*) FILTER (ok) AS kept, count(*) FILTER (NOT ok AND rating >= 4) AS removed_positive, count(*) FILTER (NOT ok AND rating < 4) AS removed_other FROM (SELECT *, negative_score >= CASE WHEN rating >= 4 THEN 0.85 ELSE 0.50 END AS ok FROM scored WHERE label = 'negative') GROUP BY app_id"))
+def gate_accounting(spark, sf):
+    return units.gate_accounting(demo.scored_units(spark, sf)).drop("country")
+
+
+@query(oracle.q(oracle.MATCHED, "SELECT unit_id, category_id, phrase FROM hits"))
+def lexicon_match(spark, sf):
+    u = demo.kept_units(spark, sf)
+    return categories.lexicon_match(u, categories.lexicon(spark, demo.LEXICON), demo.GUARDED, demo.GUARDS)
+
+
+@query(oracle.q(oracle.MATCHED, "SELECT app_id, category_id, review_id, array_to_string(phrases, ',') AS phrases, unit_id FROM matched"))
+def category_match(spark, sf):
+    return demo.matched(spark, sf)[1].select("app_id", "category_id", "review_id", F.array_join("phrases", ",").alias("phrases"), "unit_id")
+
+
+@query(oracle.q(oracle.MATCHED, f"SELECT app_id, category_id, review_count, denominator, round(share, 6) AS share, round({oracle.low('review_count', 'denominator')}, 6) AS low, round({oracle.high('review_count', 'denominator')}, 6) AS high, round(mean_star_rating, 6) AS mean_star_rating, strftime(newest, '%Y-%m-%d') AS newest, round(share_last_12_months, 6) AS share_last_12_months, historical, CAST(row_number() OVER (PARTITION BY app_id ORDER BY historical, share DESC, category_id) AS INTEGER) AS rank FROM stats"))
+def category_stats(spark, sf):
+    u, m = demo.matched(spark, sf)
+    got = categories.category_stats(m, units.complaint_totals(u), REFERENCE)
+    return got.select("app_id", "category_id", "review_count", "denominator", r6("share"), r6("ci95.low", "low"), r6("ci95.high", "high"), r6("mean_star_rating"), _day("newest"), r6("share_last_12_months"), "historical", "rank")
+
+
+@query(oracle.q(oracle.MATCHED, "SELECT app_id, category_id, phrase, count, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY app_id, category_id ORDER BY count DESC, len(string_split(phrase, ' ')) DESC, phrase) AS INTEGER) AS rank FROM (SELECT app_id, category_id, phrase, count(*) AS count FROM (SELECT app_id, category_id, unnest(phrases) AS phrase FROM matched) GROUP BY ALL)) WHERE rank <= 5"))
+def category_top_phrases(spark, sf):
+    return categories.top_phrases(demo.matched(spark, sf)[1]).select("app_id", "category_id", "phrase", "count", "rank")
+
+
+@query(oracle.q(oracle.MATCHED, f"SELECT app_id, category_id, rank, review_id, {oracle.excerpt('sentence')} AS excerpt FROM (SELECT *, CAST(row_number() OVER (PARTITION BY app_id, category_id ORDER BY len(phrases) DESC, created_at DESC NULLS LAST, review_id) AS INTEGER) AS rank FROM matched) WHERE rank <= 3"))
+def evidence_top3(spark, sf):
+    return categories.evidence(demo.matched(spark, sf)[1]).drop("country")
+
+
+@query(oracle.q(oracle.MATCHED, "SELECT app_id, count(r.review_id) AS review_count, c.n_complaint_reviews AS denominator, round(count(r.review_id)::DOUBLE / c.n_complaint_reviews, 6) AS share FROM complaint c LEFT JOIN rest r USING (app_id, country) GROUP BY app_id, c.n_complaint_reviews"))
+def uncategorised(spark, sf):
+    u, m = demo.matched(spark, sf)
+    got = categories.uncategorised_summary(categories.uncategorised(u, m), units.complaint_totals(u))
+    return got.select("app_id", "review_count", "denominator", r6("share"))
+
+
+@query(oracle.q(oracle.MATCHED, f"SELECT app_id, rank, review_id, {oracle.excerpt('sentence')} AS excerpt FROM (SELECT *, CAST(row_number() OVER (PARTITION BY app_id ORDER BY created_at DESC NULLS LAST, review_id) AS INTEGER) AS rank FROM rest) WHERE rank <= 3"))
+def uncategorised_top3(spark, sf):
+    u, m = demo.matched(spark, sf)
+    return categories.uncategorised_top(categories.uncategorised(u, m)).drop("country")
+
+
+@query(oracle.q(oracle.MATCHED, "SELECT app_id, category_id AS category, review_id, list_sort(list_transform(best_found, lambda p: {'n': -len(string_split(p, ' ')), 'p': p}))[1].p AS matched_phrase, md5(sentence) AS digest FROM matched"))
+def audit_sheet(spark, sf):
+    got = categories.audit_sheet(demo.matched(spark, sf)[1])
+    return got.select("app_id", "category", "review_id", "matched_phrase", F.md5("sentence").alias("digest"))
+
+
+# Sampling
+
+PRIO = "md5('{seed}:' || {id})"
+
+
+@query(oracle.q(oracle.LIGHT, f"SELECT app_id, source_review_id FROM light QUALIFY row_number() OVER (PARTITION BY app_id ORDER BY {PRIO.format(seed=42, id='source_review_id')}, source_review_id) <= 20"))
+def uniform_sample(spark, sf):
+    return sampling.uniform_sample(_light(spark, sf), 20, 42).select("app_id", "source_review_id")
+
+
+@query(oracle.q(oracle.LIGHT, f"SELECT source_review_id, row_number() OVER (PARTITION BY app_id ORDER BY {PRIO.format(seed=7, id='source_review_id')}, source_review_id) AS position, app_id FROM light"))
+def seeded_order(spark, sf):
+    got = sampling.seeded_order(_light(spark, sf), 7, "source_review_id", ["app_id"])
+    return got.select("source_review_id", F.col("position").cast("long").alias("position"), "app_id")
+
+
+@query(oracle.q(oracle.LIGHT, "SELECT app_id, rank, source_review_id FROM light WHERE rank IN (0, 7, 14, 21, 28, 35, 42, 49)"))
+def replay_ranks(spark, sf):
+    df = _light(spark, sf)
+    recorded = df.select("app_id", "country").distinct().withColumn("ranks", F.array(*[F.lit(7 * i).cast("long") for i in range(8)]))
+    return sampling.replay_ranks(df, recorded).select("app_id", "rank", "source_review_id")
+
+
+@query(oracle.q(oracle.LIGHT, "SELECT source_review_id, app_id FROM light WHERE source_review_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)"))
+def exclude_ids(spark, sf):
+    shown = demo.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("source_review_id"))
+    return sampling.exclude_ids(_light(spark, sf), shown).select("source_review_id", "app_id")
+
+
+QUOTAS = {1: 40, 2: 25, 3: 25, 4: 25, 5: 35}
+
+
+@query(oracle.q(oracle.LIGHT, f"SELECT CAST(rating AS INTEGER) AS rating, source_review_id FROM (SELECT *, row_number() OVER (PARTITION BY rating ORDER BY {PRIO.format(seed=42, id='source_review_id')}, source_review_id) AS i FROM light WHERE analysable) WHERE i <= CASE rating WHEN 1 THEN 40 WHEN 5 THEN 35 ELSE 25 END"))
+def stratified_draw(spark, sf):
+    return sampling.stratified_draw(_light(spark, sf).where("analysable"), QUOTAS, 42).select("rating", "source_review_id")
+
+
+@query(oracle.q(oracle.LIGHT, f"""SELECT app_id, source_review_id FROM (
+  SELECT *, count(*) FILTER (rank % 10 <> 3) OVER w AS good, count(*) FILTER (rank % 10 = 3) OVER w AS bad FROM light WINDOW w AS (PARTITION BY app_id ORDER BY {PRIO.format(seed=5, id='rank')}, rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+  WHERE good <= 50 AND bad <= 20 AND rank % 10 <> 3"""))
+def backfilled_sample(spark, sf):
+    taken, _ = sampling.backfilled_sample(_light(spark, sf).withColumn("valid", F.col("rank") % 10 != 3), 50, 5)
+    return taken.select("app_id", "source_review_id")
+
+
+@query(oracle.q(oracle.LIGHT, """SELECT app_id, CAST(100 AS INTEGER) AS requested, least(100, n) AS actual, n * (app_id + 1) AS reachable, least(100, n) >= least(100, n * (app_id + 1)) AS complete, round(least(100, n)::DOUBLE / (n * (app_id + 1)), 6) AS sampling_fraction,
+  array_to_string(list_filter([CASE WHEN n * (app_id + 1) < 100 THEN 'frame_below_request' END, CASE WHEN least(100, n) < least(100, n * (app_id + 1)) THEN 'incomplete' END], lambda x: x IS NOT NULL), ',') AS warnings FROM (SELECT app_id, count(*) AS n FROM light GROUP BY app_id)"""))
+def sampling_metadata(spark, sf):
+    df = _light(spark, sf)
+    got = sampling.sampling_metadata(sampling.uniform_sample(df, 100, 42), demo.frames(df), 100)
+    return got.select("app_id", "requested", "actual", "reachable", "complete", r6("sampling_fraction"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query(oracle.q(oracle.LIGHT, f"SELECT source_review_id FROM light WHERE created_at >= TIMESTAMP '{REFERENCE}' - INTERVAL 730 DAY"))
+def window_frame(spark, sf):
+    return source.window_frame(_light(spark, sf), REFERENCE, 730).select("source_review_id")
+
+
+# Evaluation
+
+
+@query(oracle.q(oracle.JUDGED, "SELECT a.label AS true, b.label AS predicted, count(j.star) AS count FROM labels3 a CROSS JOIN labels3 b LEFT JOIN judged j ON j.true_ = a.label AND j.shipping = b.label GROUP BY ALL"))
+def confusion(spark, sf):
+    return evaluate.confusion(demo.judged(spark, sf), predicted="shipping")
+
+
+@query(oracle.q(oracle.JUDGED + """, c AS (SELECT label, count(*) FILTER (true_ = label AND shipping = label) AS tp, count(*) FILTER (shipping = label) AS p, count(*) FILTER (true_ = label) AS t, count(*) AS n FROM judged, labels3 GROUP BY label),
+f AS (SELECT *, CASE WHEN p > 0 THEN tp::DOUBLE / p ELSE 0 END AS precision, CASE WHEN t > 0 THEN tp::DOUBLE / t ELSE 0 END AS recall, CASE WHEN p + t > 0 THEN 2.0 * tp / (p + t) ELSE 0 END AS f1 FROM c)""", "SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, t AS support, round((SELECT sum(tp)::DOUBLE / max(n) FROM f), 6) AS accuracy, round((SELECT avg(f1) FROM f), 6) AS macro_f1 FROM f"))
+def classification_metrics(spark, sf):
+    got = evaluate.classification_metrics(demo.judged(spark, sf), predicted="shipping")
+    return got.select("label", r6("precision"), r6("recall"), r6("f1"), "support", r6("accuracy"), r6("macro_f1"))
+
+
+@query(oracle.q(oracle.JUDGED, """SELECT n, round(po, 6) AS observed, round((po - pe) / (1 - pe), 6) AS kappa FROM (SELECT count(*) AS n, count(*) FILTER (shipping = challenger)::DOUBLE / count(*) AS po,
+  (count(*) FILTER (shipping = 'negative') * count(*) FILTER (challenger = 'negative') + count(*) FILTER (shipping = 'neutral') * count(*) FILTER (challenger = 'neutral') + count(*) FILTER (shipping = 'positive') * count(*) FILTER (challenger = 'positive'))::DOUBLE / (count(*) * count(*)) AS pe FROM judged)"""))
+def cohen_kappa(spark, sf):
+    return evaluate.cohen_kappa(demo.judged(spark, sf), "shipping", "challenger").select("n", r6("observed"), r6("kappa"))
+
+
+@query(oracle.q(oracle.JUDGED, "SELECT round(sum(acc * share) / sum(share), 6) AS reweighted_accuracy FROM (SELECT star, avg(CASE WHEN shipping = true_ THEN 1 ELSE 0 END) AS acc, star / 15.0 AS share FROM judged GROUP BY star)"))
+def reweighted_accuracy(spark, sf):
+    shares = spark.range(1, 6).select(F.col("id").cast("int").alias("star"), (F.col("id") / 15.0).alias("share"))
+    got = evaluate.reweighted_accuracy(demo.judged(spark, sf), shares, predicted="shipping")
+    return got.select(r6("reweighted_accuracy"))
+
+
+@query()
+def metric_bca_ci(spark, sf):
+    got = evaluate.metric_bca_ci(demo.judged(spark, sf), predicted="shipping", resamples=2000)
+    return got.select("metric", r6("value"), r6("low"), r6("high"), "reason")
+
+
+@query()
+def paired_f1_diff_ci(spark, sf):
+    got = evaluate.paired_f1_diff_ci(demo.judged(spark, sf), resamples=2000)
+    return got.select("metric", r6("value"), r6("low"), r6("high"), "switch")
+
+
+@query()
+def kappa_ci(spark, sf):
+    got = evaluate.kappa_ci(demo.judged(spark, sf), "shipping", "challenger", stats.LABELS, resamples=2000)
+    return got.select("metric", r6("value"), r6("low"), r6("high"))
+
+
+@query(oracle.q(oracle.JUDGED, "SELECT source_review_id, true_ AS true, shipping, challenger FROM judged WHERE shipping <> true_ OR challenger <> true_ ORDER BY source_review_id LIMIT 8"))
+def error_examples(spark, sf):
+    return evaluate.error_examples(demo.judged(spark, sf), order="source_review_id").select("source_review_id", "true", "shipping", "challenger")
+
+
+@query(oracle.q(oracle.UNITS, f"SELECT round(tp::DOUBLE / p, 6) AS precision, round({oracle.low('tp', 'p')}, 6) AS precision_low, round(tp::DOUBLE / t, 6) AS recall, round({oracle.high('tp', 't')}, 6) AS recall_high FROM (SELECT count(*) FILTER (truth AND kept) AS tp, count(*) FILTER (kept) AS p, count(*) FILTER (truth) AS t FROM (SELECT rating <= 2 AS truth, label = 'negative' AND negative_score >= CASE WHEN rating >= 4 THEN 0.85 ELSE 0.50 END AS kept FROM scored))"))
+def unit_pr(spark, sf):
+    df = demo.scored_units(spark, sf).select((F.col("rating") <= 2).alias("truth"), ((F.col("label") == "negative") & units.passes()).alias("kept"))
+    return evaluate.unit_pr(df).select(r6("precision"), r6("precision_ci.low", "precision_low"), r6("recall"), r6("recall_ci.high", "recall_high"))
+
+
+@query(oracle.q(oracle.MATCHED, f"SELECT coalesce(category_id, 'overall') AS category, correct, n, round(correct::DOUBLE / n, 6) AS precision, round({oracle.low('correct', 'n')}, 6) AS low, round({oracle.high('correct', 'n')}, 6) AS high FROM (SELECT category_id, count(*) FILTER (rating <= 3) AS correct, count(*) AS n FROM matched GROUP BY ROLLUP (category_id))"))
+def audit_precision(spark, sf):
+    m = demo.matched(spark, sf)[1]
+    sheet = categories.audit_sheet(m).join(m.select("app_id", F.col("category_id").alias("category"), "review_id", "rating"), ["app_id", "category", "review_id"])
+    got = evaluate.audit_precision(sheet.withColumn("human_label", F.when(F.col("rating") <= 3, "correct").otherwise("incorrect")))
+    return got.select("category", "correct", "n", r6("precision"), r6("ci95.low", "low"), r6("ci95.high", "high"))
+
+
+@query(oracle.q(oracle.VECTORS, "SELECT CAST(g / 100.0 AS DOUBLE) AS threshold, count(*) FILTER (distance <= g / 100.0) AS predicted_same, count(*) FILTER (distance <= g / 100.0 AND same) AS true_same, round(count(*) FILTER (distance <= g / 100.0 AND same)::DOUBLE / nullif(count(*) FILTER (distance <= g / 100.0), 0), 6) AS precision FROM pairs, (SELECT unnest(range(20, 70, 5)) AS g) GROUP BY g"))
+def threshold_table(spark, sf):
+    v = demo.vectors(spark, sf)
+    near = themes.near_pairs(v, 0.66)
+    of = lambda c: v.select(F.col("unit_id").alias(f"{c}_id"), F.col("cluster").alias(f"{c}_label"))
+    pairs = near.join(of("left"), "left_id").join(of("right"), "right_id").withColumn("same", F.col("left_label") == F.col("right_label"))
+    return themes.threshold_table(pairs).select("threshold", "predicted_same", "true_same", r6("precision"))
+
+
+# Themes
+
+
+@query(oracle.q(oracle.VECTORS, "SELECT left_id, right_id, round(distance, 5) AS distance FROM pairs WHERE distance < 0.60"))
+def pair_join(spark, sf):
+    return themes.near_pairs(demo.vectors(spark, sf), 0.60).select("left_id", "right_id", F.round("distance", 5).alias("distance"))
+
+
+@query(oracle.q(oracle.VECTORS + f", bins AS (SELECT unnest({list(themes.EDGES[:-1])}) AS low, unnest({list(themes.EDGES[1:])}) AS high)", "SELECT CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, count(distance) AS count FROM bins LEFT JOIN pairs ON distance >= low AND (distance < high OR high = 2.0 AND distance <= high) GROUP BY low, high"))
+def distance_histogram(spark, sf):
+    return themes.distance_histogram(demo.vectors(spark, sf)).select("low", "high", "count")
+
+
+@query()
+def cluster_units(spark, sf):
+    got = themes.cluster_units(demo.vectors(spark, sf).drop("cluster"), 0.60)
+    return got.select("unit_id", "cluster")
+
+
+@query()
+def cluster_sizes(spark, sf):
+    got = themes.cluster_sizes(demo.vectors(spark, sf).drop("cluster"), (0.50, 0.60))
+    return got.select("threshold", "n_clusters", F.array_join(F.transform("sizes", lambda x: x.cast("string")), ",").alias("sizes"))
+
+
+_NAMED = """, sized AS (SELECT cluster, count(*) AS k, min(review_id) AS f FROM vectors GROUP BY cluster),
+named AS (SELECT cluster, printf('theme_%02d', row_number() OVER (ORDER BY k DESC, f, cluster)) AS theme_id FROM sized WHERE k >= CASE WHEN (SELECT count(*) FROM vectors) < 15 THEN 2 ELSE 3 END),
+themed AS (SELECT v.*, n.theme_id FROM vectors v LEFT JOIN named n USING (cluster))"""
+
+
+@query(oracle.q(oracle.VECTORS + _NAMED, "SELECT unit_id, theme_id FROM themed"))
+def theme_policy(spark, sf):
+    return themes.theme_policy(demo.vectors(spark, sf)).select("unit_id", "theme_id")
+
+
+@query(oracle.q(oracle.VECTORS + _NAMED + f""", per AS (SELECT theme_id, review_id, count(*) AS u, arg_min(rating, unit_id) AS r, max(created_at) AS newest, bool_or({oracle.RECENT}) AS rec FROM themed WHERE theme_id IS NOT NULL GROUP BY ALL),
+got AS (SELECT theme_id, CAST(sum(u) AS BIGINT) AS unit_count, count(*) AS k, avg(r) AS mean_star_rating, max(newest) AS newest, count(*) FILTER (rec) AS nr, (SELECT count(DISTINCT review_id) FROM themed) AS n FROM per GROUP BY theme_id)""", f"SELECT theme_id, unit_count, k AS review_count, round(k::DOUBLE / n, 6) AS share, round({oracle.low('k', 'n')}, 6) AS low, round({oracle.high('k', 'n')}, 6) AS high, round(mean_star_rating, 6) AS mean_star_rating, strftime(newest, '%Y-%m-%d') AS newest, round(nr::DOUBLE / k, 6) AS share_last_12_months FROM got"))
+def theme_stats(spark, sf):
+    t = themes.theme_policy(demo.vectors(spark, sf))
+    n = t.groupBy("app_id", "country").agg(F.countDistinct("review_id").alias("n_analysable"))
+    got = themes.theme_stats(t, n, REFERENCE)
+    return got.select("theme_id", "unit_count", "review_count", r6("share"), r6("ci95.low", "low"), r6("ci95.high", "high"), r6("mean_star_rating"), _day("newest"), r6("share_last_12_months"))
+
+
+@query(oracle.q(oracle.VECTORS + _NAMED, "SELECT count(theme_id) AS units_clustered, count(*) AS units_total, round(count(theme_id)::DOUBLE / count(*), 6) AS unit_share, count(DISTINCT review_id) FILTER (theme_id IS NOT NULL) AS reviews_in_themes, coalesce(least(count(theme_id)::DOUBLE / count(*), count(DISTINCT review_id) FILTER (theme_id IS NOT NULL)::DOUBLE / count(DISTINCT review_id)) < 0.5, false) AS coverage_warning FROM themed"))
+def theme_coverage(spark, sf):
+    got = themes.theme_coverage(themes.theme_policy(demo.vectors(spark, sf)))
+    return got.select("units_clustered", "units_total", r6("unit_share"), "reviews_in_themes", "coverage_warning")
+
+
+@query()
+def representatives(spark, sf):
+    got = themes.representatives(themes.theme_policy(demo.vectors(spark, sf)))
+    return got.select("theme_id", "rank", "unit_id", F.round("distance", 5).alias("distance"))
+
+
+@query()
+def pair_strata(spark, sf):
+    return themes.pair_strata(themes.near_pairs(demo.vectors(spark, sf), 0.65)).select("stratum", "left_id", "right_id", F.round("distance", 5).alias("distance"), "short")
+
+
+# Insights and marts
+
+
+def _areas(spark, sf):
+    u, m = demo.matched(spark, sf)
+    totals = units.complaint_totals(u)
+    labels = categories.lexicon(spark, demo.LEXICON)
+    cats = categories.category_stats(m, totals, REFERENCE)
+    return insights.areas_of_improvement([insights.category_areas(cats, categories.evidence(m), labels)]), cats, labels, totals, u, m
+
+
+@query(oracle.q(oracle.MATCHED, f"SELECT app_id, CAST(row_number() OVER (PARTITION BY app_id ORDER BY historical, share DESC, upper(left(category_id, 1)) || category_id[2:]) AS INTEGER) AS rank, 'issue_category' AS source, upper(left(category_id, 1)) || category_id[2:] AS area, review_count AS count, denominator AS total, round(share, 6) AS share FROM stats"))
+def areas_of_improvement(spark, sf):
+    return _areas(spark, sf)[0].select("app_id", "rank", "source", "area", "count", "total", r6("share"))
+
+
+@query()
+def area_text(spark, sf):
+    return _areas(spark, sf)[0].select("app_id", "rank", "text")
+
+
+@query(oracle.q(oracle.MATCHED, f"SELECT app_id, upper(left(category_id, 1)) || category_id[2:] AS label, round(share, 6) AS value, round({oracle.low('review_count', 'denominator')}, 6) AS low, review_count AS count FROM stats"))
+def mart_category_support(spark, sf):
+    _, cats, labels, *_ = _areas(spark, sf)
+    return insights.mart_category_support(cats, labels).select("app_id", "label", r6("value"), r6("low"), "count")
+
+
+@query(oracle.q(oracle.MATCHED + ", sampled AS (SELECT app_id, count(*) AS n FROM light GROUP BY app_id), un AS (SELECT app_id, count(*) AS k FROM rest GROUP BY app_id)", "SELECT app_id, CAST(step AS INTEGER) AS step, count FROM (SELECT s.app_id, unnest([1, 2, 3]) AS step, unnest([n, coalesce(n_complaint_reviews, 0), greatest(0, coalesce(n_complaint_reviews, 0) - coalesce(k, 0))]) AS count FROM sampled s LEFT JOIN complaint USING (app_id) LEFT JOIN un USING (app_id))"))
+def mart_funnel(spark, sf):
+    _, _, _, totals, u, m = _areas(spark, sf)
+    sampled = _light(spark, sf).groupBy("app_id", "country").agg(F.count("*").alias("n"))
+    return insights.mart_funnel(sampled, totals, categories.uncategorised_summary(categories.uncategorised(u, m), totals)).select("app_id", "step", "count")
+
+
+@query()
+def mart_rating_distribution(spark, sf):
+    got = insights.mart_distribution(ratings.distribution(_reachable(_light(spark, sf)), "rating", [1, 2, 3, 4, 5]), "rating")
+    return got.select("app_id", "label", r6("value"), r6("low"), r6("high"), "count")
+
+
+@query()
+def mart_sentiment_distribution(spark, sf):
+    got = insights.mart_distribution(ratings.distribution(_reachable(demo.reviews(spark, sf).select("app_id", "country", "sentiment_label")), "sentiment_label", stats.LABELS), "sentiment_label")
+    return got.select("app_id", "label", r6("value"), r6("low"), r6("high"), "count")
+
+
+@query()
+def mart_periods(spark, sf):
+    return insights.mart_periods(ratings.period_metrics(_reachable(_light(spark, sf)))).select("app_id", "bucket", "label", r6("value"), r6("low"), r6("high"), "n")
+
+
+@query()
+def mart_negative_phrases(spark, sf):
+    r = demo.reviews(spark, sf)
+    got = insights.mart_negative_phrases(phrases.common_phrases(phrases.phrase_support(r, REFERENCE), phrases.totals(r), demo.BLOCKED))
+    return got.select("app_id", "rank", "label", r6("value"), "count")
+
+
+@query()
+def mart_summary(spark, sf):
+    areas, _, _, totals, _, _ = _areas(spark, sf)
+    df = demo.reviews(spark, sf).select("app_id", "country", "rating", "sentiment_label")
+    dist = ratings.distribution(_reachable(df), "sentiment_label", stats.LABELS)
+    return insights.mart_summary(ratings.rating_summary(df), dist, totals, areas).select("app_id", "tile", "label", "value")
+
+
+# Sources and sinks
+
+
+@query("""WITH e AS (SELECT conv_id % 3 AS app_id, CAST(turn AS BIGINT) AS page, conv_id AS pos, 'r' || (conv_id % 40) AS id, CAST(conv_id % 5 + 1 AS INTEGER) AS rating FROM conversations),
+once AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY app_id, id ORDER BY page, pos) = 1)
+SELECT app_id, id AS source_review_id, rating, row_number() OVER (PARTITION BY app_id ORDER BY page, pos) - 1 AS rank FROM once""")
+def feed_frame(spark, sf):
+    """conversations as pages of a feed: a page of JSON text for each app and turn, read back."""
+    c = demo.table(spark, sf, "conversations").select((F.col("conv_id") % 3).alias("app_id"), F.col("turn").alias("page"), "conv_id")
+    said = lambda v: F.struct(v.cast("string").alias("label"))
+    entry = F.struct(F.col("conv_id").alias("at"), said(F.concat(F.lit("r"), (F.col("conv_id") % 40).cast("string"))).alias("id"), said(F.lit("t")).alias("title"), said(F.lit("b")).alias("content"), said(F.col("conv_id") % 5 + 1).alias("im:rating"))
+    pages = c.groupBy("app_id", "page").agg(F.to_json(F.struct(F.struct(F.sort_array(F.collect_list(entry)).alias("entry")).alias("feed"))).alias("value")).withColumn("country", F.lit("us"))
+    return source.feed_frame(source.feed_entries(pages)).select("app_id", "source_review_id", "rating", "rank")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS source_review_id, CASE WHEN doc_id % 7 BETWEEN 1 AND 5 AND doc_id % 11 <> 0 THEN true ELSE false END AS valid, CAST(doc_id % 7 AS INTEGER) AS rating,
+  CASE doc_id % 3 WHEN 0 THEN DATE '2024-01-01' + CAST(doc_id % 28 AS INTEGER) END AS day, doc_id % 2 = 0 AS is_edited, doc_id % 4 = 0 AS has_developer_response FROM documents""".replace("CAST(doc_id AS VARCHAR) AS source_review_id", "CASE WHEN doc_id % 11 = 0 THEN '' ELSE CAST(doc_id AS VARCHAR) END AS source_review_id"))
+def typed_review(spark, sf):
+    d = demo.table(spark, sf, "documents")
+    n = F.col("doc_id")
+    raw = d.select(F.lit(1).alias("app_id"), F.lit("us").alias("country"), n.alias("rank"), F.when(n % 11 == 0, "").otherwise(n.cast("string")).alias("userReviewId"), F.lit("t").alias("title"), F.left("text", F.lit(50)).alias("body"), (n % 7).cast("string").alias("rating"), F.when(n % 3 == 0, F.concat(F.date_add(F.lit("2024-01-01").cast("date"), (n % 28).cast("int")).cast("string"), F.lit("T08:00:00Z"))).when(n % 3 == 1, "2024").otherwise("soon").alias("date"), F.when(n % 2 == 0, "true").otherwise("no").alias("isEdited"), F.lit("3").alias("voteCount"), F.lit("").alias("voteSum"), F.when(n % 4 == 0, '{"id": "7", "modified": "2024-02-03T00:00:00Z"}').otherwise("{}").alias("developerResponse"))
+    return source.typed_reviews(raw).select("source_review_id", "valid", "rating", F.to_date("created_at").alias("day"), "is_edited", "has_developer_response")
+
+
+@query(oracle.q(oracle.LIGHT, "SELECT source_review_id, rank, rating, strftime(created_at, '%Y-%m-%dT%H:%M:%S') || 'Z' AS created_at FROM light"))
+def export_rows(spark, sf):
+    got = sinks.export_rows(_light(spark, sf).withColumn("source_flags", F.array().cast("array<string>")))
+    return got.select("source_review_id", "rank", "rating", "created_at")
+
+
+# Small columns
+
+
+@query(f"SELECT o_orderkey AS k, round({oracle.low('s', 'n')}, 9) AS low, round({oracle.high('s', 'n')}, 9) AS high FROM (SELECT o_orderkey, o_orderkey % 51 AS s, 50 AS n FROM orders)")
+def wilson_interval(spark, sf):
+    w = stats.wilson(F.col("k") % 51, F.lit(50))
+    return demo.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")).select("k", F.round(w["low"], 9).alias("low"), F.round(w["high"], 9).alias("high"))
+
+
+@query("SELECT event_id, CASE WHEN s <= 2 THEN 'negative' WHEN s = 3 THEN 'neutral' ELSE 'positive' END AS label, event_id % 2 = 0 AS same FROM (SELECT event_id, event_id % 5 + 1 AS s FROM events)")
+def star_class(spark, sf):
+    return demo.table(spark, sf, "events").select("event_id", stats.star_class(F.col("event_id") % 5 + 1).alias("label"), stats.same_issue(F.when(F.col("event_id") % 2 == 0, " Yes ").otherwise("different_issue")).alias("same"))
+
+
+@query("SELECT event_id, CASE WHEN neg >= neu AND neg >= pos THEN 'negative' WHEN neu >= pos THEN 'neutral' ELSE 'positive' END AS label FROM (SELECT event_id, (event_id % 7 + event_id % 3) / 10.0 AS neg, (event_id % 5) / 10.0 AS neu, (event_id % 4 + event_id % 6) / 10.0 AS pos FROM events)")
+def five_to_three(spark, sf):
+    e = F.col("event_id")
+    scores = F.array(*[(e % m) / F.lit(10.0) for m in (7, 3, 5, 4, 6)])
+    return demo.table(spark, sf, "events").select("event_id", stats.three_classes(F.transform(scores, lambda x: F.round(x * 10).cast("int")))["label"].alias("label"))
