@@ -1,9 +1,9 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on toxic, one on ordinary text: each is made of the spans (words and
-beginnings of words) whose document frequency tells its class from the other, in a bounded sample of labelled
+beginnings of words) that tell its class from the other by how many words they follow, in a bounded sample of labelled
 documents. Every window of a text is compressed with both; how much shorter the toxic dictionary makes it is the
-window's distance. Three figures of a text's distances (their mean excess, their greatest, the share at the
+window's distance. Four figures of a text's distances (their mean excess, their greatest, share and number at the
 threshold) go through a logistic calibration fitted on the sample's other half, with weights that restore the
 labels' own proportions.
 
@@ -37,18 +37,18 @@ SPANS = 64
 WINDOW, OVER = 160, 40
 NEAR = 3
 SENTINEL = bytes(range(1, 17))
-FEATURES = 3
+FEATURES = 4
 _SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
 def _parameters() -> zstandard.ZstdCompressionParameters:
     """Fast matching of 5 bytes and more; a positive target length leaves literals uncompressed."""
-    return zstandard.ZstdCompressionParameters(compression_level=1, window_log=17, strategy=zstandard.STRATEGY_FAST, min_match=5, hash_log=14, chain_log=14, search_log=1, target_length=1, write_content_size=0, write_checksum=0, write_dict_id=0)
+    return zstandard.ZstdCompressionParameters(compression_level=1, window_log=17, strategy=zstandard.STRATEGY_FAST, min_match=5, hash_log=17, chain_log=14, search_log=1, target_length=1, write_content_size=0, write_checksum=0, write_dict_id=0)
 
 
 def dictionary(spans: list[str]) -> bytes:
     """The content of a dictionary of spans."""
-    return SENTINEL + "\n".join(spans).encode() + b"\n" + b"\0" * 8
+    return SENTINEL + b"\n" + "\n".join(spans).encode() + b"\n" + b"\0" * 8
 
 
 @dataclass(frozen=True)
@@ -85,8 +85,9 @@ class Distances:
         while at < end - 1:
             cut = text.find(b" ", at + WINDOW, at + WINDOW + OVER)
             stop = min(at + WINDOW + OVER, end) if cut < 0 else cut + 1
-            piece = SENTINEL + text[at:stop]
-            found.append(len(ordinary(piece)) - len(toxic(piece)))
+            # Fast matching looks at every other place: each window is seen from both.
+            piece, other = SENTINEL + text[at:stop], SENTINEL + b"\x11" + text[at:stop]
+            found.append(max(len(ordinary(piece)) - len(toxic(piece)), len(ordinary(other)) - len(toxic(other))))
             at = stop if cut < 0 else cut
         return found
 
@@ -94,7 +95,7 @@ class Distances:
         out = np.zeros((len(texts), FEATURES))
         for i, raw in enumerate(pc.utf8_lower(texts).cast(pa.large_binary()).to_pylist()):
             d = np.array(self.of(raw) if raw.strip() else [0])
-            out[i] = np.maximum(d - 1, 0).sum() / (len(d) + 3), max(d.max(), 0), (d >= NEAR).mean()
+            out[i] = np.maximum(d - 1, 0).sum() / (len(d) + 3), max(d.max(), 0), (d >= NEAR).mean(), np.log1p((d >= NEAR).sum())
         return out
 
 
@@ -156,22 +157,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # 4,500 ids at most: the one broadcast, bounded by SAMPLE_TOXIC + SAMPLE_OTHER.
     sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.when(F.crc32(F.concat(F.lit("half:"), F.col("doc_id").cast("string"))) % 2 == 0, 0).otherwise(1).alias("half"), "text")
     sample = written(sample, "labelled")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0)))
-    parts = sample.where("half = 0").select("doc_id", "toxic", F.explode(words).alias("word"))
-    # A word gives itself, ended by a space, and its beginnings of 4 to 10 letters.
-    spans = F.concat(F.transform(F.sequence(F.lit(4), F.least(F.length("word"), F.lit(10))), lambda n: F.left("word", n)), F.array(F.concat("word", F.lit(" "))))
-    parts = parts.select("doc_id", "toxic", F.explode(spans).alias("span")).distinct()
     n = {r["toxic"]: r["n"] for r in sample.where("half = 0").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n_toxic, n_other = n.get(1, 0), n.get(0, 0)
-    if not n_toxic or not n_other:
+    if not n.get(1) or not n.get(0):
         return Model(dictionary([]), dictionary([]), share=share)
-    counted = parts.groupBy("span").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    counted = counted.where(f"a >= greatest(3, 0.01 * {n_toxic}) OR b >= greatest(3, 0.01 * {n_other}) AND b <= 0.05 * {n_other}")
+    # A word counts once behind each other word: copies of a text, or of a part of it, say nothing new.
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
+    pairs = F.zip_with("_w", F.concat(F.array(F.lit("")), F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0)))), lambda w, p: F.struct(w.alias("word"), p.alias("prior")))
+    parts = sample.where("half = 0").select("toxic", words.alias("_w")).select("toxic", F.explode(F.array_distinct(pairs)).alias("x")).select("toxic", "x.word", "x.prior").where(F.length("word") >= 4).distinct()
+    parts = written(parts, "words")
+    n_pairs = {r["toxic"]: r["n"] for r in parts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_other = n_pairs.get(1, 1), n_pairs.get(0, 1)
+    # It gives itself, ended by a space, and its beginnings of 4 to 10 letters.
+    spans = F.concat(F.transform(F.sequence(F.lit(4), F.least(F.length("word"), F.lit(10))), lambda n: F.left("word", n)), F.array(F.concat("word", F.lit(" "))))
+    counted = parts.select("toxic", F.explode(spans).alias("span")).groupBy("span").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    counted = written(counted.where(f"a >= greatest(5, 0.02 * {n[1]}) OR a = 0 AND b >= 5"), "spans")
     toxic_first = F.col("a") / n_toxic - F.col("b") / n_other
-    best = lambda by: [(" " + r["span"], r["a"], r["b"]) for r in counted.orderBy(by.desc(), "span").limit(2000).collect()]
-    spans_toxic = _distinctive(best(toxic_first), n_toxic, n_other, 5.0)
-    spans_other = _distinctive([(s, b, a) for s, a, b in best(-toxic_first) if b <= 0.05 * n_other], n_other, n_toxic, 0.0)[: max(8, len(spans_toxic))]
-    toxic, ordinary = dictionary(spans_toxic), dictionary(spans_other)
+    likely = counted.where("a > 0").orderBy(toxic_first.desc(), "span").limit(2000).collect()
+    spans_toxic = _distinctive([(" " + r["span"], r["a"], r["b"]) for r in likely], n_toxic, n_other, 5.0)
+    # Of what only ordinary text has, the least frequent, as many.
+    rare = counted.where("a = 0 AND b >= 5").orderBy("b", "span").limit(2000).collect()
+    spans_other: list[str] = []
+    for s in (" " + r["span"] for r in rare):
+        if len(spans_other) < max(8, len(spans_toxic)) and not any(k.startswith(s) or s.startswith(k) for k in spans_other):
+            spans_other.append(s)
+    # Toxic text has ordinary spans too: with them in both dictionaries, they don't hide the toxic ones beside them.
+    toxic = dictionary(spans_other + spans_toxic)
+    ordinary = dictionary([*spans_other, "\x12" * len("\n".join(spans_toxic).encode())])
     rows = _measured(sample.where("half = 1").select("toxic", "text"), toxic, ordinary).collect()
     x, y = np.array([r["features"] for r in rows]).reshape(-1, FEATURES), np.array([r["toxic"] for r in rows], float)
     if not 0 < y.sum() < len(y):
