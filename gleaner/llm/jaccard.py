@@ -2,15 +2,17 @@
 
 A document's set holds its distinct word shingles as 64-bit hashes; equal sets are one node, so copies cost nothing more.
 
-1. Similar nodes are partitioned into groups: nodes that share a min-hash are compared with one leader each, and the
-   components of the links found are the groups (others are groups of their own). Large groups are cut into chunks.
-2. The matrix is addressed by prefixes: under an order of all shingles that puts frequent ones last, linked sets share a
-   shingle among the first n - ceil(t * n) + 1 of each. Shingles are dealt by their hash; nodes that meet there in another
-   group than their own become (query, group) candidates. Nodes of one group are linked already and never meet.
-3. Of each candidate, the group's shingle union bounds the overlap: fewer than t * n shingles of the query in
+1. Similar nodes are partitioned into groups: nodes that share a min-hash are compared with one leader each, and go into
+   the group of a leader that is near (others are groups of their own). Large groups are cut into chunks. The links
+   that this finds give first components; their nodes need no further links to each other.
+2. The matrix is addressed by prefixes: under an order of all shingles that puts the most frequent ones last, linked sets share
+   l shingles among the first n - ceil(t * n) + l of each, l being about `SHARE` percent of the set. Shingles are dealt by
+   their hash, and what nodes of different components share there is summed up by query and group: pairs with less than
+   the lesser l are out.
+3. Of each candidate, the group's whole shingle union bounds the overlap: fewer than t * n shingles of the query in
    it exclude all members. Only groups that qualify are opened, and their members compared exactly.
 
-No link between different sets of different groups is lost, whatever the order of shingles: which of them count as
+No link between sets of different components is lost, whatever the order of shingles: which of them count as
 frequent (the `HOT_KEPT` most frequent, from counts over all documents) only decides how many candidates there are.
 Nothing of a document is held by the driver. Shingles are told apart by 64-bit hashes, as are nodes.
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +38,11 @@ from .components import components
 
 SHINGLE, PERCENT = 5, 75
 MINHASHES = 4
-HOT_FROM, HOT_KEPT = 32, 200_000
+#: Percent of similarity to its leader that puts a node into the leader's group.
+NEAR = 40
+HOT_FROM, HOT_KEPT = 16, 200_000
+#: Percent of a set that, beyond the shortest prefix, is dealt so that the shared part can be counted.
+SHARE = 15
 #: Nodes in a chunk of a group, queries that meet it at once.
 CHUNK = 256
 #: Nodes that share a shingle and are paired where they meet; more go through their groups first.
@@ -154,11 +161,8 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column])
 
 
-def frequent(docs: DataFrame, buckets: int) -> np.ndarray:
-    """Full names of the most frequent shingles, sorted; at most HOT_KEPT, whatever the corpus.
-
-    The lower half of the hashes is counted: prefixes begin there, and of a frequent passage half the shingles lie there.
-    """
+def frequent(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Full names of the most frequent shingles, sorted, and each one's place by frequency; HOT_KEPT at most, whatever the corpus."""
     out = "name long, n long"
     schema = to_arrow_schema(T._parse_datatype_string(out))
 
@@ -168,38 +172,46 @@ def frequent(docs: DataFrame, buckets: int) -> np.ndarray:
         full = (np.int64(rows.column("bucket")[0].as_py()) << 32) | name[keep].astype(np.int64)
         return pa.table({"name": full, "n": n[keep].astype(np.int64)}, schema=schema)
 
-    lower = lambda ends, values: values < np.uint64(2**63)
-    found = _dealt(docs, lower, buckets, with_nodes=False).groupBy("bucket").applyInArrow(count, out)
+    every = lambda ends, values: np.ones(len(values), bool)
+    found = _dealt(docs, every, buckets, with_nodes=False).groupBy("bucket").applyInArrow(count, out)
     top = found.orderBy(F.col("n").desc(), "name").limit(HOT_KEPT).toPandas()
-    return np.sort(top["name"].to_numpy(np.int64))
+    names, n = top["name"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+    place = np.empty(len(names), np.int64)
+    place[np.lexsort((names, n))] = np.arange(len(names))
+    order = np.argsort(names)
+    return names[order], place[order]
+
 
+def prefix_mask(ends: np.ndarray, values: np.ndarray, buckets: int, hot: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first shingles of each set: those not frequent by hash, then the frequent by frequency.
 
-def prefix_mask(ends: np.ndarray, values: np.ndarray, buckets: int, hot: np.ndarray) -> np.ndarray:
-    """The shingles that any set linked with this one has one of: the first of each under (frequent, hash)."""
+    Of those, a linked set has as many as `SHARE` says.
+    """
     size = np.diff(ends)
     owner = np.repeat(np.arange(len(size)), size)
-    late = np.zeros(len(values), bool)
+    late, at = np.zeros(len(values), bool), np.zeros(len(values), np.int64)
     if len(hot):
-        low = np.flatnonzero(values < np.uint64(2**63))
-        full = _full_names(values[low], buckets)
+        full = _full_names(values, buckets)
         at = np.minimum(np.searchsorted(hot, full), len(hot) - 1)
-        late[low] = hot[at] == full
-    seen = np.cumsum(~late)  # hashes are sorted within a set already
-    early_before = np.concatenate([[0], seen])[ends[:-1]]
-    n_early = np.concatenate([[0], seen])[ends[1:]] - early_before
-    place = np.arange(len(values)) - ends[:-1][owner]
-    rank_early = seen - 1 - early_before[owner]
-    rank = np.where(late, n_early[owner] + place - (rank_early + 1), rank_early)
-    keep = size - (size * PERCENT + 99) // 100 + 1
+        late = hot[at] == full
+    seen = np.concatenate([[0], np.cumsum(~late)])  # hashes are sorted within a set already
+    early = seen[ends[1:]] - seen[ends[:-1]]
+    rank = seen[:-1] - seen[ends[:-1]][owner]
+    behind = np.flatnonzero(late)
+    behind = behind[np.lexsort((place[at[behind]], owner[behind]))] if len(behind) else behind
+    own, late_in = owner[behind], size - early
+    first = np.concatenate([[0], np.cumsum(late_in)])[:-1]
+    rank[behind] = early[own] + np.arange(len(behind)) - first[own]
+    keep = size - (size * PERCENT + 99) // 100 + 1 + size * SHARE // 100
     return rank < keep[owner]
 
 
-def meetings(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
-    """Who meets at a prefix shingle: pairs (a, b) where few do; name and a where more do."""
-    out = "a long, b long, name long"
+def meetings(docs: DataFrame, buckets: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Who meets at a prefix shingle: pairs (a, b) and how often, where few do; name and a, where more do."""
+    out = "a long, b long, times long, name long"
     schema = to_arrow_schema(T._parse_datatype_string(out))
-    shared = docs.sparkSession.sparkContext.broadcast(hot)  # HOT_KEPT numbers at most
-    wanted = lambda ends, values: prefix_mask(ends, values, buckets, shared.value)
+    shared = docs.sparkSession.sparkContext.broadcast(hot)  # twice HOT_KEPT numbers at most
+    wanted = lambda ends, values: prefix_mask(ends, values, buckets, *shared.value)
 
     def meet(rows: pa.Table) -> pa.Table:
         name, nodes, sizes = [], [], []
@@ -224,21 +236,18 @@ def meetings(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
             i, j = np.triu_indices(m, 1)
             left, right = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
             fits = 100 * np.minimum(sizes[left], sizes[right]).astype(np.int64) >= PERCENT * np.maximum(sizes[left], sizes[right]).astype(np.int64)
-            pairs.append(np.unique(np.stack([nodes[left[fits]], nodes[right[fits]]], 1), axis=0))
-        both = np.unique(np.concatenate(pairs), axis=0)
+            pairs.append(np.stack([nodes[left[fits]], nodes[right[fits]]], 1))
+        both = pd.DataFrame(np.concatenate(pairs), columns=["a", "b"]).groupby(["a", "b"], sort=False).size().reset_index(name="times")
         many = np.repeat(count > FEW, count)
         full = (np.int64(rows.column("bucket")[0].as_py()) << 32) | name[many].astype(np.int64)
-        a = pa.array(np.concatenate([both[:, 0], nodes[many]]))
-        b = pa.concat_arrays([pa.array(both[:, 1]), pa.nulls(len(full), pa.int64())])
-        return pa.table([a, b, pa.concat_arrays([pa.nulls(len(both), pa.int64()), pa.array(full)])], schema=schema)
+        gap = lambda n: pa.nulls(n, pa.int64())
+        columns = [pa.concat_arrays([pa.array(both["a"].to_numpy(np.int64)), pa.array(nodes[many])])]
+        columns += [pa.concat_arrays([pa.array(both[c].to_numpy(np.int64)), gap(len(full))]) for c in ("b", "times")]
+        return pa.table([*columns, pa.concat_arrays([gap(len(both)), pa.array(full)])], schema=schema)
 
     return _dealt(docs, wanted, buckets, with_nodes=True).groupBy("bucket").applyInArrow(meet, out)
 
 
-def _linked(n_a: int, n_b: int, both: int) -> bool:
-    return 100 * both >= PERCENT * (n_a + n_b - both)
-
-
 def _overlap(sorted_set: np.ndarray, other: np.ndarray) -> int:
     at = np.minimum(np.searchsorted(sorted_set, other), len(sorted_set) - 1)
     return int((sorted_set[at] == other).sum())
@@ -256,47 +265,64 @@ def _sets(rows: pa.Table) -> dict[int, np.ndarray]:
     return found
 
 
-def opened(members: pa.Table, queries: pa.Table) -> list[tuple[int, int]]:
-    """A link of each query with a member of the group, if there is one: the union's bound first, members then."""
+def opened(members: pa.Table, queries: pa.Table, least: int) -> list[tuple[int, int, bool]]:
+    """What queries find in a group: query, member and whether they link, for similarities of `least` percent and more.
+
+    First the group's union bounds what a query may share with any member; only if that is enough are members compared. Marks
+    name what is linked already; links found here join marks, and whoever is joined to the query is passed over.
+    """
     inside, asked = _sets(members), _sets(queries)
     if not inside or not asked:
         return []
+    mark = dict(zip(members.column("node").to_pylist(), members.column("mark").to_pylist(), strict=True))
+    own_mark = dict(zip(queries.column("node").to_pylist(), queries.column("mark").to_pylist(), strict=True))
     union = np.unique(np.concatenate(list(inside.values())))
-    found = []
+    found, parent = [], {}
+
+    def root(x: int) -> int:
+        while (above := parent.get(x, x)) != x:
+            parent[x] = parent.get(above, above)
+            x = above
+        return x
+
     for q, own in asked.items():
-        if 100 * _overlap(union, own) < PERCENT * len(own):
+        if 100 * _overlap(union, own) < least * len(own):
             continue
         for m, other in inside.items():
-            if m != q and 100 * min(len(own), len(other)) >= PERCENT * max(len(own), len(other)) and _linked(len(own), len(other), _overlap(other, own)):
-                found.append((q, m))  # the group is one component already: one link joins it
-                break
+            if root(mark[m]) == root(own_mark[q]) or 100 * min(len(own), len(other)) < least * max(len(own), len(other)):
+                continue
+            both = _overlap(other, own)
+            linked = 100 * both >= PERCENT * (len(own) + len(other) - both)
+            if linked or 100 * both >= least * (len(own) + len(other) - both):
+                found.append((q, m, linked))
+                if linked:
+                    parent[root(mark[m])] = root(own_mark[q])
     return found
 
 
-def links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, members: DataFrame) -> DataFrame:
-    """Links a, b among `candidates` (query, grp) by opening groups of `members` (grp, node).
+def links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, members: DataFrame, least: int = PERCENT) -> DataFrame:
+    """a, b, linked among `candidates` (query, mark, grp) by opening groups of `members` (grp, node, mark).
 
     `nodes`: node, doc_id, text_key, where its text is found. Groups are cut into chunks, queries into salts, so
     that a task holds 2 * CHUNK texts at a time.
     """
-    asked = candidates.distinct()
-    sizes = asked.groupBy("grp").agg(F.count("*").alias("n_queries")).join(members.groupBy("grp").agg(F.count("*").alias("n_members")), "grp")
+    sizes = candidates.groupBy("grp").agg(F.count("*").alias("n_queries")).join(members.groupBy("grp").agg(F.count("*").alias("n_members")), "grp")
     sizes = sizes.select("grp", F.ceil(F.col("n_queries") / CHUNK).cast("int").alias("salts"), F.ceil(F.col("n_members") / CHUNK).cast("int").alias("chunks"))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = members.join(sizes, "grp").select("grp", "node", part("node", "chunks").alias("chunk"), every("salts").alias("salt"))
-    right = asked.join(sizes, "grp").select("grp", F.col("query").alias("node"), part("query", "salts").alias("salt"), every("chunks").alias("chunk"))
+    left = members.join(sizes, "grp").select("grp", "node", "mark", part("node", "chunks").alias("chunk"), every("salts").alias("salt"))
+    right = candidates.join(sizes, "grp").select("grp", F.col("query").alias("node"), "mark", part("query", "salts").alias("salt"), every("chunks").alias("chunk"))
     left, right = written(left, "members"), written(right, "queries")
     place = left.select("node").union(right.select("node")).distinct().join(nodes, "node")
     both = lambda c: F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}"))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     texts = written(keyed.alias("d").join(place.alias("p"), both("doc_id") & both("text_key")).select("node", "text"), "texts")
-    keys, out = ["grp", "chunk", "salt"], "a long, b long"
+    keys, out = ["grp", "chunk", "salt"], "a long, b long, linked boolean"
     schema = to_arrow_schema(T._parse_datatype_string(out))
 
     def look(members: pa.Table, queries: pa.Table) -> pa.Table:
-        found = opened(members, queries) if members.num_rows and queries.num_rows else []
-        return pa.table([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=schema)
+        found = opened(members, queries, least) if members.num_rows and queries.num_rows else []
+        return pa.table([pa.array([x[i] for x in found], f.type) for i, f in enumerate(schema)], schema=schema)
 
     again = texts.select(*[F.col(c).alias(c) for c in texts.columns])  # columns of its own, so that the two sides can be told apart
     return left.join(texts, "node").groupBy(*keys).cogroup(right.join(again, "node").groupBy(*keys)).applyInArrow(look, out)
@@ -313,26 +339,51 @@ def classed(docs: DataFrame) -> DataFrame:
     shingles = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = tasks(docs.sparkSession, shingles, 4_000_000)
 
+    # Whoever shares a min-hash is compared with one leader: the node whose min-hashes are shared most, the least edited copy.
     mins = nodes.select("node", "n", F.posexplode("mins").alias("i", "value"))
-    leaders = mins.groupBy("i", "value").agg(F.min_by(F.struct("node", "n"), "node").alias("lead"), F.count("*").alias("k")).where("k > 1")
-    stars = mins.join(leaders, ["i", "value"]).where(f"node <> lead.node AND 100 * least(n, lead.n) >= {PERCENT} * greatest(n, lead.n)")
-    stars = stars.select(F.col("node").alias("query"), F.col("lead.node").alias("grp")).distinct()
-    stars = written(stars, "stars")
-    near = written(links(docs, where, stars, stars.select("grp", F.col("grp").alias("node")).distinct()), "links")
-    groups = components(near)
+    shared = mins.groupBy("i", "value").agg(F.count("*").alias("k")).where("k > 1")
+    mins = written(mins.join(shared, ["i", "value"]), "mins")
+    known = mins.groupBy("node").agg(F.sum("k").alias("fame"))
+    mins = mins.join(known, "node")
+    leaders = mins.groupBy("i", "value").agg(F.max(F.struct("fame", "node", "n")).alias("lead"))
+    stars = mins.join(leaders, ["i", "value"]).where(f"node <> lead.node AND 100 * least(n, lead.n) >= {NEAR} * greatest(n, lead.n)")
+    stars = written(stars.groupBy(F.col("node").alias("query"), F.col("lead.node").alias("grp")).agg(F.first("lead.fame").alias("fame")), "stars")
+    heads = stars.select("grp", F.col("grp").alias("node"), F.col("grp").alias("mark")).distinct()
+    near = written(links(docs, where, stars.select("query", F.col("query").alias("mark"), "grp"), heads, NEAR), "near")
+    marks = components(near.where("linked"))
+    homes = near.join(stars, (near["a"] == stars["query"]) & (near["b"] == stars["grp"])).groupBy("query").agg(F.max(F.struct("fame", "grp"))["grp"].alias("home"))
+    place = nodes.select("node").join(marks.select("node", F.col("component").alias("mark")), "node", "left").join(homes.select(F.col("query").alias("node"), "home"), "node", "left")
+    place = written(place.select("node", F.coalesce("mark", "node").alias("mark"), F.coalesce("home", "node").alias("home")), "places")
 
     met = written(meetings(docs, buckets, frequent(docs, buckets)), "meetings")
-    group_of = lambda df, c, name: df.join(groups.select(F.col("node").alias(c), F.col("component").alias("_g")), c, "left").withColumn(name, F.coalesce("_g", c)).drop("_g")
-    pairs = group_of(group_of(met.where("b IS NOT NULL").select("a", "b").distinct(), "a", "ga"), "b", "gb").where("ga <> gb")
-    pairs = pairs.select(F.when(F.col("ga") < F.col("gb"), F.col("a")).otherwise(F.col("b")).alias("query"), F.greatest("ga", "gb").alias("grp"))
-    many = written(group_of(met.where("b IS NULL").select("a", "name"), "a", "ga"), "many")
-    there = many.select("name", F.col("ga").alias("grp")).distinct()
-    crowd = many.join(there, "name").where("ga < grp").select(F.col("a").alias("query"), "grp")
-    candidates = written(pairs.union(crowd).distinct(), "candidates")
-    inside = candidates.select("grp").distinct().join(groups.select("node", F.col("component").alias("grp")), "grp", "left").select("grp", F.coalesce("node", "grp").alias("node"))
+    pairs = written(met.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("times").alias("times")), "pairs")
+    many = met.where("b IS NULL").select("a", "name")
+    bound = 1 + F.floor(F.col("n") * (SHARE * PERCENT) / 10_000)
+    # Who shares less with all others together than a link takes has none.
+    one = F.lit(1).cast("bigint")
+    touched = pairs.select(F.col("a").alias("node"), "times").union(pairs.select("b", "times")).union(many.select("a", one)).groupBy("node").agg(F.sum("times").alias("times"))
+    alive = written(touched.join(nodes.select("node", "n"), "node").where(F.col("times") >= bound).select("node", "n"), "alive")
+    living = lambda df, c: df.join(alive.select(F.col("node").alias(c)), c, "left_semi")
+    many = written(living(many, "a"), "many")
+    # Of each crowd the group with the most nodes gets a vote from everyone in it; enough votes move a node there.
+    crowds = many.join(place.select(F.col("node").alias("a"), "home"), "a").groupBy("name", "home").agg(F.count("*").alias("k")).groupBy("name").agg(F.max(F.struct("k", "home"))["home"].alias("to"))
+    votes = many.join(crowds, "name").groupBy("a", "to").agg(F.count("*").alias("k")).groupBy("a").agg(F.max(F.struct("k", "to")).alias("v"))
+    moved = votes.join(alive.withColumnRenamed("node", "a"), "a").where(F.col("v.k") >= bound).select(F.col("a").alias("node"), F.col("v.to").alias("to"))
+    place = written(place.join(moved, "node", "left").select("node", "mark", F.coalesce("to", "home").alias("home")), "places")
+    of = lambda c: place.select(F.col("node").alias(c), F.col("mark").alias(f"mark_{c}"), F.col("home").alias(f"home_{c}"))
+    pairs = living(living(pairs, "a"), "b").join(of("a"), "a").join(of("b"), "b").where("mark_a <> mark_b")
+    low = F.col("home_a") <= F.col("home_b")
+    pairs = pairs.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("query"), F.when(low, F.col("mark_a")).otherwise(F.col("mark_b")).alias("mark"), F.greatest("home_a", "home_b").alias("grp"), "times")
+    many = many.join(of("a"), "a")
+    there = many.groupBy("name", F.col("home_a").alias("grp")).agg(F.min("mark_a").alias("low"), F.max("mark_a").alias("high"))
+    crowd = many.join(there, "name").where("home_a <= grp AND NOT (low = mark_a AND high = mark_a)").groupBy(F.col("a").alias("query"), F.col("mark_a").alias("mark"), "grp").agg(F.count("*").alias("times"))
+    # Two members that hold one shingle count twice: too much never excludes a group.
+    summed = pairs.union(crowd).groupBy("query", "mark", "grp").agg(F.sum("times").alias("times")).join(nodes.select(F.col("node").alias("query"), "n"), "query")
+    candidates = written(summed.where(F.col("times") >= bound).select("query", "mark", "grp"), "candidates")
+    inside = place.select(F.col("home").alias("grp"), "node", "mark").join(candidates.select("grp").distinct(), "grp", "left_semi")
     far = links(docs, where, candidates, inside)
 
-    whole = components(near.union(far))
+    whole = components(near.where("linked").select("a", "b").union(far.select("a", "b")))
     return seen.join(whole, "node", "left").select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("class"))
 
 
