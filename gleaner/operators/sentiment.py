@@ -91,14 +91,14 @@ def _grams(df: DataFrame, text_col: str, n: int) -> DataFrame:
     return chars.withColumn("gram", F.explode(grams)).drop(text_col, "_c")
 
 
-def detect_language(df: DataFrame, profiles: DataFrame, id_col: str, text_col: str = "text", n: int = 3, floor: float = 0.80, head: int = 400) -> DataFrame:
-    """id, language, confidence from the first characters of a text; und below the floor or 20 characters.
+def detect_language(df: DataFrame, profiles: DataFrame, id_col: str, text_col: str = "text", n: int = 3, floor: float = 0.80) -> DataFrame:
+    """id, language, confidence of a whole text; und below the floor or 20 characters.
 
     Profiles are bounded (`most` rows a language), so they may be joined by broadcast; Spark decides by their size.
     """
     short = F.length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) < text.FEWEST_LETTERS
     known = profiles.withColumn("worst", F.min("logp").over(Window.partitionBy()))  # a few thousand rows
-    grams = _grams(df.where(~short).select(F.col(id_col), F.left(text_col, F.lit(head)).alias(text_col)), text_col, n).groupBy(id_col, "gram").agg(F.count("*").alias("k"))
+    grams = _grams(df.where(~short).select(F.col(id_col), text_col), text_col, n).groupBy(id_col, "gram").agg(F.count("*").alias("k"))
     hit = grams.join(known, "gram").groupBy(id_col, "lang").agg(F.sum(F.col("k") * (F.col("logp") - F.col("worst") + 1)).alias("s"), F.sum("k").alias("k"))
     best = hit.groupBy(id_col).agg(F.max("s").alias("top"), F.max_by("lang", "s").alias("lang"), F.collect_list("s").alias("all"))
     soft = 1 / F.aggregate("all", F.lit(0.0), lambda t, x: t + F.exp(F.greatest((x - F.col("top")) / 4, F.lit(-50.0))))
