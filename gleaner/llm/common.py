@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -107,3 +109,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null, inside the JVM."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on, and an executor's memory is shared by all of them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
