@@ -7,10 +7,12 @@ give up a tenth, and what a context's seen tokens leave goes to the others by th
     P(w | h) = d(c) * c(h, w) / c(h) if c(h, w) > 0, else alpha(h) * P(w);  P(w) alike, without h; unknown words share what it leaves.
     alpha(h) = (1 - sum of P(w | h) over seen w) / (1 - sum of P(w) over the same w), so that P(. | h) sums to 1.
 
-Bigrams are dealt by their word's hash, as blobs that are sorted and counted before they are shuffled; a bucket knows all of a
-word's bigrams, and so c(h, w), c(w) and how often each text meets which count. Discounts depend on counts alone, so buckets give, by
-context and by text, how often each count occurs; they are stored as partitioned tables, and probabilities are put together
-from them. Only what a text backs off to is joined by its context: of training texts, nothing.
+Texts are put into chunks of about `CHUNK_TOKENS` tokens, which are written. A chunk gives each of its words and bigrams once, with
+its count, dealt by the hash of the word or of the whole bigram; a bucket sums them and tells each chunk the corpus's counts, in
+the chunk's own order, and one chunk of each bigram that it stands for it. So no task holds the occurrences of a word, however
+frequent: a word or bigram is one entry for each chunk that has it. Chunks then score their texts and give, for the bigrams that
+they stand for, sums by context, which make the backoff weights. Only what a text backs off to is joined by its context, a row
+for each chunk and context: of training texts, nothing.
 
 Null or empty text: the end alone. Null doc_id: a training text. Repeated rows: each counts and is scored. No training
 texts: every word is unknown. Words are told apart by 64-bit hashes. Extra columns are ignored.
@@ -36,63 +38,54 @@ from .common import give_back, hashes, mixed, slices, table, texts_of, word_code
 K = 5
 BIG = 0.1
 BEGIN, END = np.uint64(1), np.uint64(2)
-BUCKET_BYTES = 10 << 20
+BUCKET_BYTES = 16 << 20
 CHUNK_TOKENS = 1_500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-DEALT = "bucket int, chunk long, words binary, per_word binary, contexts binary, context binary, per_pair binary, docs binary, held binary, names binary"
-#: kind 0: counts of counts in nums; 1: a context h; 2: sums by text in blob; 3: texts of a chunk; 4: a text's misses behind h.
-MADE = "kind int, chunk long, idx int, h long, times long, nums array<long>, blob binary"
-#: Of a text: tokens, known ones, sum of log10(c + 0.1); bigrams by count 1 to K, sum of log10(c - BIG) of others, sum of
-#: -log10 c of its contexts; misses by the word's count 0 to K, number and sum of log10(c - BIG) of other missed words.
-SUMS = 3 + K + 2 + K + 3
+#: Of a chunk: doc_ids with a flag for null ones, which texts are held out, tokens of each text, words (sorted hashes), their places by token.
+CHUNKS = "chunk long, names binary, held binary, sizes binary, words binary, codes binary"
+DEALT = "bucket int, chunk long, words binary, word_counts binary, pairs binary, pair_counts binary"
+#: nums: counts of counts of a bucket; else a chunk's counts in the corpus, of its words and bigrams of a bucket.
+COUNTED = "bucket int, chunk long, nums array<long>, words binary, pairs binary"
+#: kind 1: sums of a context h, see `judged`; 2: a text; 4: texts of a chunk that back off behind h, and how often.
+MADE = "kind int, chunk long, idx int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, h long, nums array<double>, texts array<int>, times array<long>"
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    """The bytes of `x`, those of each place of a number together."""
+    x = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
 
 
 def _unpack(x, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_buffer()), kind)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_buffer()), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _pack_sorted(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=np.uint64(0)))
+
+
+def _unpack_sorted(x) -> np.ndarray:
+    return np.cumsum(_unpack(x, np.uint64), dtype=np.uint64)
 
 
 def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
 
 
-def dealt(docs: DataFrame, buckets: int) -> DataFrame:
-    """Sorted, counted bigrams of chunks of texts, dealt by the word's hash."""
-    schema = to_arrow_schema(T._parse_datatype_string(DEALT))
+def chunks(docs: DataFrame) -> DataFrame:
+    """Tokens of chunks of texts."""
+    schema = to_arrow_schema(T._parse_datatype_string(CHUNKS))
 
-    def emit(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], names: list[int | None]) -> pa.RecordBatch:
-        w, h, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-        chunk = uuid.uuid4().int >> 65
+    def emit(parts: list[np.ndarray], sizes: list[np.ndarray], names: list[int | None]) -> pa.RecordBatch:
+        words, codes = np.unique(np.concatenate(parts), return_inverse=True)
+        flagged = np.array([[-1 if n is None else 1, n or 0] for n in names], np.int64).ravel()
         held = np.array([is_held_out(n) for n in names], np.uint8)
-        words, wr = np.unique(w, return_inverse=True)
-        contexts, hr = np.unique(h, return_inverse=True)
-        key = wr * np.int64(len(contexts)) + hr
-        order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
-        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        del w, h, wr, hr, order
-        per_pair = np.diff(np.append(new, len(key)))
-        pair_w, pair_h = np.divmod(key[new], len(contexts))
-        bucket = ((words >> np.uint64(44)) * np.uint64(buckets) >> np.uint64(20)).astype(np.int64)
-        word_cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        pair_cuts = np.searchsorted(pair_w, word_cuts)
-        doc_cuts = np.append(new, len(key))[pair_cuts]
-        home, rows = chunk % buckets, []
-        small = np.uint16 if len(names) <= 65536 else np.uint32
-        for b in range(buckets):
-            i, j = pair_cuts[b], pair_cuts[b + 1]
-            if i == j and b != home:
-                continue
-            used, local = np.unique(pair_h[i:j], return_inverse=True)
-            texts = _pack(np.array([[-1 if n is None else 1, n or 0] for n in names], np.int64)) if b == home else None
-            rows.append((b, chunk, _pack(words[word_cuts[b] : word_cuts[b + 1]]), _pack(np.bincount(pair_w[i:j] - word_cuts[b], minlength=word_cuts[b + 1] - word_cuts[b]).astype(np.uint32)), _pack(contexts[used]), _pack(local.astype(np.uint32)), _pack(per_pair[i:j].astype(np.uint32)), _pack(doc[doc_cuts[b] : doc_cuts[b + 1]].astype(small)), _pack(held), texts))
-        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        row = (uuid.uuid4().int >> 65, _pack(flagged), _pack(held), _pack(np.concatenate(sizes).astype(np.int64)), _pack_sorted(words), _pack(codes.astype(np.uint32)))
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, names, tokens = [], [], 0
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, sizes, names, tokens = [], [], [], 0
         for whole in batches:
             for batch in slices(whole, "text"):
                 ends, codes, words = word_codes(texts_of(batch, "text"))
@@ -103,110 +96,144 @@ def dealt(docs: DataFrame, buckets: int) -> DataFrame:
                 inside = np.ones(at[-1], bool)
                 inside[at[1:] - 1] = False
                 w[inside] = of[codes]
-                h = np.concatenate([[BEGIN], w[:-1]])
-                h[at[:-1]] = BEGIN
-                parts.append((w, h, np.repeat(np.arange(len(n)) + len(names), n + 1)))
+                parts.append(w)
+                sizes.append(n + 1)
                 names += batch.column("doc_id").to_pylist()
                 tokens += int(at[-1])
                 if tokens >= CHUNK_TOKENS:
-                    yield emit(parts, names)
-                    parts, names, tokens = [], [], 0
+                    yield emit(parts, sizes, names)
+                    parts, sizes, names, tokens = [], [], [], 0
                     give_back()
         if names:
-            yield emit(parts, names)
-            parts = []
+            yield emit(parts, sizes, names)
+            parts, sizes = [], []
             give_back()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, DEALT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, CHUNKS)
 
 
-def _classes(c: np.ndarray) -> np.ndarray:
-    """0 to K for counts up to K, K + 1 for larger ones."""
-    return np.minimum(c, K + 1)
+class Chunk:
+    """A chunk's words and bigrams, these in the order of their hashes."""
 
+    def __init__(self, rows: pa.Table | pa.RecordBatch, i: int) -> None:
+        get = lambda c, kind: _unpack(rows.column(c)[i], kind)
+        self.chunk = rows.column("chunk")[i].as_py()
+        self.held, sizes = get("held", np.uint8), get("sizes", np.int64)
+        self.words = _unpack_sorted(rows.column("words")[i])
+        self.w = get("codes", np.uint32).astype(np.int64)
+        n = len(self.words)
+        h = np.concatenate([[n], self.w[:-1]])
+        h[np.cumsum(sizes) - sizes] = n
+        self.text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.contexts = np.append(self.words, BEGIN)
+        pairs, at = np.unique(self.w * (n + 1) + h, return_inverse=True)
+        del h
+        w, h = np.divmod(pairs, n + 1)
+        pairs = mixed(self.words[w] * _STEP + self.contexts[h])
+        order = np.argsort(pairs, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.pairs, self.pair_w, self.pair_h, self.at = pairs[order], w[order], h[order], rank[at]
 
-def counted(rows: pa.Table, schema: pa.Schema) -> pa.Table:
-    """All that a bucket tells; see MADE."""
-    out: dict[str, list] = {f.name: [] for f in schema}
-
-    def add(**row) -> None:
-        for name in out:
-            out[name].append(row.get(name))
-
-    W, H, trained, sizes, docs, spans = [], [], [], [], [], []
-    offset = 0
-    for i in range(rows.num_rows):
-        get = lambda c, kind: _unpack(rows.column(c)[i], kind)  # noqa: B023, E731
-        held = get("held", np.uint8)
-        per_pair = get("per_pair", np.uint32).astype(np.int64)
-        doc = get("docs", np.uint16 if len(held) <= 65536 else np.uint32).astype(np.int32)
-        W.append(np.repeat(get("words", np.uint64), get("per_word", np.uint32)))
-        H.append(get("contexts", np.uint64)[get("context", np.uint32)])
-        cuts = np.concatenate([[0], np.cumsum(per_pair)])[:-1]
-        trained.append(np.add.reduceat((held[doc] == 0).astype(np.int32), cuts) if len(cuts) else np.zeros(0, np.int32))
-        sizes.append(per_pair)
-        docs.append(doc + offset)
-        spans.append((rows.column("chunk")[i].as_py(), offset, offset + len(held)))
-        offset += len(held)
-        if rows.column("names")[i].is_valid:
-            add(kind=3, chunk=spans[-1][0], blob=rows.column("names")[i].as_py())
-    W, H, trained, sizes, docs = (np.concatenate(x) for x in (W, H, trained, sizes, docs))
-    del rows
-    words, wi = np.unique(W, return_inverse=True)
-    wi = wi.astype(np.int32)
-    of_word = np.bincount(wi, trained, len(words)).astype(np.int64)
-    _, first, pi = np.unique(mixed(W * _STEP + H), return_index=True, return_inverse=True)
-    pi = pi.astype(np.int32)
-    of_pair = np.bincount(pi, trained, len(first)).astype(np.int64)
-    pair_word, pair_context = of_word[wi[first]], H[first]
-    tally = lambda c: np.bincount(_classes(c[c > 0]), minlength=K + 2)[1:]
-    exact6 = lambda c: int((c == K + 1).sum())
-    add(kind=0, nums=[int(of_word.sum()), int((of_word > 0).sum()), *map(int, tally(of_word)[:K]), exact6(of_word), *map(int, tally(of_pair)[:K]), exact6(of_pair)])
 
+def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
+    return ((x >> np.uint64(44)) * np.uint64(buckets) >> np.uint64(20)).astype(np.int64)
+
+
+def dealt(made: DataFrame, buckets: int) -> DataFrame:
+    """The words and bigrams of `chunks`, once each, and how often training texts of the chunk have them."""
+    schema = to_arrow_schema(T._parse_datatype_string(DEALT))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                c, rows = Chunk(batch, i), []
+                train = c.held[c.text] == 0
+                counts = [np.bincount(x[train], minlength=n).astype(np.uint32) for x, n in ((c.w, len(c.words)), (c.at, len(c.pairs)))]
+                cuts = [np.searchsorted(_bucket(x, buckets), np.arange(buckets + 1)) for x in (c.words, c.pairs)]
+                for b in range(buckets):
+                    (p, q), (s, t) = cuts[0][b : b + 2], cuts[1][b : b + 2]
+                    if p < q or s < t:
+                        rows.append((b, c.chunk, _pack_sorted(c.words[p:q]), _pack(counts[0][p:q]), _pack_sorted(c.pairs[s:t]), _pack(counts[1][s:t])))
+                del c, train, counts
+                give_back()
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return made.mapInArrow(deal, DEALT)
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of each distinct key; for each entry twice its key's sum, and one more at the key's first entry."""
+    keys = np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+    starts = np.flatnonzero(first)
+    counts = np.concatenate(counts).astype(np.int64)[order]
+    sums = np.add.reduceat(counts, starts) if len(starts) else counts
+    told = np.empty(len(keys), np.uint64)
+    told[order] = (2 * np.repeat(sums, np.diff(np.append(starts, len(keys)))) + first).astype(np.uint64)
+    return sums, told
+
+
+def counted(rows: pa.Table, schema: pa.Schema) -> pa.Table:
+    """What a bucket tells; see COUNTED."""
+    n, nums, told = rows.num_rows, [], []
+    for name, of in (("words", "word_counts"), ("pairs", "pair_counts")):
+        keys = [_unpack_sorted(x) for x in rows.column(name)]
+        sums, each = _summed(keys, [_unpack(x, np.uint32) for x in rows.column(of)])
+        ends = np.cumsum([len(k) for k in keys])
+        told.append([_pack(x) for x in np.split(each, ends[:-1])])
+        if name == "words":
+            nums += [int(sums.sum()), int((sums > 0).sum())]
+        nums += np.bincount(np.minimum(sums, K + 2), minlength=K + 3)[1 : K + 2].tolist()
+    b = rows.column("bucket")[0].as_py()
+    columns = [[b] * (n + 1), [None, *rows.column("chunk").to_pylist()], [nums] + [None] * n, [None, *told[0]], [None, *told[1]]]
+    return pa.table([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _less(c: np.ndarray, d: list[float]) -> np.ndarray:
+    """Counts after their discount."""
+    return np.where(c > K, c - BIG, np.array([0.0, *(d[r - 1] * r for r in range(1, K + 1))])[np.minimum(c, K)])
+
+
+def judged(chunk: pa.Table, told: pa.Table, schema: pa.Schema, total: int, d1: list[float], d2: list[float], unknown: float) -> pa.Table:
+    """Texts, contexts and misses of a chunk; see MADE. A context's sums are its bigrams' counts, what these lose, and their words' discounted counts."""
+    c, order = Chunk(chunk, 0), np.argsort(told.column("bucket").to_numpy())
+    of_word, of_pair = (np.concatenate([_unpack(told.column(name)[int(i)], np.uint64) for i in order]) for name in ("words", "pairs"))
+    of_word, mine, of_pair = (of_word >> np.uint64(1)).astype(np.int64), (of_pair & np.uint64(1)) == 1, (of_pair >> np.uint64(1)).astype(np.int64)
+    n, texts = len(c.words), len(c.held)
+    # Every word is a context as often as it occurs, the begin as often as the end.
+    of_context = np.append(of_word, of_word[c.words == END])
+    one = np.where(of_word > 0, _less(of_word, d1), 1.0)
+    one = np.where(of_word > 0, np.log10(one / max(total, 1)), unknown)
     seen = of_pair > 0
-    contexts, ci = np.unique(pair_context[seen], return_inverse=True)
-    c, cw = of_pair[seen], pair_word[seen]
-    n = len(contexts)
-    columns = [np.bincount(ci, _classes(x) == r, n) for x in (c, cw) for r in range(1, K + 2)]
-    tails = [np.bincount(ci, np.where(x > K, x, 0), n) for x in (c, cw)]
-    nums = np.stack([*columns[: K + 1], tails[0], *columns[K + 1 :], tails[1]], 1).astype(np.int64)
-
-    word, text_of = np.repeat(np.arange(len(W), dtype=np.int32), sizes), docs
-    ct, cwt = of_pair[pi][word], of_word[wi][word]
-    ended = (W == END)[word]
-    del wi, pi, trained, sizes
-    log = np.zeros((offset, SUMS))
-    put = lambda j, mask, value=None: log.__setitem__((slice(None), j), np.bincount(text_of[mask], None if value is None else value[mask], offset))
-    everyone = np.ones(len(word), bool)
-    put(0, everyone)
-    put(1, cwt > 0)
-    put(2, everyone, np.log10(cwt + 0.1))
-    for r in range(1, K + 1):
-        put(2 + r, ct == r)
-    put(3 + K, ct > K, np.log10(np.maximum(ct - BIG, BIG)))
-    put(4 + K, (cwt > 0) & ~ended, -np.log10(np.maximum(cwt, 1)))
-    missed = ct == 0
-    for r in range(K + 1):
-        put(5 + K + r, missed & (cwt == r))
-    put(6 + 2 * K, missed & (cwt > K))
-    put(7 + 2 * K, missed & (cwt > K), np.log10(np.maximum(cwt - BIG, BIG)))
-    for chunk, a, b in spans:
-        used = np.flatnonzero(log[a:b, 0])
-        add(kind=2, chunk=chunk, nums=[len(used)], blob=_pack(np.concatenate([used.astype(np.float64)[:, None], log[a:b][used]], 1)))
-    del log
-    head = pa.table([pa.array(out[f.name], f.type) for f in schema], schema=schema)
-
-    empty = lambda n, f: pa.nulls(n, f.type)
-    lists = pa.ListArray.from_arrays(np.arange(0, nums.size + 1, nums.shape[1], dtype=np.int32), nums.ravel()).cast(schema.field("nums").type)
-    given = {"kind": pa.array(np.ones(n, np.int32)), "h": pa.array(contexts.view(np.int64)), "nums": lists}
-    body = pa.table([given.get(f.name, empty(n, f)) for f in schema], schema=schema)
-    at = np.flatnonzero(missed)
-    keys, times = np.unique(np.stack([text_of[at], H[word[at]].view(np.int64)], 1), axis=0, return_counts=True) if len(at) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-    starts = np.array([a for _, a, _ in spans])
-    which = np.searchsorted(starts, keys[:, 0], side="right") - 1
-    given = {"kind": pa.array(np.full(len(keys), 4, np.int32)), "chunk": pa.array(np.array([s[0] for s in spans], np.int64)[which]), "idx": pa.array((keys[:, 0] - starts[which]).astype(np.int32)), "h": pa.array(keys[:, 1]), "times": pa.array(times.astype(np.int64))}
-    tail = pa.table([given.get(f.name, empty(len(keys), f)) for f in schema], schema=schema)
-    return pa.concat_tables([head, body, tail])
+    two = np.where(seen, np.log10(np.where(seen, _less(of_pair, d2), 1.0) / np.maximum(of_context[c.pair_h], 1)), one[c.pair_w])
+    sums = lambda x: np.bincount(c.text, x, texts)
+    flagged = _unpack(chunk.column("names")[0], np.int64).reshape(-1, 2)
+
+    def part(m: int, **given) -> pa.Table:
+        return pa.table([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(m, f.type) for f in schema], schema=schema)
+
+    def lists(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+
+    known = sums(of_word[c.w] > 0).astype(np.int64)
+    out = [part(texts, kind=np.full(texts, 2), chunk=np.full(texts, c.chunk), idx=np.arange(texts), doc_id=[int(i) if ok > 0 else None for ok, i in flagged], held_out=c.held == 1, n_tokens=np.bincount(c.text, minlength=texts), n_known=known, base=sums(np.log10(of_word + 0.1)[c.w]), score=sums(two[c.at]))]
+
+    own = seen & mine
+    h, p, lost = c.pair_h[own], of_pair[own], of_pair[own] - _less(of_pair[own], d2)
+    used = np.unique(h)
+    table_ = np.stack([np.bincount(h, x, n + 1)[used] for x in (p, lost, _less(of_word[c.pair_w[own]], d1))], 1)
+    out.append(part(len(used), kind=np.full(len(used), 1), h=c.contexts[used].view(np.int64), nums=lists(np.arange(0, 3 * len(used) + 1, 3), table_.ravel()).cast(schema.field("nums").type)))
+
+    missed = (~seen & (of_context[c.pair_h] > 0))[c.at]
+    keys, times = np.unique(c.pair_h[c.at[missed]] * texts + c.text[missed], return_counts=True)
+    h, text = np.divmod(keys, texts)
+    starts = np.flatnonzero(np.diff(h, prepend=-1))
+    ends = np.append(starts, len(h))
+    out.append(part(len(starts), kind=np.full(len(starts), 4), chunk=np.full(len(starts), c.chunk), h=c.contexts[h[starts]].view(np.int64), texts=lists(ends, text.astype(np.int32)).cast(schema.field("texts").type), times=lists(ends, times.astype(np.int64)).cast(schema.field("times").type)))
+    return pa.concat_tables(out)
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -223,61 +250,40 @@ def discounts(n: list[int]) -> list[float]:
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of `docs` (doc_id, text)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    made_schema = to_arrow_schema(T._parse_datatype_string(MADE))
+    counted_schema, made_schema = (to_arrow_schema(T._parse_datatype_string(x)) for x in (COUNTED, MADE))
+    cut = written(chunks(docs), "chunks")
 
     def counts_of(rows: pa.Table) -> pa.Table:
         give_back()  # what the bucket before has left
-        return counted(rows, made_schema)
+        return counted(rows, counted_schema)
 
-    made = written(dealt(docs, max(8, -(-size // BUCKET_BYTES))).groupBy("bucket").applyInArrow(counts_of, MADE), "bigrams")
+    told = written(dealt(cut, max(8, -(-size // BUCKET_BYTES))).groupBy("bucket").applyInArrow(counts_of, COUNTED), "counts")
     # A row for each bucket, summed to one: the counts of counts.
     width = 2 + 2 * (K + 1)
-    got = made.where("kind = 0").agg(*[F.sum(F.col("nums")[i]) for i in range(width)]).first()
+    got = told.where("nums IS NOT NULL").agg(*[F.sum(F.col("nums")[i]) for i in range(width)]).first()
     total, distinct, *counts = [int(x or 0) for x in got] if got else [0] * width
     d1, d2 = discounts(counts[: K + 1]), discounts(counts[K + 1 :])
-
-    sums = made.where("kind = 1").groupBy("h").agg(*[F.sum(F.col("nums")[i]).alias(f"s{i}") for i in range(2 * (K + 2))])
-    s = [F.col(f"s{i}") for i in range(2 * (K + 2))]
-    mass = lambda d, x: sum((d[r - 1] * r * x[r - 1] for r in range(1, K + 1)), F.lit(0.0)) + x[K + 1] - BIG * x[K]
-    count = sum((r * s[r - 1] for r in range(1, K + 1)), F.lit(0)) + s[K + 1]
-    left = 1 - mass(d2, s) / count
-    lower = 1 - mass(d1, s[K + 2 :]) / F.lit(float(max(total, 1)))
-    model = written(sums.select("h", count.cast("double").alias("c"), F.log10(left / lower).alias("alpha")), "backoff")
     # Mass of unknown words: what the known ones leave. Its parts need sums over words by count; Good-Turing's are the counts of counts.
     known = sum(d1[r - 1] * r * counts[r - 1] for r in range(1, K + 1))
     big_words = distinct - sum(counts[:K])
     big_tokens = total - sum(r * counts[r - 1] for r in range(1, K + 1))
     unknown = 1 - (known + big_tokens - BIG * big_words) / total if total else 1.0
-    log = lambda x: math.log10(x) if x > 0 else 0.0
-    one = [log(unknown)] + [log(d1[r - 1] * r / max(total, 1)) for r in range(1, K + 1)]
-    two = [log(d2[r - 1] * r) for r in range(1, K + 1)]
-    first = model.where(F.col("h") == F.lit(int(BEGIN))).first()
-    begin = math.log10(first["c"]) if first else 0.0
-
-    missed = made.where("kind = 4").select("chunk", "idx", "h", "times").join(model, "h").groupBy("chunk", "idx").agg(F.sum(F.col("times") * (F.col("alpha") + F.log10("c"))).alias("back"))
-    out = "chunk long, idx int, doc_id long, held_out boolean, " + ", ".join(f"x{i} double" for i in range(SUMS))
-    schema = to_arrow_schema(T._parse_datatype_string(out))
-
-    def gather(rows: pa.Table) -> pa.Table:
-        kinds = rows.column("kind").to_pylist()
-        names = _unpack(rows.column("blob")[kinds.index(3)], np.int64).reshape(-1, 2)
-        total_ = np.zeros((len(names), SUMS))
-        for i, k in enumerate(kinds):
-            if k == 2 and rows.column("nums")[i].as_py()[0]:
-                part = _unpack(rows.column("blob")[i], np.float64).reshape(-1, SUMS + 1)
-                total_[part[:, 0].astype(np.int64)] += part[:, 1:]
-        ids = [int(n) if ok > 0 else None for ok, n in names]
-        chunk = rows.column("chunk")[0].as_py()
-        columns = [pa.array([chunk] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int32()), pa.array(ids, pa.int64()), pa.array([is_held_out(i) for i in ids], pa.bool_())]
-        return pa.table([*columns, *[pa.array(total_[:, i]) for i in range(SUMS)]], schema=schema)
-
-    each = made.where("kind IN (2, 3)").select("kind", "chunk", "nums", "blob").groupBy("chunk").applyInArrow(gather, out).join(missed, ["chunk", "idx"], "left")
-    x = [F.col(f"x{i}") for i in range(SUMS)]
-    seen = sum((two[r - 1] * x[2 + r] for r in range(1, K + 1)), F.lit(0.0)) + x[3 + K] + x[4 + K] - begin
-    unseen = sum((one[r] * x[5 + K + r] for r in range(K + 1)), F.lit(0.0)) + x[7 + 2 * K] - math.log10(max(total, 1)) * x[6 + 2 * K]
-    base = x[2] - x[0] * F.lit(math.log10(total + 0.1 * (distinct + 1)))
-    score = seen + unseen + F.coalesce("back", F.lit(0.0))
-    return each.select("doc_id", "held_out", x[0].cast("long").alias("n_tokens"), x[1].cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
+    unknown = math.log10(unknown) if unknown > 0 else 0.0
+
+    def judge(chunk: pa.Table, of: pa.Table) -> pa.Table:
+        give_back()
+        return judged(chunk, of, made_schema, total, d1, d2, unknown)
+
+    of_chunks = told.where("nums IS NULL").select("bucket", "chunk", "words", "pairs")
+    made = written(cut.groupBy("chunk").cogroup(of_chunks.groupBy("chunk")).applyInArrow(judge, MADE), "scored")
+    sums = made.where("kind = 1").groupBy("h").agg(*[F.sum(F.col("nums")[i]).alias(f"s{i}") for i in range(3)])
+    lower = 1 - F.col("s2") / F.lit(float(max(total, 1)))
+    model = sums.select("h", F.log10(F.col("s1") / F.col("s0") / lower).alias("alpha"))
+    missed = made.where("kind = 4").select("chunk", "h", F.arrays_zip("texts", "times").alias("x")).join(model, "h")
+    back = missed.select("chunk", "alpha", F.explode("x").alias("x")).groupBy("chunk", F.col("x.texts").alias("idx")).agg(F.sum(F.col("x.times") * F.col("alpha")).alias("back"))
+    each = made.where("kind = 2").select("chunk", "idx", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").join(back, ["chunk", "idx"], "left")
+    base = F.col("base") - F.col("n_tokens") * F.lit(math.log10(total + 0.1 * (distinct + 1)))
+    return each.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("back", F.lit(0.0))).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,6 +221,16 @@ def test_katz(spark, docs, rows):
     assert katz.scores(empty(spark)).count() == 0
 
 
+def test_katz_deals_a_frequent_word_evenly(spark):
+    """A word that is half of all tokens, by different words: an entry for each of its bigrams in a chunk, spread over the buckets."""
+    rows = [(i, " ".join(f"the w{i * 100 + j}" for j in range(100)), "en", None, None) for i in range(40)]
+    df = spark.createDataFrame(rows, DOCS).coalesce(1)
+    dealt = katz.dealt(katz.chunks(df.select("doc_id", "text")), 16).toArrow()
+    sizes = [len(katz._unpack_sorted(x)) for x in dealt.column("pairs")]
+    assert sum(sizes) == 1 + 4000 + 3960 + 40 and max(sizes) < 2 * sum(sizes) / 16
+    assert sum(len(katz._unpack_sorted(x)) for x in dealt.column("words")) == 1 + 4000 + 1
+
+
 # 6
 
 
