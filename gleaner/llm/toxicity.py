@@ -1,8 +1,9 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic, one on ordinary text: each is made of the spans (words and
-beginnings of words) that tell its class from the other by how many words they follow, in a bounded sample of labelled
-documents. Every window of a text is compressed with both; how much shorter the toxic dictionary makes it is the
+Two zstandard dictionaries are made of spans (words and beginnings of words) of a bounded sample of labelled documents:
+both of the same few ordinary ones, the toxic one also of those that tell toxic text by how many words they follow, where
+the other has filler. A distance is thus what matches the toxic spans: ordinary text has no spans of its own, which found
+less when tried, as did zstandard's dictionary training (README). Every window of a text is compressed with both; how much shorter the toxic dictionary makes it is the
 window's distance. Four figures of a text's distances (their mean excess, their greatest, share and number at the
 threshold) go through a logistic calibration fitted on the sample's other half, with weights that restore the
 labels' own proportions.
