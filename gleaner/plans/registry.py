@@ -606,12 +606,8 @@ def mart_summary(spark, sf):
 once AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY app_id, id ORDER BY page, pos) = 1)
 SELECT app_id, id AS source_review_id, rating, row_number() OVER (PARTITION BY app_id ORDER BY page, pos) - 1 AS rank FROM once""")
 def feed_frame(spark, sf):
-    """conversations as pages of a feed: a page of JSON text for each app and turn, read back."""
-    c = demo.table(spark, sf, "conversations").select((F.col("conv_id") % 3).alias("app_id"), F.col("turn").alias("page"), "conv_id")
-    said = lambda v: F.struct(v.cast("string").alias("label"))
-    entry = F.struct(F.col("conv_id").alias("at"), said(F.concat(F.lit("r"), (F.col("conv_id") % 40).cast("string"))).alias("id"), said(F.lit("t")).alias("title"), said(F.lit("b")).alias("content"), said(F.col("conv_id") % 5 + 1).alias("im:rating"))
-    pages = c.groupBy("app_id", "page").agg(F.to_json(F.struct(F.struct(F.sort_array(F.collect_list(entry)).alias("entry")).alias("feed"))).alias("value")).withColumn("country", F.lit("us"))
-    return source.feed_frame(source.feed_entries(pages)).select("app_id", "source_review_id", "rating", "rank")
+    """conversations as pages of a feed, read back."""
+    return source.feed_frame(source.feed_entries(demo.feed_pages(spark, sf))).select("app_id", "source_review_id", "rating", "rank")
 
 
 @query("""SELECT CAST(doc_id AS VARCHAR) AS source_review_id, CASE WHEN doc_id % 7 BETWEEN 1 AND 5 AND doc_id % 11 <> 0 THEN true ELSE false END AS valid, CAST(doc_id % 7 AS INTEGER) AS rating,

@@ -43,3 +43,14 @@ def test_sql_agrees(spark, name):
     cols = ", ".join(f'"{x}"' for x in sorted(df.columns))
     same = lambda rows: sorted(tuple(str(round(v, 6)) if isinstance(v, float) else str(v) for v in r) for r in rows)
     assert same(c.sql(f"SELECT {cols} FROM ({registry.SQL[name]})").fetchall()) == same(df.select(*sorted(df.columns)).collect())
+
+
+def test_feed_pages_are_bounded(spark, tmp_path):
+    import json
+
+    from gleaner.plans import demo, registry
+
+    spark.range(4000).selectExpr("id AS conv_id", "explode(array(0, 1)) AS turn").write.parquet(str(tmp_path / "conversations.parquet"))
+    sizes = [len(json.loads(r["value"])["feed"]["entry"]) for r in demo.feed_pages(spark, str(tmp_path)).collect()]
+    assert max(sizes) == 50 and sum(sizes) == 8000
+    assert registry.QUERIES["feed_frame"](spark, str(tmp_path)).count() == 120
