@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -17,6 +19,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet below the checkpoint folder and read again; unlike a checkpoint it keeps no partitioning, which grows with each round of joins."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    path = f"{top.rstrip('/')}/gleaner/rounds-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session has ended; the folder's owner clears it
+            pass
+
+    atexit.register(remove)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame, group: Sequence[str] = (), rounds: int = 100) -> DataFrame:
     """group, node, component (the least node) of every node of `edges` (group, a, b)."""
     both = checkpointed(edges.select(*group, "a", "b").union(edges.select(*group, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
