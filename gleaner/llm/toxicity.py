@@ -1,24 +1,28 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made of spans (words and beginnings of words) of a bounded sample of labelled documents:
-both of the same few ordinary ones, the toxic one also of those that tell toxic text by how many words they follow, where
-the other has filler. A distance is thus what matches the toxic spans: ordinary text has no spans of its own, which found
-less when tried, as did zstandard's dictionary training (README). Every window of a text is compressed with both; how much shorter the toxic dictionary makes it is the
-window's distance. Four figures of a text's distances (their mean excess, their greatest, share and number at the
-threshold) go through a logistic calibration fitted on the sample's other half, with weights that restore the
-labels' own proportions.
+Two zstandard dictionaries are trained, one for each class, on words of a bounded sample of labelled documents: the ordinary one
+on ordinary text, each word weighed by the logarithm of its documents; the toxic one on the words by which toxic text stands out
+from ordinary text, weighed by their documents. Toxic text is ordinary text too, so the ordinary dictionary's content follows the
+toxic one's in the toxic dictionary: what both hold saves alike. Every window of a text is compressed with both; how much shorter
+the toxic dictionary makes it is the window's distance. The threshold from which a window counts, and the weights of four figures
+of a text's distances (their mean excess, their greatest, share and number at the threshold), are calibrated on the
+sample's other half by logistic regression, with weights that restore the labels' own proportions.
 
-Windows start with a sentinel that both dictionaries hold, and literals stay raw, so that a length tells matched spans
-and little else.
+Windows start with a sentinel that both dictionaries hold, so that zstandard never stores one raw, and are short enough to leave
+literals uncompressed; a length thus tells what was matched.
 
 Bound of the fit: `SAMPLE_TOXIC` and `SAMPLE_OTHER` labelled documents, those with the least MD5 of doc_id among the rows
-to learn from (crc32 of doc_id mod 5 is not 0). Labels of null doc_id or null toxic are not learnt from; of several
-labels of a document the greatest counts. No labels of either class: every score is the share of toxic ones (0 without
-any). Null or empty text: no window, scored like a text without distance. Repeated rows: each is scored, alike. Extra columns are ignored.
+to learn from (crc32 of doc_id mod 5 is not 0), and of their words the `TRAINED_WORDS` with the most documents in each class.
+Labels of null doc_id or null toxic are not learnt from; of several labels of a document the greatest counts. No labels of either
+class, or no word that stands out: every score is the share of toxic ones (0 without any). Null or empty text: no window, scored
+like a text without distance. A text of any length is cut into windows whole. Repeated rows: each is scored, alike. Extra columns
+are ignored, or kept by `with_score` and `without_toxic`, which raise ValueError where their own column's name is taken.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,37 +38,50 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import slices, table, texts_of, written
 
 SAMPLE_TOXIC, SAMPLE_OTHER = 1500, 3000
-SPANS = 64
-WINDOW, OVER = 160, 40
-NEAR = 3
+TRAINED_WORDS = 50_000
+#: Standard deviations and occurrences by which a beginning of words has to stand out in toxic text.
+STANDS_OUT, LEAST_TIMES = 5.0, 5
+WINDOW, STEP = 48, 32
 SENTINEL = bytes(range(1, 17))
+TOXIC_BYTES, ORDINARY_BYTES = 8 << 10, 32 << 10
+#: Thresholds that calibration chooses from.
+NEAR = (2, 3, 4, 5, 6, 8)
 FEATURES = 4
 _SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
 def _parameters() -> zstandard.ZstdCompressionParameters:
-    """Fast matching of 5 bytes and more; a positive target length leaves literals uncompressed."""
-    return zstandard.ZstdCompressionParameters(compression_level=1, window_log=17, strategy=zstandard.STRATEGY_FAST, min_match=5, hash_log=17, chain_log=14, search_log=1, target_length=1, write_content_size=0, write_checksum=0, write_dict_id=0)
+    return zstandard.ZstdCompressionParameters(compression_level=6, window_log=17, strategy=zstandard.STRATEGY_LAZY2, min_match=4, hash_log=15, chain_log=15, search_log=4, target_length=64, write_content_size=0, write_checksum=0, write_dict_id=0)
 
 
-def dictionary(spans: list[str]) -> bytes:
-    """The content of a dictionary of spans."""
-    return SENTINEL + b"\n" + "\n".join(spans).encode() + b"\n" + b"\0" * 8
+def trained(words: dict[str, int], size: int) -> bytes:
+    """A zstandard dictionary of up to `size` bytes trained on words, each a sample as often as it says; too few: all of them.
+
+    Training takes the best segment of each run of samples, so they are mixed, by checksum.
+    """
+    order = sorted((zlib.crc32(f"{i}:{w}".encode()), w) for w, times in words.items() for i in range(times))
+    samples = [f" {w} ".encode() for _, w in order]
+    try:
+        return zstandard.train_dictionary(size, samples, k=24, d=6).as_bytes()
+    except zstandard.ZstdError:  # zstandard trains on no fewer than some hundred bytes
+        return "".join(f" {w} " for w in sorted(words)).encode()[-size:]
 
 
 @dataclass(frozen=True)
 class Model:
     toxic: bytes
     ordinary: bytes
+    near: int = NEAR[0]
     weights: tuple[float, ...] = ()  # bias and one for each feature; empty: `share` is every score
     centre: tuple[float, ...] = (0.0,) * FEATURES
     scale: tuple[float, ...] = (1.0,) * FEATURES
     share: float = 0.0
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
+    def scores(self, measured: np.ndarray) -> np.ndarray:
+        """Scores from what `Distances.measured` tells."""
         if not self.weights:
-            return np.full(len(features), self.share)
-        x = (features - np.array(self.centre)) / np.array(self.scale)
+            return np.full(len(measured), self.share)
+        x = (features(measured, self.near) - np.array(self.centre)) / np.array(self.scale)
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ np.array(self.weights[1:]), -30, 30)))
 
 
@@ -73,66 +90,75 @@ class Distances:
 
     def __init__(self, toxic: bytes, ordinary: bytes) -> None:
         self.coders = []
-        for content in (toxic, ordinary):
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        for content in (toxic + ordinary, ordinary):
+            d = zstandard.ZstdCompressionDict(SENTINEL + b"\n" + content + b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=_parameters())
             self.coders.append(zstandard.ZstdCompressor(dict_data=d, compression_params=_parameters()))
 
-    def of(self, text: bytes) -> list[int]:
-        """For each window, in order, how many bytes the toxic dictionary saves over the ordinary one."""
-        text = b" " + text.translate(_SPACED) + b" "
-        toxic, ordinary = (c.compress for c in self.coders)
-        found, at, end = [], 0, len(text)
-        while at < end - 1:
-            cut = text.find(b" ", at + WINDOW, at + WINDOW + OVER)
-            stop = min(at + WINDOW + OVER, end) if cut < 0 else cut + 1
-            # Fast matching looks at every other place: each window is seen from both.
-            piece, other = SENTINEL + text[at:stop], SENTINEL + b"\x11" + text[at:stop]
-            found.append(max(len(ordinary(piece)) - len(toxic(piece)), len(ordinary(other)) - len(toxic(other))))
-            at = stop if cut < 0 else cut
-        return found
-
-    def features(self, texts: pa.Array) -> np.ndarray:
-        out = np.zeros((len(texts), FEATURES))
-        for i, raw in enumerate(pc.utf8_lower(texts).cast(pa.large_binary()).to_pylist()):
-            d = np.array(self.of(raw) if raw.strip() else [0])
-            out[i] = np.maximum(d - 1, 0).sum() / (len(d) + 3), max(d.max(), 0), (d >= NEAR).mean(), np.log1p((d >= NEAR).sum())
+    @staticmethod
+    def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Windows of all texts, a row each behind the sentinel, and how many each text has; a blank text has none."""
+        plain = [b" " + t.translate(_SPACED) for t in texts]
+        counts = np.array([-(-len(p) // STEP) if p.strip() else 0 for p in plain], np.int64)
+        joined = np.frombuffer(b"".join(p.ljust(n * STEP + WINDOW - STEP) for p, n in zip(plain, counts.tolist(), strict=True) if n) + b" " * WINDOW, np.uint8)
+        # A text's windows begin at every STEP bytes of it; what is behind the last one belongs to the next text.
+        begins = np.cumsum(counts * STEP + (counts > 0) * (WINDOW - STEP)) - (counts * STEP + (counts > 0) * (WINDOW - STEP))
+        total = int(counts.sum())
+        within = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+        starts = np.repeat(begins, counts) + within * STEP
+        out = np.empty((total, len(SENTINEL) + WINDOW), np.uint8)
+        out[:, : len(SENTINEL)] = np.frombuffer(SENTINEL, np.uint8)
+        out[:, len(SENTINEL) :] = np.lib.stride_tricks.sliding_window_view(joined, WINDOW)[starts]
+        return out, counts
+
+    def of(self, texts: list[bytes], at_once: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+        """For each window of each text, in order, how many bytes the toxic dictionary saves over the ordinary one; windows of each text."""
+        rows, counts = self.windows(texts)
+        found = [np.zeros(0, np.int64)]
+        for i in range(0, len(rows), at_once):
+            part = rows[i : i + at_once]
+            place = np.stack([np.arange(len(part)) * part.shape[1], np.full(len(part), part.shape[1])], 1).astype(np.uint64)
+            source = zstandard.BufferWithSegments(part.tobytes(), place.tobytes())
+            toxic, ordinary = (np.fromiter(map(len, c.multi_compress_to_buffer(source)), np.int64, len(part)) for c in self.coders)
+            found.append(ordinary - toxic)
+        return np.concatenate(found), counts
+
+    def measured(self, texts: pa.Array) -> np.ndarray:
+        """Of each text: windows, excess of the distances over 1, the greatest (0 at least), and windows at each threshold."""
+        d, counts = self.of(pc.utf8_lower(texts).cast(pa.large_binary()).to_pylist())
+        out = np.zeros((len(texts), 3 + len(NEAR)))
+        out[:, 0] = counts
+        full = np.flatnonzero(counts)
+        if len(full):
+            starts = (np.cumsum(counts) - counts)[full]
+            out[full, 1] = np.add.reduceat(np.maximum(d - 1, 0), starts)
+            out[full, 2] = np.maximum(np.maximum.reduceat(d, starts), 0)
+            for i, t in enumerate(NEAR):
+                out[full, 3 + i] = np.add.reduceat((d >= t).astype(np.int64), starts)
         return out
 
 
+def features(measured: np.ndarray, near: int) -> np.ndarray:
+    n, at = measured[:, 0], measured[:, 3 + NEAR.index(near)]
+    return np.stack([measured[:, 1] / (n + 3), measured[:, 2], at / np.maximum(n, 1), np.log1p(at)], 1)
+
+
 def _measured(docs: DataFrame, toxic: bytes, ordinary: bytes) -> DataFrame:
-    """`docs` (columns, text) with the features in place of the text."""
+    """`docs` (columns, text) with what its distances tell in place of the text."""
     rest = [f for f in docs.schema if f.name != "text"]
-    schema = T.StructType([*rest, T.StructField("features", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*rest, T.StructField("measured", T.ArrayType(T.DoubleType()))])
     arrow = to_arrow_schema(schema)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distances = Distances(toxic, ordinary)
         for whole in batches:
             for batch in slices(whole, "text"):
-                found = pa.array(distances.features(texts_of(batch, "text")).tolist(), arrow.field("features").type)
+                found = pa.array(distances.measured(texts_of(batch, "text")).tolist(), arrow.field("measured").type)
                 yield pa.RecordBatch.from_arrays([batch.column(f.name).cast(arrow.field(f.name).type) for f in rest] + [found], schema=arrow)
 
     return docs.mapInArrow(measure, schema)
 
 
-def _distinctive(counts: list[tuple[str, int, int]], n_own: int, n_other: int, least: float) -> list[str]:
-    """Spans of a class by how often they occur in its documents and how seldom in others'; nested ones count once.
-
-    A span has to stand out by `least` standard deviations of what its class would hold of it by chance.
-    """
-    ratio, part = n_own / n_other, n_own / (n_own + n_other)
-    stands_out = lambda a, b: (a - (a + b) * part) / np.sqrt((a + b) * part * (1 - part)) >= least and a > 2 * b * ratio
-    ranked = sorted(((a * np.log((a + 1) / (b * ratio + 1)), len(s), s) for s, a, b in counts if stands_out(a, b)), reverse=True)
-    kept: list[str] = []
-    for _, _, s in ranked:
-        if not any(k.startswith(s) or s.startswith(k) for k in kept):
-            kept.append(s)
-            if len(kept) == SPANS:
-                break
-    return kept
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
     a = np.concatenate([np.ones((len(x), 1)), x], axis=1)
     beta = np.zeros(a.shape[1])
@@ -158,40 +184,52 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # 4,500 ids at most: the one broadcast, bounded by SAMPLE_TOXIC + SAMPLE_OTHER.
     sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.when(F.crc32(F.concat(F.lit("half:"), F.col("doc_id").cast("string"))) % 2 == 0, 0).otherwise(1).alias("half"), "text")
     sample = written(sample, "labelled")
-    n = {r["toxic"]: r["n"] for r in sample.where("half = 0").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not n.get(1) or not n.get(0):
-        return Model(dictionary([]), dictionary([]), share=share)
-    # A word counts once behind each other word: copies of a text, or of a part of it, say nothing new.
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
-    pairs = F.zip_with("_w", F.concat(F.array(F.lit("")), F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0)))), lambda w, p: F.struct(w.alias("word"), p.alias("prior")))
-    parts = sample.where("half = 0").select("toxic", words.alias("_w")).select("toxic", F.explode(F.array_distinct(pairs)).alias("x")).select("toxic", "x.word", "x.prior").where(F.length("word") >= 4).distinct()
-    parts = written(parts, "words")
-    n_pairs = {r["toxic"]: r["n"] for r in parts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n_toxic, n_other = n_pairs.get(1, 1), n_pairs.get(0, 1)
-    # It gives itself, ended by a space, and its beginnings of 4 to 10 letters.
-    spans = F.concat(F.transform(F.sequence(F.lit(4), F.least(F.length("word"), F.lit(10))), lambda n: F.left("word", n)), F.array(F.concat("word", F.lit(" "))))
-    counted = parts.select("toxic", F.explode(spans).alias("span")).groupBy("span").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    counted = written(counted.where(f"a >= greatest(5, 0.02 * {n[1]}) OR a = 0 AND b >= 5"), "spans")
-    toxic_first = F.col("a") / n_toxic - F.col("b") / n_other
-    likely = counted.where("a > 0").orderBy(toxic_first.desc(), "span").limit(2000).collect()
-    spans_toxic = _distinctive([(" " + r["span"], r["a"], r["b"]) for r in likely], n_toxic, n_other, 5.0)
-    # Of what only ordinary text has, the least frequent, as many.
-    rare = counted.where("a = 0 AND b >= 5").orderBy("b", "span").limit(2000).collect()
-    spans_other: list[str] = []
-    for s in (" " + r["span"] for r in rare):
-        if len(spans_other) < max(8, len(spans_toxic)) and not any(k.startswith(s) or s.startswith(k) for k in spans_other):
-            spans_other.append(s)
-    # Toxic text has ordinary spans too: with them in both dictionaries, they don't hide the toxic ones beside them.
-    toxic = dictionary(spans_other + spans_toxic)
-    ordinary = dictionary([*spans_other, "\x12" * len("\n".join(spans_toxic).encode())])
-    rows = _measured(sample.where("half = 1").select("toxic", "text"), toxic, ordinary).collect()
-    x, y = np.array([r["features"] for r in rows]).reshape(-1, FEATURES), np.array([r["toxic"] for r in rows], float)
+    toxic_words, ordinary_words = _words(sample.where("half = 0"))
+    if not toxic_words or not ordinary_words:
+        return Model(b"", b"", share=share)
+    toxic = trained(toxic_words, TOXIC_BYTES)
+    ordinary = trained({w: 1 + int(math.log2(n)) for w, n in ordinary_words.items()}, ORDINARY_BYTES)
+    rows = _measured(sample.where("half = 1").select("toxic", "text"), toxic, ordinary).collect()  # of the sample's half
+    m, y = np.array([r["measured"] for r in rows]).reshape(-1, 3 + len(NEAR)), np.array([r["toxic"] for r in rows], float)
     if not 0 < y.sum() < len(y):
         return Model(toxic, ordinary, share=share)
-    centre, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     weight = np.where(y == 1, n_all[1] / y.sum(), n_all[0] / (len(y) - y.sum()))
-    beta = _logistic((x - centre) / scale, y, weight * len(y) / weight.sum())
-    return Model(toxic, ordinary, tuple(beta), tuple(centre), tuple(scale), share)
+    weight *= len(y) / weight.sum()
+    best = None
+    for near in NEAR:
+        x = features(m, near)
+        centre, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+        beta = _logistic((x - centre) / scale, y, weight)
+        odds = np.clip(beta[0] + (x - centre) / scale @ beta[1:], -30, 30)
+        loss = float((weight * np.log1p(np.exp(np.where(y == 1, -odds, odds)))).sum())
+        if best is None or loss < best[0]:
+            best = loss, Model(toxic, ordinary, near, tuple(beta), tuple(centre), tuple(scale), share)
+    return best[1]
+
+
+def _words(sample: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
+    """Documents by word: of the words by which toxic text of `sample` (toxic, text) stands out, and of ordinary text's words in two documents or more.
+
+    A word stands out if one of its beginnings, or it itself, does so by `STANDS_OUT` standard deviations of what the class would hold
+    of it by chance. It counts once behind each other word: copies of a text, or of a part of it, say nothing new.
+    """
+    found = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
+    sample = written(sample.select("toxic", found.alias("_w")), "sample-words")
+    docs = sample.select("toxic", F.explode(F.array_distinct("_w")).alias("word")).groupBy("word").agg(F.sum("toxic").alias("toxic_docs"), F.sum(1 - F.col("toxic")).alias("other_docs"))
+    pairs = F.zip_with("_w", F.concat(F.array(F.lit("")), F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0)))), lambda w, p: F.struct(w.alias("word"), p.alias("prior")))
+    times = sample.select("toxic", F.explode(F.array_distinct(pairs)).alias("x")).select("toxic", "x.word", "x.prior").distinct().groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    words = written(docs.join(times, "word"), "words")
+    whole = F.concat(F.lit(" "), "word", F.lit(" "))
+    begins = F.concat(F.transform(F.sequence(F.lit(4), F.greatest(F.least(F.length("word") + 1, F.lit(12)), F.lit(4))), lambda n: F.left(whole, n)), F.array(whole))
+    spans = words.select("a", "b", F.explode(F.array_distinct(begins)).alias("span")).groupBy("span").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    n = words.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
+    if not n["a"] or not n["b"]:
+        return {}, {}
+    part, both = n["a"] / (n["a"] + n["b"]), F.col("a") + F.col("b")
+    stands_out = (F.col("a") >= LEAST_TIMES) & (F.col("a") - both * part >= STANDS_OUT * F.sqrt(both * part * (1 - part))) & (F.col("a") > 2 * F.col("b") * (n["a"] / n["b"]))
+    toxic = words.where("a > 0").select("word", F.col("toxic_docs").alias("n"), F.explode(F.array_distinct(begins)).alias("span")).join(spans.where(stands_out).select("span"), "span", "left_semi").select("word", "n").distinct()
+    top = lambda df: {r["word"]: r["n"] for r in df.orderBy(F.col("n").desc(), "word").limit(TRAINED_WORDS).collect()}
+    return top(toxic), top(words.where("other_docs >= 2").select("word", F.col("other_docs").alias("n")))
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
@@ -205,7 +243,7 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
         distances = Distances(model.toxic, model.ordinary)
         for whole in batches:
             for batch in slices(whole, "text"):
-                found = pa.array(model.scores(distances.features(texts_of(batch, "text"))))
+                found = pa.array(model.scores(distances.measured(texts_of(batch, "text"))))
                 yield pa.RecordBatch.from_arrays([batch.column(c).cast(arrow.field(c).type) for c in columns] + [found], schema=arrow)
 
     return docs.mapInArrow(score, schema)

@@ -294,10 +294,48 @@ def test_toxicity(spark):
     held = [(got[i]["predicted"], y) for i, y in labels if got[i]["held_out"]]
     assert sum(p == y for p, y in held) / len(held) > 0.9
     assert all(0 <= r["score"] <= 1 for r in got.values()) and got[9000]["predicted"] == got[9001]["predicted"] == 0
+    again = toxicity.scored(docs.union(docs.limit(3)).repartition(5), toxicity.fit(docs.repartition(3), marks)).collect()
+    assert all(r["score"] == pytest.approx(got[r["doc_id"]]["score"]) for r in again) and len(again) == len(got) + 3
     nothing = toxicity.fit(docs, marks.limit(0))
     assert {r["score"] for r in toxicity.scored(docs, nothing).collect()} == {0.0}
 
 
+def test_window_lengths_equal_plain_zstandard():
+    """Distances, one window at a time by hand, of blank, short, multi-byte and very long texts."""
+    import zstandard
+
+    words = {f"zorg{i % 7}ish{i % 3}": 5 for i in range(40)} | {"blaxum": 9}
+    toxic, ordinary = toxicity.trained(words, 512), toxicity.trained({f"plain{i}er": 2 for i in range(200)}, 1024)
+    rng = random.Random(9)
+    texts = ["", " \n.,", "x", "zorg1ish1", "é" * 31, "plain7er zorg0ish0, blaxum! " * 3, " ".join(rng.choice([*words, "plain9er", "日本"]) for _ in range(60_000))]
+    coders = []
+    for content in (toxic + ordinary, ordinary):
+        d = zstandard.ZstdCompressionDict(toxicity.SENTINEL + b"\n" + content + b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=toxicity._parameters())
+        coders.append(zstandard.ZstdCompressor(dict_data=d, compression_params=toxicity._parameters()))
+    d, counts = toxicity.Distances(toxic, ordinary).of([t.encode() for t in texts])
+    assert counts[0] == counts[1] == 0 and counts[2] == 1
+    at = 0
+    for text, n in zip(texts, counts.tolist(), strict=True):
+        plain = b" " + bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in text.encode())
+        assert n == (-(-len(plain) // 32) if plain.strip() else 0)
+        for k in range(0, n, max(1, n // 50)):
+            piece = toxicity.SENTINEL + plain[32 * k : 32 * k + 48].ljust(48)
+            long_, short = (len(c.compress(piece)) for c in reversed(coders))
+            assert d[at + k] == long_ - short
+        at += n
+    m = toxicity.Distances(toxic, ordinary).measured(pa.array(texts))
+    assert m[:, 0].tolist() == counts.tolist() and m[0].tolist() == [0] * m.shape[1] and m[3, 2] > 0
+
+
+def test_toxicity_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "x", 0.5)], "doc_id long, text string, score double")
+    with pytest.raises(ValueError, match="score"):
+        toxicity.with_score(df, toxicity.Model(b"", b""))
+    assert toxicity.without_toxic(df, toxicity.Model(b"", b"")).columns == df.columns
+    assert toxicity.scored(df.limit(0), toxicity.Model(b"", b"")).count() == 0
+
+
 # 8 and 9
 
 
