@@ -7,7 +7,8 @@ may be cut. Only the sums above changed leaves are updated. The count is that of
 
 Null or empty text: no leaves, 0 tokens. Edits (start, stop, text) are applied in order, each to the text the ones before
 have left; starts and stops beyond it are clamped, null parts of an edit count as 0 and empty. No edits: the count stays.
-Repeated rows: each has its tree. Empty table: no rows. Extra columns are carried along; `leaves` must be free.
+Repeated rows: each has its tree. Empty table: no rows. Extra columns are carried along; `leaves` and the names of the counts must
+be free, or ValueError says which is not.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import slices, table
+from .common import free, slices, table
 from .tokens import SPECIAL, Encoder, default_tokenizer
 
 LEAF_PIECES, FAN = 64, 8
@@ -95,8 +96,7 @@ def may_cut(text: str, at: int) -> bool:
 
 def with_leaves(docs: DataFrame, tokenizer: str | None = None, text: str = "text") -> DataFrame:
     """`docs` with its trees' lowest level in column `leaves`."""
-    if "leaves" in docs.columns:
-        raise ValueError("the input has a column named leaves")
+    free(docs, "leaves")
     path, columns = tokenizer or default_tokenizer(), docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("leaves", LEAVES)])
     arrow = to_arrow_schema(schema)
@@ -122,7 +122,9 @@ def edited(trees: DataFrame, tokenizer: str | None = None, text: str = "text", e
     """Counts before and after `edits` (array of structs start, stop, text), with the text, leaves and edits left out."""
     path = tokenizer or default_tokenizer()
     rest = [f for f in trees.schema if f.name not in (text, "leaves", edits)]
-    schema = T.StructType([*rest, *T._parse_datatype_string(EDITED)])
+    added = T._parse_datatype_string(EDITED)
+    free(trees.drop(text, "leaves", edits), *added.names)
+    schema = T.StructType([*rest, *added])
     arrow = to_arrow_schema(schema)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

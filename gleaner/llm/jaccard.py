@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import hashes, mixed, slices, table, tasks, texts_of, word_codes, written
+from .common import WORD, hashes, mixed, slices, table, tasks, texts_of, word_codes, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -403,13 +403,14 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     kept = found.where("class IS NOT NULL").groupBy("class").agg(F.min(order).alias("kept"))
     gone = found.join(kept, "class").where(order != F.col("kept")).select("doc_id", "text_key").distinct()
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & F.col("d._key").eqNullSafe(F.col("g.text_key"))
+    # Whole rows are carried along in one column, whatever their columns' names.
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.struct(*docs.columns).alias("row"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & F.col("d.key").eqNullSafe(F.col("g.text_key"))
     left = keyed.alias("d").join(gone.alias("g"), same, "left_anti")
     if found.where("class IS NOT NULL").groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count():
-        whole = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
-        left = left.where(whole).dropDuplicates(["doc_id", "_key"]).unionByName(left.where(~whole))
-    return left.drop("_key")
+        whole = F.coalesce(F.col("row.text"), F.lit("")).rlike(WORD)
+        left = left.where(whole).dropDuplicates(["doc_id", "key"]).unionByName(left.where(~whole))
+    return left.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

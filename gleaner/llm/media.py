@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import slices, table, written
+from .common import free, slices, table, written
 
 WIDTH = 64
 ITEM = T.StructType(
@@ -107,8 +107,7 @@ def items_of(html: str | None) -> list[dict]:
 
 def sequences(pages: DataFrame, html: str = "html") -> DataFrame:
     """`pages` with column `items` (ordered structs position, kind, text, digest, caption) in place of `html`."""
-    if "items" in pages.columns:
-        raise ValueError("the input has a column named items")
+    free(pages, "items")
     rest = [c for c in pages.columns if c != html]
     schema = T.StructType([pages.schema[c] for c in rest] + [T.StructField("items", T.ArrayType(ITEM))])
     arrow = to_arrow_schema(schema)
@@ -171,6 +170,7 @@ def read_features(media: DataFrame) -> DataFrame:
 
 def resolved(sequence: DataFrame, features: DataFrame) -> DataFrame:
     """A row for each media item of each sequence, in place, with the features its digest resolves to."""
+    free(sequence, "n_items", "caption", *features.columns, "position", "_n", "_item")
     items = sequence.withColumn("_n", F.size("items")).withColumn("_item", F.explode(F.filter("items", lambda x: x["kind"] == "media")))
     refs = items.select(*[c for c in sequence.columns if c != "items"], F.col("_n").alias("n_items"), F.col("_item.position").alias("position"), F.col("_item.caption").alias("caption"), F.col("_item.digest").alias("digest"))
     return refs.join(features, "digest", "left")

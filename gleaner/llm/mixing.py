@@ -100,14 +100,14 @@ def repeated(docs: DataFrame, total_share: float = 1.5, max_epochs: float = 2.0,
     A document without words comes as often as its source is repeated whole.
     """
     seen, full = _settled(docs, total_share, max_epochs, weights, seed)
-    # The borders' decisions are few, a bucket for each source; the documents themselves are joined to the plan in place.
+    # The borders' decisions are few, a bucket for each source; the documents themselves, whole rows whatever their columns' names, are
+    # joined to the plan in place.
     cut = _cut(_planned(seen, full)).groupBy("source", "key").agg(F.max("extra").alias("_extra"))
-    text = docs.withColumns({"key": order_key(seed), "size": word_count(F.col("text"))}).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    rest = [f"d.{c}" for c in docs.columns if c not in ("doc_id", "source")]
-    joined = _planned(text, full, *rest).alias("j").join(cut.alias("c"), F.col("j.source").eqNullSafe(F.col("c.source")) & (F.col("j.key") == F.col("c.key")), "left")
+    text = docs.select("doc_id", "source", order_key(seed).alias("key"), word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
+    joined = _planned(text.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)), full, "row").alias("j").join(cut.alias("c"), F.col("j.source").eqNullSafe(F.col("c.source")) & (F.col("j.key") == F.col("c.key")), "left")
     extra = F.when(F.col("j.bucket") == F.col("j.border"), F.coalesce("c._extra", F.lit(0))).otherwise(_whole("j."))
     copies = F.col("j.times") + F.when((F.col("j.size") > 0) & (2 * extra >= F.col("j.size")), 1).otherwise(0)
-    return joined.select(*[F.col(f"j.{c}").alias(c) for c in docs.columns], F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_copy")).drop("_copy")
+    return joined.select(F.explode(F.array_repeat("j.row", copies.cast("int"))).alias("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,9 +32,9 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WIDER = {
-    "secret": r"(?i)\b(?:token|password|passwd|secret|api[_-]?key)\x20?[=:]\x20?\x22?[A-Za-z0-9_+/-]{8,256}",
+    "secret": r"(?i)\b(?:token|password|passwd|secret|api[_-]?key)\x20?[=:]\x20?\x22?[A-Za-z0-9_+/-]{8,}+",
     "local": r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
-    "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]{1,40}",
+    "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]++",
 }
 OCTETS = r"^0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[0-9]?)(?:\.0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[0-9]?)){3}$"
 LABELERS = ("format", "gazetteer", "cue", "edge")
@@ -102,23 +102,25 @@ def spans(docs: DataFrame, *kept: str) -> DataFrame:
     return found.select(*kept, F.transform(every, judged).alias("found"))
 
 
-def reliabilities(patterns: DataFrame, rounds: int = 25) -> tuple[float, dict[str, dict[int, tuple[float, float]]]]:
+def reliabilities(patterns: list[dict], rounds: int = 100) -> tuple[float, dict[str, dict[int, tuple[float, float]]]]:
     """Prior and, by labeler and vote, the chances of that vote on true and on false spans, by expectation-maximisation.
 
-    `patterns`: a column for each labeler and n, a row for each pattern of votes. A round is one aggregation.
+    `patterns`: by labeler a vote, and n, for each pattern of votes: 3 ** labelers at most, so rounds are plain arithmetic.
     """
     prior, chance = 0.5, {a: {1: (0.7, 0.2), 0: (0.2, 0.3), -1: (0.1, 0.5)} for a in LABELERS}
+    n = sum(x["n"] for x in patterns)
+    if not n:
+        return prior, chance
     for _ in range(rounds):
-        post = posterior(prior, chance, {a: F.col(a) for a in LABELERS})
-        sums = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("t")]
-        sums += [F.sum(F.when(F.col(a) == v, F.col("n") * w).otherwise(0.0)).alias(f"{a}_{v + 1}_{side}") for a in LABELERS for v in (1, 0, -1) for side, w in (("t", F.col("p")), ("f", 1 - F.col("p")))]
-        got = patterns.withColumn("p", post).agg(*sums).first()
-        if not got["n"]:
-            return prior, chance
-        true, false = got["t"], got["n"] - got["t"]
-        after = {a: {v: ((got[f"{a}_{v + 1}_t"] + 1) / (true + 3), (got[f"{a}_{v + 1}_f"] + 1) / (false + 3)) for v in (1, 0, -1)} for a in LABELERS}
+        odds = [math.log(prior / (1 - prior)) + sum(math.log(chance[a][x[a]][0] / chance[a][x[a]][1]) for a in LABELERS) for x in patterns]
+        post = [1 / (1 + math.exp(-o)) for o in odds]
+        true = sum(x["n"] * p for x, p in zip(patterns, post, strict=True))
+        after = {}
+        for a in LABELERS:
+            of = {v: [(x["n"] * p, x["n"] * (1 - p)) for x, p in zip(patterns, post, strict=True) if x[a] == v] for v in (1, 0, -1)}
+            after[a] = {v: ((sum(t for t, _ in c) + 1) / (true + 3), (sum(f for _, f in c) + 1) / (n - true + 3)) for v, c in of.items()}
         moved = max(abs(x - y) for a in LABELERS for v in (1, 0, -1) for x, y in zip(after[a][v], chance[a][v], strict=True))
-        prior, chance = (true + 1) / (got["n"] + 2), after
+        prior, chance = (true + 1) / (n + 2), after
         if moved < 1e-5:
             break
     return prior, chance
@@ -135,8 +137,9 @@ def posterior(prior: float, chance: dict[str, dict[int, tuple[float, float]]], v
 def train(judged: DataFrame) -> tuple[float, dict[tuple[str, str], float]]:
     """Bias and weights, by feature and value, of the span classifier, from the posteriors of all spans of `judged`."""
     each = judged.select(F.explode("found").alias("x"))
-    patterns = written(each.groupBy(*[F.col(f"x.votes.{a}").alias(a) for a in LABELERS]).agg(F.count("*").alias("n")), "patterns")
-    prior, chance = reliabilities(patterns)
+    # 81 rows at most: three votes of four labelers.
+    patterns = each.groupBy(*[F.col(f"x.votes.{a}").alias(a) for a in LABELERS]).agg(F.count("*").alias("n")).collect()
+    prior, chance = reliabilities([r.asDict() for r in patterns])
     p = posterior(prior, chance, {a: F.col(f"x.votes.{a}") for a in LABELERS})
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"x.features.{f}").alias("value")) for f in FEATURES]))
     # Sums by feature value, at most some twenty rows.
@@ -198,12 +201,10 @@ def redacted(text: Column, spans_: Column) -> Column:
 
 def without_spans(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, with the spans of their texts redacted; null texts stay null."""
-    clash = {"found", "base", "more", "spans", "_text"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"the input has columns named {sorted(clash)}")
-    bias, weights = train(written(spans(docs), "spans"))
-    found = settled(spans(docs, *docs.columns), bias, weights)
-    return found.select(*[redacted(F.col("text"), F.col("spans")).alias("text") if c == "text" else c for c in docs.columns])
+    # Whole rows are carried along in one column, whatever their columns' names, and what is found is computed once.
+    judged = written(spans(docs.select("text", F.struct(*docs.columns).alias("_row")), "_row"), "spans")
+    found = settled(judged, *train(judged))
+    return found.select(*[redacted(F.col("_row.text"), F.col("spans")).alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import slices, table, texts_of, written
+from .common import free, slices, table, texts_of, written
 
 SAMPLE_TOXIC, SAMPLE_OTHER = 1500, 3000
 TRAINED_WORDS = 50_000
@@ -234,8 +234,7 @@ def _words(sample: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
 
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """`docs` with a column for the score of its `text`."""
-    if name in docs.columns:
-        raise ValueError(f"the input has a column named {name}")
+    free(docs, name)
     columns, schema = docs.columns, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     arrow = to_arrow_schema(schema)
 

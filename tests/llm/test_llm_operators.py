@@ -120,6 +120,8 @@ def test_pii_base_spans(spark):
         assert [(x["start"], x["kind"], x["end"]) for x in r["base"]] == [(a, n, b) for a, _, b, n in wanted]
         assert {(x["start"], x["kind"], x["end"]) for x in r["base"]} <= {(x["start"], x["kind"], x["end"]) for x in r["spans"]}
     assert pii.detect(df.limit(0)).count() == 0
+    long_ = pii.without_spans(spark.createDataFrame([(1, "my password = " + "aB3" * 200 + " and 4111111111111111")], "doc_id long, text string")).first()["text"]
+    assert "aB3" not in long_ and "4111" not in long_
     clean = pii.without_spans(df).collect()
     assert len(clean) == len(texts) and all("4111111111111111" != r["text"] for r in clean)
 
@@ -438,3 +440,57 @@ def test_topk(spark):
         best = sorted(((-int(whole[q] @ v), i) for i, v in whole.items() if i != q))[:5]
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert topk.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_topk_large_components_ties_and_repeats(spark):
+    """Components past 2**24 and 2**53, ties across slices, repeated ids, vectors of unequal length."""
+    rows = [(0, [70000.0, -1e12]), (1, [1e13, 3.0]), (2, [1e13, 3.0]), (3, [-1e13, 2.0, 1e10]), (4, [0.5]), (4, [0.5]), (5, [1e300, 0.0]), (6, [])]
+    rows += [(i, [1.0, -1.0]) for i in range(10, 30)]
+    df = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    clip = lambda x: min(max(x, topk.LEAST), topk.MOST)
+    whole = [(i, [clip(math.floor(256 * x)) for x in v]) for i, v in rows]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
+    got = collections.defaultdict(list)
+    for r in topk.search(df, df.where("vec_id IN (0, 1, 20)"), 5, slice_rows=3, block_rows=1).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for q, v in whole:
+        if q in (0, 1, 20):
+            best = sorted((-clip(dot(v, c)), i) for i, c in whole if i != q)[:5]
+            assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
+# All of them
+
+
+def test_columns_that_clash(spark):
+    """Extra columns keep their values whatever their names, or ValueError says which one is in the way."""
+    mine = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, _key string, bucket string, found string, _row string, times int, extra int"
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, text if i < 2 else f"{i} mail a{i}@b.org " + text[: 10 * i], "en", "s", 1, 9, "k", "mine", "b", "f", "r", 5, 6) for i in range(6)]
+    df = spark.createDataFrame(rows, mine)
+    for got in (mixing.repeated(df), jaccard.without_duplicates(df), pii.without_spans(df), toxicity.without_toxic(df, toxicity.Model(b"", b""))):
+        assert got.columns == df.columns and got.count() > 0
+        assert {tuple(r[5:]) for r in got.collect()} == {rows[0][5:]}
+    trees = counting.with_leaves(counting.with_edits(df.select("doc_id", "text")))
+    for taken in ("digest", "position", "caption", "Payload_bytes"):
+        with pytest.raises(ValueError, match=taken.lower()):
+            media.resolved(media.sequences(media.as_pages(df)).withColumn(taken, media.F.lit(1)), media.read_features(df.select(media.F.lit("x").alias("digest"), media.as_image(media.padded(media.F.col("text"))).alias("media"))))
+    with pytest.raises(ValueError, match="tokens_before"):
+        counting.edited(trees.withColumn("tokens_before", media.F.lit(1)))
+    with pytest.raises(ValueError, match="leaves"):
+        counting.with_leaves(trees)
+
+
+def test_shared_folder_on_a_cluster(monkeypatch):
+    """No machine-local folder where executors are elsewhere."""
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session)
