@@ -51,9 +51,10 @@ def joined(title: Column, body: Column) -> Column:
 
 def lexical(text: Column) -> Column:
     """Lower case, contractions spelled out, words of letters and digits joined by single spaces. `text` is normalised."""
-    t = F.translate(F.lower(text), "’‘ʼ`", "''''")
+    plain = t = F.translate(F.lower(text), "’‘ʼ`", "''''")
     for found, put in ((f"{BEFORE}can't{AFTER}", "cannot"), (f"{BEFORE}won't{AFTER}", "will not"), (f"n't{AFTER}", " not"), (f"'re{AFTER}", " are"), (f"'ve{AFTER}", " have"), (f"'ll{AFTER}", " will"), (f"'m{AFTER}", " am"), (f"'d{AFTER}", " would"), (r"(?<=[\p{L}\p{N}_])'(?=[\p{L}\p{N}_])", "")):
         t = F.regexp_replace(t, found, put)
+    t = F.when(F.contains(plain, F.lit("'")), t).otherwise(plain)  # all of them need an apostrophe
     return F.array_join(F.regexp_extract_all(t, F.lit(f"({WORD})"), F.lit(1)), " ")
 
 
@@ -63,7 +64,10 @@ def words(lexical_text: Column) -> Column:
 
 
 def ngrams(tokens: Column, most: int = 3, fewest: int = 1) -> Column:
-    """The distinct n-grams of an array of words, joined by spaces. Each length is zipped from the one before: linear in the words."""
+    """The distinct n-grams of an array of words, joined by spaces. Each length is zipped from the one before: linear in the words.
+
+    No lambda refers to `tokens`, so that it is never evaluated again for each word, wherever Spark pushes the expression.
+    """
     longer, parts = tokens, [tokens] if fewest == 1 else []
     for n in range(2, most + 1):
         longer = F.array_compact(F.zip_with(longer, F.slice(tokens, n, F.size(tokens)), lambda a, b: F.concat(a, F.lit(" "), b)))

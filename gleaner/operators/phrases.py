@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text, wordlists
 from . import GROUP
+from .graph import stored
 
 A0 = 100.0
 MOST = 15
@@ -23,18 +24,27 @@ def recent(reference: str, days: int = 365, column: str = "created_at") -> Colum
     return F.coalesce(F.col(column) >= F.lit(reference).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"), F.lit(False))
 
 
+def phrase_counts(reviews: DataFrame, reference: str, group: Sequence[str] = GROUP) -> DataFrame:
+    """Documents with each phrase among negative (support) and other analysable reviews (rest), and of the negative ones the first rank,
+    the newest date and how many are recent. Numbers and dates only, so that Spark adds them up in hash tables before it shuffles.
+    """
+    bad = F.coalesce(F.col("sentiment_label") == "negative", F.lit(False))
+    neg = lambda c: F.when(bad, c)
+    flags = (bad.alias("_bad"), neg(F.col("rank").cast("bigint")).alias("_rank"), neg(F.col("created_at")).alias("_date"), (bad & recent(reference)).cast("int").alias("_recent"))
+    rows = reviews.where("analysable").select(*group, *flags, text.words(F.col("lexical_text")).alias("_w"))
+    rows = rows.select(*group, "_bad", "_rank", "_date", "_recent", F.explode(text.ngrams(F.col("_w"))).alias("phrase"))
+    return rows.groupBy(*group, "phrase").agg(F.count_if("_bad").alias("support"), F.count_if(~F.col("_bad")).alias("rest"), F.min("_rank").alias("first_rank"), F.max("_date").alias("newest"), F.sum("_recent").alias("_n_recent"))
+
+
+def with_examples(rows: DataFrame, reviews: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
+    """`rows` with example_review_id: the negative analysable review of rank first_rank. Ranks are a frame's places, one review each."""
+    shown = reviews.where("analysable AND sentiment_label = 'negative' AND rank IS NOT NULL").groupBy(*group, F.col("rank").cast("bigint").alias("first_rank")).agg(F.min("source_review_id").alias("example_review_id"))
+    return rows.join(shown, [*group, "first_rank"], "left")
+
+
 def phrase_support(reviews: DataFrame, reference: str, group: Sequence[str] = GROUP) -> DataFrame:
-    """Documents with each phrase among negative and other analysable reviews, with the evidence of the negative ones."""
-    bad = F.col("sentiment_label") == "negative"
-    rows = reviews.where("analysable").select(*group, F.coalesce(bad, F.lit(False)).alias("_bad"), "source_review_id", "rank", "created_at", recent(reference).alias("_recent"), F.explode(text.ngrams(text.words(F.col("lexical_text")))).alias("phrase"))
-    neg = lambda c: F.when(F.col("_bad"), c)
-    return rows.groupBy(*group, "phrase").agg(
-        F.count_if("_bad").alias("support"),
-        F.count_if(~F.col("_bad")).alias("rest"),
-        F.min(neg(F.struct("rank", "source_review_id")))["source_review_id"].alias("example_review_id"),
-        F.max(neg(F.col("created_at"))).alias("newest"),
-        F.count_if(F.col("_bad") & F.col("_recent")).alias("_n_recent"),
-    )
+    """`phrase_counts` with an example of each phrase."""
+    return with_examples(phrase_counts(reviews, reference, group), reviews, group)
 
 
 def totals(reviews: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
@@ -44,12 +54,17 @@ def totals(reviews: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
     return got.withColumn("min_support", F.when(F.col("n_negative") >= 30, 3).otherwise(2)).withColumn("status", F.when(F.col("n_negative") < 5, "insufficient_negative_signal").otherwise("ok"))
 
 
-def fightin_words(counts: DataFrame, group: Sequence[str] = GROUP, a0: float = A0, own: str = "support", rest: str = "rest") -> DataFrame:
+def _sums(counts: DataFrame, group: Sequence[str], own: str = "support", rest: str = "rest") -> DataFrame:
+    return counts.groupBy(*group).agg(F.sum(own).alias("_ng"), F.sum(rest).alias("_nr"))
+
+
+def fightin_words(counts: DataFrame, group: Sequence[str] = GROUP, a0: float = A0, own: str = "support", rest: str = "rest", totals: DataFrame | None = None) -> DataFrame:
     """`counts` (group, phrase, own, rest) with z: log odds with a Dirichlet prior of weight a0, by their deviation.
 
-    Rows whose logarithms have no argument above 0 are left out. Totals are sums of a group's counts, joined as small rows.
+    Rows whose logarithms have no argument above 0 are left out. Totals are sums of a group's counts, joined as small rows; `totals`
+    gives those of a whole vocabulary where `counts` is a part of it.
     """
-    sums = counts.groupBy(*group).agg(F.sum(own).alias("_ng"), F.sum(rest).alias("_nr"))
+    sums = totals if totals is not None else _sums(counts, group, own, rest)
     y, x = F.col(own), F.col(rest)
     a = F.lit(a0) * (y + x) / (F.col("_ng") + F.col("_nr"))
     over, under = F.col("_ng") + a0 - y - a, F.col("_nr") + a0 - x - a
@@ -60,9 +75,9 @@ def fightin_words(counts: DataFrame, group: Sequence[str] = GROUP, a0: float = A
 
 def _parts(rows: DataFrame, group: Sequence[str], *more: str) -> DataFrame:
     """Every shorter phrase within a phrase of `rows`."""
-    tokens = F.split("phrase", " ")
-    shorter = F.filter(text.ngrams(tokens, 2), lambda p: p != F.col("phrase"))
-    return rows.select(*group, *more, F.explode(shorter).alias("part"))
+    keys = list(dict.fromkeys([*group, *more, "phrase"]))
+    cut = rows.select(*keys, F.split("phrase", " ").alias("_w"))
+    return cut.select(*keys, F.explode(text.ngrams(F.col("_w"), 2)).alias("part")).where("part <> phrase").select(*group, *more, "part")
 
 
 def drop_subsumed(rows: DataFrame, group: Sequence[str] = GROUP, prefer_longer: bool = True, same_support: bool = True) -> DataFrame:
@@ -86,25 +101,30 @@ def _eligible(counts: DataFrame, sizes: DataFrame, blocked: Sequence[str], group
     return rows.where(text.displayable(F.col("phrase"), blocked)).withColumn("share_last_12_months", stats.share(F.col("_n_recent"), F.col("support")))
 
 
-OUT = ("phrase", "support", "n_negative", "rest", "n_rest", "example_review_id", "newest", "share_last_12_months")
+OUT = ("phrase", "support", "n_negative", "rest", "n_rest", "first_rank", "newest", "share_last_12_months")
 
 
 def common_phrases(counts: DataFrame, sizes: DataFrame, blocked: Sequence[str] = BLOCKED, most: int = MOST, group: Sequence[str] = GROUP) -> DataFrame:
-    """The most supported displayable phrases; a part of a longer phrase with equal support is left out."""
-    rows = drop_subsumed(_eligible(counts, sizes, blocked, group), group)
+    """The most supported displayable phrases; a part of a longer phrase with equal support is left out.
+
+    `counts`: of `phrase_counts`; `with_examples` tells the reviews of the phrases that are left. What has support is stored, so that
+    the corpus's phrases are counted once.
+    """
+    rows = drop_subsumed(stored(_eligible(counts, sizes, blocked, group)), group)
     return _ranked(rows, [F.col("support").desc(), F.col("phrase")], most, group).select(*group, "rank", *OUT)
 
 
 def distinctive_phrases(counts: DataFrame, sizes: DataFrame, blocked: Sequence[str] = BLOCKED, most: int = MOST, group: Sequence[str] = GROUP, a0: float = A0) -> DataFrame:
-    """The phrases with the greatest positive z."""
-    scored = fightin_words(counts, group, a0)
-    rows = drop_subsumed(_eligible(scored, sizes, blocked, group).where("z > 0"), group)
+    """The phrases with the greatest positive z. `counts`: of `phrase_counts`, stored once and read for its totals and for what has support."""
+    counts = stored(counts)
+    few = _eligible(counts, sizes, blocked, group)
+    rows = drop_subsumed(stored(fightin_words(few, group, a0, totals=_sums(counts, group)).where("z > 0")), group)
     return _ranked(rows, [F.col("z").desc(), F.col("support").desc(), F.col("phrase")], most, group).select(*group, "rank", *OUT, "z", (F.col("z") >= 1.96).alias("z_ge_1_96"))
 
 
 def group_phrases(units: DataFrame, cluster: str = "cluster", blocked: Sequence[str] = BLOCKED, most: int = 5, group: Sequence[str] = GROUP) -> DataFrame:
     """Short labels of each cluster of `units` (lexical_text): its phrases against the other units', in one pass for all clusters."""
-    grams = units.select(*group, cluster, F.explode(text.ngrams(text.words(F.col("lexical_text")))).alias("phrase"))
+    grams = units.select(*group, cluster, text.words(F.col("lexical_text")).alias("_w")).select(*group, cluster, F.explode(text.ngrams(F.col("_w"))).alias("phrase"))
     own = grams.groupBy(*group, cluster, "phrase").agg(F.count("*").alias("support"))
     everywhere = own.groupBy(*group, "phrase").agg(F.sum("support").alias("_all"))
     counts = own.join(everywhere, [*group, "phrase"]).withColumn("rest", F.col("_all") - F.col("support"))

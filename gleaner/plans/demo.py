@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import categories, sentiment, units
+from ..sources.tables import read_table, spread
 
 REFERENCE = "2026-09-29"
 NEGATIVE, POSITIVE = ("ther", "thes", "die", "les"), ("than", "thon", "der", "des")
@@ -17,8 +18,12 @@ GUARDED, GUARDS = ("thon", "ther"), ("the", "of", "and")
 BLOCKED = ("the", "of", "and", "to", "a", "on", "is", "that", "it", "as", "be", "was", "for", "with", "this", "are", "by", "from", "at", "in", "en", "an", "or")
 
 
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = read_table(spark, sf_dir, name)
+    return spread(df) if name in TEXTS else df
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -248,7 +248,7 @@ def phrase_support(spark, sf):
 
 @query(oracle.q(oracle.PHRASES, "SELECT app_id, phrase, round(z, 6) AS z FROM words WHERE support + rest >= 5"))
 def fightin_words(spark, sf):
-    got = phrases.fightin_words(phrases.phrase_support(demo.reviews(spark, sf), REFERENCE)).where("support + rest >= 5")
+    got = phrases.fightin_words(phrases.phrase_counts(demo.reviews(spark, sf), REFERENCE)).where("support + rest >= 5")
     return got.select("app_id", "phrase", r6("z"))
 
 
@@ -258,14 +258,14 @@ _LONGER = "NOT EXISTS (SELECT 1 FROM {t} o WHERE o.app_id = e.app_id AND o.suppo
 @query(oracle.q(oracle.PHRASES, f"SELECT app_id, rank, phrase, support, n_negative, rest, n_rest, example_review_id, round(share_last_12_months, 6) AS share_last_12_months FROM (SELECT *, CAST(row_number() OVER (PARTITION BY app_id ORDER BY support DESC, phrase) AS INTEGER) AS rank FROM eligible e WHERE {_LONGER.format(t='eligible')}) WHERE rank <= 15"))
 def common_phrases(spark, sf):
     r = demo.reviews(spark, sf)
-    got = phrases.common_phrases(phrases.phrase_support(r, REFERENCE), phrases.totals(r), demo.BLOCKED)
+    got = phrases.with_examples(phrases.common_phrases(phrases.phrase_counts(r, REFERENCE), phrases.totals(r), demo.BLOCKED), r)
     return got.select("app_id", "rank", "phrase", "support", "n_negative", "rest", "n_rest", "example_review_id", r6("share_last_12_months"))
 
 
 @query(oracle.q(oracle.PHRASES + ", positive AS (SELECT * FROM eligible WHERE z > 0)", f"SELECT app_id, rank, phrase, support, rest, round(z, 6) AS z, z >= 1.96 AS z_ge_1_96 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY app_id ORDER BY round(z, 9) DESC, support DESC, phrase) AS INTEGER) AS rank FROM positive e WHERE {_LONGER.format(t='positive')}) WHERE rank <= 15"))
 def distinctive_phrases(spark, sf):
     r = demo.reviews(spark, sf)
-    got = phrases.distinctive_phrases(phrases.phrase_support(r, REFERENCE), phrases.totals(r), demo.BLOCKED)
+    got = phrases.with_examples(phrases.distinctive_phrases(phrases.phrase_counts(r, REFERENCE), phrases.totals(r), demo.BLOCKED), r)
     return got.select("app_id", "rank", "phrase", "support", "rest", r6("z"), "z_ge_1_96")
 
 
@@ -587,7 +587,7 @@ def mart_periods(spark, sf):
 @query()
 def mart_negative_phrases(spark, sf):
     r = demo.reviews(spark, sf)
-    got = insights.mart_negative_phrases(phrases.common_phrases(phrases.phrase_support(r, REFERENCE), phrases.totals(r), demo.BLOCKED))
+    got = insights.mart_negative_phrases(phrases.common_phrases(phrases.phrase_counts(r, REFERENCE), phrases.totals(r), demo.BLOCKED))
     return got.select("app_id", "rank", "label", r6("value"), "count")
 
 
