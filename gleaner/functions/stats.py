@@ -29,6 +29,12 @@ def wilson(k: Column, n: Column) -> Column:
     return F.when(n > 0, interval(low, high, F.lit(None)))
 
 
+def wilson_summary(k: Column, n: Column) -> Column:
+    """Struct successes, n, value, low, high; null ends and value for n = 0."""
+    w = wilson(k, n)
+    return F.struct(k.alias("successes"), n.alias("n"), share(k, n).alias("value"), w["low"].alias("low"), w["high"].alias("high"))
+
+
 def shrink(low: Column, high: Column, centre: Column, n: Column, population: Column) -> tuple[Column, Column]:
     """Both ends drawn to the centre where the sample is over 5 % of a population."""
     by = F.when((population > 1) & (n / population > FPC_ABOVE), F.sqrt(F.greatest(F.lit(0.0), (population - n) / (population - 1)))).otherwise(F.lit(1.0))

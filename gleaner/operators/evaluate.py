@@ -165,6 +165,18 @@ def evaluate_model(scored: DataFrame, shares: DataFrame) -> DataFrame:
     return classification_metrics(pure).withColumn("_k", F.lit(1)).join(one, "_k").drop("_k")
 
 
+def compare_models(df: DataFrame, shares: DataFrame, shipping: str = "shipping", challenger: str = "challenger", seed: int = 42, resamples: int = 9999) -> DataFrame:
+    """Accuracy, macro F1 and negative F1 of both models with BCa intervals and the reweighted accuracy, without mixed labels, and whether to switch."""
+    pure = df.where("`true` <> 'mixed'")
+    rows = None
+    for name, column in (("shipping", shipping), ("challenger", challenger)):
+        one = metric_bca_ci(pure, predicted=column, seed=seed, resamples=resamples).withColumn("model", F.lit(name))
+        one = one.crossJoin(F.broadcast(reweighted_accuracy(pure, shares, predicted=column)))  # one row
+        rows = one if rows is None else rows.unionByName(one)
+    rule = paired_f1_diff_ci(pure, shipping=shipping, challenger=challenger, seed=seed, resamples=resamples).select("switch")
+    return rows.crossJoin(F.broadcast(rule)).select("model", "metric", "value", "low", "high", "reason", "reweighted_accuracy", "switch")
+
+
 def binary_reference(scored: DataFrame) -> DataFrame:
     """Accuracy on items whose label is positive or negative."""
     return scored.where("`true` IN ('positive', 'negative')").agg(F.count("*").alias("n"), F.avg((F.col("true") == F.col("predicted")).cast("int")).alias("accuracy"))

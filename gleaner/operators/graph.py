@@ -3,27 +3,35 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _top(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where the session names none and runs on this machine alone."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(top)
+    return top
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the session's checkpoint folder; one is set only where the session names none."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """`df` written to the session's checkpoint folder."""
+    _top(df.sparkSession)
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet below the checkpoint folder and read again; unlike a checkpoint it keeps no partitioning, which grows with each round of joins."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-checkpoint-")
-    path = f"{top.rstrip('/')}/gleaner/rounds-{uuid.uuid4().hex}"
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one, removed when the driver's Python ends."""
+    path = f"{_top(spark).rstrip('/')}/gleaner/{name}-{uuid.uuid4().hex}"
 
     def remove() -> None:
         try:
@@ -33,8 +41,14 @@ def stored(df: DataFrame) -> DataFrame:
             pass
 
     atexit.register(remove)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet below the checkpoint folder and read again; unlike a checkpoint it keeps no partitioning, which grows with each round of joins."""
+    path = shared_folder(df.sparkSession, "rounds")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, group: Sequence[str] = (), rounds: int = 100) -> DataFrame:

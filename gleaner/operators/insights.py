@@ -55,6 +55,13 @@ def areas_of_improvement(parts: Sequence[DataFrame], group: Sequence[str] = GROU
     return both.withColumn("rank", F.row_number().over(order)).withColumn("text", area_text(*[F.col(c) for c in ("area", "count", "total", "share", "low", "high", "excerpt")]))
 
 
+def area_status(groups: DataFrame, areas: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
+    """Of each group how many areas it has, and ok or insufficient_signal."""
+    n = areas.groupBy(*group).agg(F.count("*").alias("n_areas"))
+    got = groups.select(*group).distinct().join(n, list(group), "left").withColumn("n_areas", F.coalesce("n_areas", F.lit(0)))
+    return got.withColumn("status", F.when(F.col("n_areas") > 0, "ok").otherwise("insufficient_signal"))
+
+
 def mart_distribution(dist: DataFrame, value: str, group: Sequence[str] = GROUP) -> DataFrame:
     """Bars of a distribution; a missing interval falls back to the value."""
     return dist.select(*group, F.col(value).cast("string").alias("label"), F.col("share").alias("value"), F.coalesce("ci95.low", "share").alias("low"), F.coalesce("ci95.high", "share").alias("high"), "count")

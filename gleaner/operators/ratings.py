@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -80,10 +81,20 @@ def frame_weights(reviews: DataFrame, stratum: str = "rating", group: Sequence[s
     return counts.join(totals, list(group)).withColumn("share", stats.share(F.col("count"), F.col("total")))
 
 
-def population_compare(sample: DataFrame, population: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
-    """Do a sample's intervals cover the population's shares? Both: group, rating, share; the sample with ci95."""
-    both = sample.alias("s").join(population.select(*group, "rating", F.col("share").alias("true_share")).alias("p"), [*group, "rating"], "left")
-    return both.withColumn("covers", F.col("true_share").between(F.col("ci95.low"), F.col("ci95.high"))).withColumn("skipped", F.when(F.col("true_share").isNull(), "no_population").when(F.col("ci95.reason").isNotNull(), F.col("ci95.reason")))
+def population_compare(sample: DataFrame, population: DataFrame, group: Sequence[str] = GROUP, window_days: int | None = None) -> DataFrame:
+    """Do a sample's intervals cover the population's shares? Both: group, rating, share; the sample with ci95, and population where the frame's size is known.
+
+    `skipped` says why there is no comparison: the sample's frame is a window, no walk of this app and storefront, a walk of another frame
+    (`population` with total), or no interval.
+    """
+    total = F.max("total") if "total" in population.columns else F.lit(None).cast("long")
+    walked = population.groupBy(*group).agg(F.lit(True).alias("_walk"), total.alias("_walked"))
+    shares = population.select(*group, "rating", F.col("share").alias("_share"))
+    both = sample.join(walked, list(group), "left").join(shares, [*group, "rating"], "left")
+    both = both.withColumn("true_share", F.when(F.col("_walk"), F.coalesce("_share", F.lit(0.0))))  # a star that the walk lacks has none of it
+    frame = F.col("population") if "population" in sample.columns else F.lit(None).cast("long")
+    skipped = F.when(F.lit(bool(window_days)), "window_frame").when(F.col("true_share").isNull(), "no_population").when(frame != F.col("_walked"), "other_frame").when(F.col("ci95.reason").isNotNull(), F.col("ci95.reason"))
+    return both.withColumn("skipped", skipped).withColumn("covers", F.when(F.col("skipped").isNull(), F.col("true_share").between(F.col("ci95.low"), F.col("ci95.high")))).drop("_walk", "_walked", "_share")
 
 
 def ci_coverage(reviews: DataFrame, replicates: int, k: int, seed: int, group: Sequence[str] = GROUP, id_col: str = "source_review_id") -> DataFrame:
@@ -135,8 +146,20 @@ def bca(cells: np.ndarray, statistic, seed: Sequence[int], resamples: int = 9999
     return ends[0], ends[1]
 
 
-def mean_bca_ci(reviews: DataFrame, seed: int = 42, stage: int = 0, group: Sequence[str] = GROUP) -> DataFrame:
-    """BCa interval of the mean rating by group, from its five counts; `reviews` has reachable. Only counts reach Python."""
+def period_means(reviews: DataFrame, seed: int = 42, least: int = LEAST_IN_PERIOD, group: Sequence[str] = GROUP) -> DataFrame:
+    """BCa intervals of the mean rating of each merged period (group, bucket); stage 100 and the bucket's number. A census of the group is one of each period."""
+    dated = reviews.withColumn("year", F.year("created_at")).join(year_buckets(reviews, least, group), [*group, "year"])
+    whole = reviews.groupBy(*group).agg((F.count("*") == F.max("reachable")).alias("_census"))
+    sizes = dated.groupBy(*group, "bucket").agg(F.count("*").alias("_n"), F.max("reachable").alias("_r")).join(whole, list(group))
+    sizes = sizes.select(*group, "bucket", F.when(F.col("_census"), F.col("_n")).otherwise(F.greatest("_r", F.col("_n") + 1)).alias("reachable"))
+    return mean_bca_ci(dated.drop("reachable").join(sizes, [*group, "bucket"]), seed, 100, [*group, "bucket"], "bucket")
+
+
+def mean_bca_ci(reviews: DataFrame, seed: int = 42, stage: int = 0, group: Sequence[str] = GROUP, stage_col: str | None = None) -> DataFrame:
+    """BCa interval of the mean rating by group, from its five counts; `reviews` has reachable. Only counts reach Python.
+
+    Each group has draws of its own: the seed is `seed`, the stage (and `stage_col`) and a checksum of the group.
+    """
     counts = reviews.groupBy(*group).agg(F.max("reachable").cast("long").alias("reachable"), *[F.count_if(F.col("rating") == s).alias(f"s{s}") for s in range(1, 6)])
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema if f.name in group) + ", n long, mean double, low double, high double, reason string"
     names = list(group)
@@ -150,7 +173,7 @@ def mean_bca_ci(reviews: DataFrame, seed: int = 42, stage: int = 0, group: Seque
                 n, population = int(cells.sum()), int(r["reachable"])
                 mean = float((cells * values).sum() / n) if n else None
                 reason = "no_reviews" if not n else "census" if n == population else "degenerate" if n < 2 or (cells > 0).sum() == 1 else None
-                ends = None if reason else bca(cells, lambda c: (c * values).sum(-1) / c.sum(-1), [seed, stage])
+                ends = None if reason else bca(cells, lambda c: (c * values).sum(-1) / c.sum(-1), [seed, stage + (int(r[stage_col]) if stage_col else 0), zlib.crc32(repr([str(r[g]) for g in names if g != stage_col]).encode())])
                 if not reason and ends is None:
                     reason = "degenerate"
                 if ends and population > 1 and n / population > stats.FPC_ABOVE:

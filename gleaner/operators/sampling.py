@@ -71,6 +71,16 @@ def sampling_metadata(sample: DataFrame, frames: DataFrame, requested: int, grou
     return both.select(*group, F.lit(requested).alias("requested"), "actual", "reachable", (F.col("actual") >= F.least(F.lit(requested), F.col("reachable"))).alias("complete"), F.try_divide("actual", "reachable").alias("sampling_fraction"), "oldest", "newest", warnings.alias("warnings"))
 
 
+def blind_sheet(df: DataFrame, id_col: str = "review_id", text_col: str = "text", label: str = "human_label") -> DataFrame:
+    """A sheet to label: id, text and an empty label; stars, distances and earlier labels stay hidden."""
+    return df.select(id_col, text_col, F.lit("").alias(label))
+
+
+def relabel_sample(gold: DataFrame, k: int = 30, seed: int = 42, id_col: str = "review_id", text_col: str = "text") -> DataFrame:
+    """k seeded items of all, as a blind sheet."""
+    return blind_sheet(uniform_sample(gold, k, seed, id_col, ()), id_col, text_col)
+
+
 def unit_candidates(reviews: DataFrame, seed: int, positives: int = 20, group: Sequence[str] = ()) -> DataFrame:
     """Sentences of all negative and mixed reviews and of some sampled positive ones. Columns source_review_id, human_label, analysis_text."""
     from ..functions import text

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
+from ..operators.graph import shared_folder, stored
 from ..operators import categories, evaluate, insights, phrases, ratings, sampling, sentiment, themes, units
 from ..sources import reviews as source
 from ..sources import sinks
@@ -111,7 +112,10 @@ def frame_weights(spark, sf):
     return ratings.frame_weights(_light(spark, sf)).select("app_id", "rating", "count", r6("share"))
 
 
-@query()
+@query(oracle.q(oracle.LIGHT, f"""SELECT app_id, star AS rating, round(k::DOUBLE / n, 6) AS share, round(t::DOUBLE / pop, 6) AS true_share,
+  CASE WHEN n < pop THEN t::DOUBLE / pop BETWEEN {oracle.shrunk(oracle.low('k', 'n'), 'k', 'n', 'pop', 'low')} AND {oracle.shrunk(oracle.high('k', 'n'), 'k', 'n', 'pop', 'high')} END AS covers, CASE WHEN n = pop THEN 'census' END AS skipped
+FROM (SELECT a.app_id, s.star, count(*) AS pop, least(100, count(*)) AS n, count(*) FILTER (rating = star) AS t, count(*) FILTER (rating = star AND i <= 100) AS k
+  FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY md5('42:' || source_review_id), source_review_id) AS i FROM light) a CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS star) s GROUP BY a.app_id, s.star)"""))
 def population_compare(spark, sf):
     df = _light(spark, sf)
     drawn = sampling.uniform_sample(df, 100, 42)
@@ -522,13 +526,17 @@ def theme_coverage(spark, sf):
     return got.select("units_clustered", "units_total", r6("unit_share"), "reviews_in_themes", "coverage_warning")
 
 
-@query()
+@query(oracle.q(oracle.VECTORS + _NAMED + """, dims AS (SELECT theme_id, i, avg(embedding[i]::DOUBLE) AS x FROM themed, unnest(range(1, len(embedding) + 1)) AS t(i) WHERE theme_id IS NOT NULL GROUP BY ALL),
+centres AS (SELECT theme_id, list(x ORDER BY i) AS c FROM dims GROUP BY theme_id),
+far AS (SELECT t.theme_id, t.unit_id, t.review_id, t.sentence, 1 - list_dot_product(list_transform(t.embedding, lambda x: x::DOUBLE), c) / sqrt(list_dot_product(list_transform(t.embedding, lambda x: x::DOUBLE), list_transform(t.embedding, lambda x: x::DOUBLE)) * list_dot_product(c, c)) AS distance FROM themed t JOIN centres USING (theme_id))""",
+    "SELECT theme_id, CAST(rank AS INTEGER) AS rank, unit_id, round(distance, 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY theme_id ORDER BY length(trim(sentence)) < 40, round(distance, 8), review_id, unit_id) AS rank FROM far) WHERE rank <= 3"))
 def representatives(spark, sf):
     got = themes.representatives(themes.theme_policy(demo.vectors(spark, sf)))
     return got.select("theme_id", "rank", "unit_id", F.round("distance", 5).alias("distance"))
 
 
-@query()
+@query(oracle.q(oracle.VECTORS + ", strata AS (SELECT *, CASE WHEN distance < 0.35 THEN 0 WHEN distance < 0.5 THEN 1 ELSE 2 END AS stratum FROM pairs WHERE distance >= 0.2 AND distance < 0.65), drawn AS (SELECT * FROM strata QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY md5('7:' || left_id || '|' || right_id), left_id || '|' || right_id) <= 15)",
+    "SELECT CAST(stratum AS INTEGER) AS stratum, left_id, right_id, round(distance, 5) AS distance, count(*) OVER (PARTITION BY stratum) < 15 AS short FROM drawn"))
 def pair_strata(spark, sf):
     return themes.pair_strata(themes.near_pairs(demo.vectors(spark, sf), 0.65)).select("stratum", "left_id", "right_id", F.round("distance", 5).alias("distance"), "short")
 
@@ -536,6 +544,10 @@ def pair_strata(spark, sf):
 # Insights and marts
 
 
+def _bars(sql: str, label: str) -> str:
+    return f"SELECT app_id, {label} AS label, share AS value, coalesce(low, share) AS low, coalesce(high, share) AS high, count FROM ({sql})"
+
+
 def _areas(spark, sf):
     u, m = demo.matched(spark, sf)
     totals = units.complaint_totals(u)
@@ -567,13 +579,13 @@ def mart_funnel(spark, sf):
     return insights.mart_funnel(sampled, totals, categories.uncategorised_summary(categories.uncategorised(u, m), totals)).select("app_id", "step", "count")
 
 
-@query()
+@query(_bars(SQL["rating_distribution"], "CAST(rating AS VARCHAR)"))
 def mart_rating_distribution(spark, sf):
     got = insights.mart_distribution(ratings.distribution(_reachable(_light(spark, sf)), "rating", [1, 2, 3, 4, 5]), "rating")
     return got.select("app_id", "label", r6("value"), r6("low"), r6("high"), "count")
 
 
-@query()
+@query(_bars(SQL["sentiment_distribution"], "sentiment_label"))
 def mart_sentiment_distribution(spark, sf):
     got = insights.mart_distribution(ratings.distribution(_reachable(demo.reviews(spark, sf).select("app_id", "country", "sentiment_label")), "sentiment_label", stats.LABELS), "sentiment_label")
     return got.select("app_id", "label", r6("value"), r6("low"), r6("high"), "count")
@@ -581,10 +593,11 @@ def mart_sentiment_distribution(spark, sf):
 
 @query()
 def mart_periods(spark, sf):
-    return insights.mart_periods(ratings.period_metrics(_reachable(_light(spark, sf)))).select("app_id", "bucket", "label", r6("value"), r6("low"), r6("high"), "n")
+    df = _reachable(_light(spark, sf))
+    return insights.mart_periods(ratings.period_metrics(df), ratings.period_means(df)).select("app_id", "bucket", "label", r6("value"), r6("low"), r6("high"), "n")
 
 
-@query()
+@query(f"SELECT app_id, rank, phrase AS label, round(support::DOUBLE / n_negative, 6) AS value, support AS count FROM ({SQL['common_phrases']}) WHERE rank <= 12")
 def mart_negative_phrases(spark, sf):
     r = demo.reviews(spark, sf)
     got = insights.mart_negative_phrases(phrases.common_phrases(phrases.phrase_counts(r, REFERENCE), phrases.totals(r), demo.BLOCKED))
@@ -644,3 +657,125 @@ def five_to_three(spark, sf):
     e = F.col("event_id")
     scores = F.array(*[(e % m) / F.lit(10.0) for m in (7, 3, 5, 4, 6)])
     return demo.table(spark, sf, "events").select("event_id", stats.three_classes(F.transform(scores, lambda x: F.round(x * 10).cast("int")))["label"].alias("label"))
+
+
+# Sheets, audits and model comparison
+
+
+@query(oracle.q(oracle.LIGHT, f"SELECT app_id, k AS successes, n, round(k::DOUBLE / n, 6) AS value, round({oracle.low('k', 'n')}, 6) AS low, round({oracle.high('k', 'n')}, 6) AS high FROM (SELECT app_id, count(*) FILTER (rating <= 2) AS k, count(*) AS n FROM light GROUP BY app_id)"))
+def wilson_summary(spark, sf):
+    n = _light(spark, sf).groupBy("app_id").agg(F.count_if(F.col("rating") <= 2).alias("k"), F.count("*").alias("n"))
+    got = n.select("app_id", stats.wilson_summary(F.col("k"), F.col("n")).alias("w")).select("app_id", "w.*")
+    return got.select("app_id", "successes", "n", r6("value"), r6("low"), r6("high"))
+
+
+@query(oracle.q(oracle.LIGHT, "SELECT source_review_id AS review_id, md5(body) AS digest, '' AS human_label FROM light"))
+def blind_sheet(spark, sf):
+    got = sampling.blind_sheet(demo.reviews(spark, sf), "source_review_id", "body")
+    return got.select(F.col("source_review_id").alias("review_id"), F.md5("body").alias("digest"), "human_label")
+
+
+@query(oracle.q(oracle.LIGHT, f"SELECT source_review_id AS review_id, md5(body) AS digest, '' AS human_label FROM light QUALIFY row_number() OVER (ORDER BY {PRIO.format(seed=9, id='source_review_id')}, source_review_id) <= 30"))
+def relabel_sample(spark, sf):
+    got = sampling.relabel_sample(demo.reviews(spark, sf), 30, 9, "source_review_id", "body")
+    return got.select(F.col("source_review_id").alias("review_id"), F.md5("body").alias("digest"), "human_label")
+
+
+@query(oracle.q(oracle.LIGHT, f"SELECT source_review_id AS review_id, app_id, {oracle.STAR} AS human_label FROM light"))
+def attach_labels(spark, sf):
+    gold = _light(spark, sf).select(F.col("source_review_id").alias("review_id"), "app_id")
+    labels = _light(spark, sf).select(F.col("source_review_id").alias("review_id"), stats.star_class(F.col("rating")).alias("human_label"))
+    return evaluate.attach_labels(gold, labels).select("review_id", "app_id", "human_label")
+
+
+@query(oracle.q(oracle.LIGHT + rf""",
+labelled AS (SELECT source_review_id, {oracle.STAR} AS human_label, body FROM light),
+chosen AS (SELECT * FROM labelled WHERE human_label = 'negative' UNION ALL SELECT * FROM (SELECT * FROM labelled WHERE human_label = 'positive' QUALIFY row_number() OVER (ORDER BY md5('3:' || source_review_id), source_review_id) <= 20)),
+cut_ AS (SELECT source_review_id, human_label, list_filter(list_transform(string_split(regexp_replace(body, '([.!?])[\s\p{{Z}}]+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS s FROM chosen)""",
+    "SELECT source_review_id, human_label, CAST(i AS INTEGER) AS sentence_index, md5(s[i + 1]) AS digest FROM cut_, unnest(range(0, len(s))) AS t(i)"))
+def unit_candidates(spark, sf):
+    r = demo.reviews(spark, sf).select("source_review_id", stats.star_class(F.col("rating")).alias("human_label"), "analysis_text")
+    return sampling.unit_candidates(r, 3).select("source_review_id", "human_label", "sentence_index", F.md5("sentence").alias("digest"))
+
+
+@query(oracle.q(oracle.JUDGED, "SELECT count(*) AS n, round(avg(CASE WHEN true_ = shipping THEN 1 ELSE 0 END), 6) AS accuracy FROM judged WHERE true_ <> 'neutral'"))
+def binary_reference(spark, sf):
+    return evaluate.binary_reference(demo.judged(spark, sf).withColumn("predicted", F.col("shipping"))).select("n", r6("accuracy"))
+
+
+@query()
+def compare_models(spark, sf):
+    shares = spark.range(1, 6).select(F.col("id").cast("int").alias("star"), (F.col("id") / 15.0).alias("share"))
+    got = evaluate.compare_models(demo.judged(spark, sf), shares)
+    return got.select("model", "metric", r6("value"), r6("low"), r6("high"), r6("reweighted_accuracy"), "switch")
+
+
+_AUDIT = f"SELECT category, upper(left(category, 1)) || category[2:] AS label, precision, low, high, n FROM ({SQL['audit_precision']}) WHERE category <> 'overall'"
+
+
+def _audited(spark, sf):
+    m = demo.matched(spark, sf)[1]
+    sheet = categories.audit_sheet(m).join(m.select("app_id", F.col("category_id").alias("category"), "review_id", "rating"), ["app_id", "category", "review_id"])
+    return evaluate.audit_precision(sheet.withColumn("human_label", F.when(F.col("rating") <= 3, "correct").otherwise("incorrect")))
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY precision DESC, n DESC, label) AS INTEGER) AS rank, category, label, precision AS value, low, high, n FROM ({_AUDIT})")
+def mart_category_precision(spark, sf):
+    got = insights.mart_category_precision(_audited(spark, sf), categories.lexicon(spark, demo.LEXICON))
+    return got.select("rank", "category", "label", r6("value"), r6("low"), r6("high"), "n")
+
+
+@query(f"SELECT category, precision, n FROM ({_AUDIT}) WHERE precision < 0.8")
+def weak_categories(spark, sf):
+    return insights.weak_categories(_audited(spark, sf)).select("category", r6("precision"), "n")
+
+
+@query(oracle.q(oracle.MATCHED, "SELECT l.app_id, count(s.category_id) AS n_areas, CASE WHEN count(s.category_id) > 0 THEN 'ok' ELSE 'insufficient_signal' END AS status FROM (SELECT DISTINCT app_id FROM light) l LEFT JOIN stats s USING (app_id) GROUP BY l.app_id"))
+def area_status(spark, sf):
+    return insights.area_status(_light(spark, sf), _areas(spark, sf)[0]).select("app_id", "n_areas", "status")
+
+
+@query()
+def theme_areas(spark, sf):
+    """Units to clusters, themes, their statistics, names and areas, end to end."""
+    clustered = stored(themes.cluster_units(demo.vectors(spark, sf).drop("cluster"), 0.75).withColumn("lexical_text", text.lexical(F.col("sentence"))))
+    t = themes.theme_policy(clustered)
+    n = t.groupBy("app_id", "country").agg(F.countDistinct("review_id").alias("n_analysable"))
+    named = phrases.group_phrases(t.where("theme_id IS NOT NULL"), "theme_id", demo.BLOCKED)
+    areas = insights.theme_areas(themes.theme_stats(t, n, REFERENCE), named, themes.representatives(t))
+    return insights.areas_of_improvement([areas]).select("app_id", "rank", "source", "area", "count", "total", r6("share"))
+
+
+@query()
+def phrase_areas(spark, sf):
+    """Areas of groups that have neither categories nor themes: here of all, as the others are left out."""
+    r = demo.reviews(spark, sf)
+    found = phrases.with_examples(phrases.distinctive_phrases(phrases.phrase_counts(r, REFERENCE), phrases.totals(r), demo.BLOCKED), r)
+    areas = insights.phrase_areas(found, r.limit(0), r)
+    return insights.areas_of_improvement([areas]).select("app_id", "rank", "source", "area", "count", "total", r6("share"))
+
+
+# Sources and sinks, written and read back
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS source_review_id, (doc_id // 50) * 50 + row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) - 1 AS rank, md5(trim(coalesce(text, ''))) AS digest, CAST(doc_id % 5 + 1 AS INTEGER) AS rating, doc_id % 4 = 0 AS has_developer_response, true AS valid FROM documents""")
+def store_rows(spark, sf):
+    """documents as pages of 50 store rows in JSON, personal fields among them, written to the shared folder and read back."""
+    n = F.col("doc_id")
+    row = F.struct(n.cast("string").alias("userReviewId"), F.lit("t").alias("title"), F.coalesce("text", F.lit("")).alias("body"), (n % 5 + 1).alias("rating"), F.lit("someone").alias("name"), F.when(n % 4 == 0, F.struct(F.lit("7").alias("id"), F.lit("hidden").alias("body"))).alias("developerResponse"))
+    pages = demo.table(spark, sf, "documents").groupBy(F.floor(n / 50).alias("page")).agg(F.array_sort(F.collect_list(F.struct(n.alias("n"), row.alias("r")))).alias("rows"))
+    value = F.to_json(F.struct((F.col("page") * 50).alias("start"), F.lit("us").alias("country"), F.lit(1).alias("app_id"), F.transform("rows", lambda x: x["r"]).alias("userReviewList")))
+    path = shared_folder(spark, "store")
+    pages.select(value.alias("value")).write.text(path)
+    return source.read_store_rows(spark, path).select("source_review_id", "rank", F.md5("body").alias("digest"), "rating", "has_developer_response", "valid")
+
+
+@query(r'''SELECT CAST(page_id AS VARCHAR) AS source_review_id, page_id AS rank, md5(CASE WHEN regexp_matches(v, '^[=+\-@＝]') THEN chr(9) || v ELSE v END) AS digest FROM (SELECT page_id, list_element(['=', '+', '-', '@', '"', 'a,;', '＝'], CAST(page_id % 7 + 1 AS INTEGER)) || url AS v FROM pages)''')
+def reviews_csv(spark, sf):
+    """Addresses of pages behind what a spreadsheet could take for formulas, written as CSV to the shared folder and read back."""
+    v = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("=", "+", "-", "@", '"', "a,;", "＝")]), (F.col("page_id") % 7 + 1).cast("int")), F.col("url"))
+    rows = demo.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("source_review_id"), F.col("page_id").alias("rank"), v.alias("body"))
+    path = shared_folder(spark, "csv")
+    sinks.write_reviews_csv(rows, path, ("source_review_id", "rank", "body"))
+    got = spark.read.schema("source_review_id string, rank long, body string").options(header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return got.select("source_review_id", "rank", F.md5("body").alias("digest"))

@@ -51,7 +51,7 @@ def optional_float(value: Column) -> Column:
 
 def optional_bool(value: Column) -> Column:
     v = F.lower(F.trim(value))
-    return F.when(v.isin("true", "1", "yes"), True).when(v.isin("false", "0", "no"), False)
+    return F.when(v.isin("true", "1", "yes"), True).when(v.isin("false", "0", "no"), False).when(v.rlike(r"^[+-]?\d+$"), v.try_cast("bigint") != 0)
 
 
 def typed_reviews(rows: DataFrame, provider: str = "store") -> DataFrame:
