@@ -17,12 +17,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_table, spread
+
 #: A word: a maximal run of characters other than space and U+0009 to U+000D.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; one of texts with fewer splits than cores is dealt over them."""
+    df = read_table(spark, sf_dir, name)
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def shared_dir(spark: SparkSession) -> str:
