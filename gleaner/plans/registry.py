@@ -161,6 +161,12 @@ def normalise_text(spark, sf):
     return demo.table(spark, sf, "pages").select("page_id", F.md5(text.normalise(F.col("url"))).alias("digest"))
 
 
+@query()
+def normalise_html(spark, sf):
+    """Whole pages, entities and all; SQL has no NFKC, so a test compares it with Python."""
+    return demo.table(spark, sf, "pages").select("page_id", F.md5(text.normalise(F.col("html"))).alias("digest"))
+
+
 @query(r"""SELECT doc_id, array_to_string(list_filter([
   CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty_body' END, CASE WHEN text <> '' AND NOT regexp_matches(text, '[\p{L}\p{N}]') THEN 'emoji_only' END,
   CASE WHEN length(coalesce(text, '')) < 20 THEN 'short' END, CASE WHEN length(text) > 2000 THEN 'long_text' END, CASE WHEN coalesce(text, '') = '' THEN 'no_text' END,
@@ -432,19 +438,19 @@ def reweighted_accuracy(spark, sf):
 
 @query()
 def metric_bca_ci(spark, sf):
-    got = evaluate.metric_bca_ci(demo.judged(spark, sf), predicted="shipping", resamples=2000)
+    got = evaluate.metric_bca_ci(demo.judged(spark, sf), predicted="shipping")
     return got.select("metric", r6("value"), r6("low"), r6("high"), "reason")
 
 
 @query()
 def paired_f1_diff_ci(spark, sf):
-    got = evaluate.paired_f1_diff_ci(demo.judged(spark, sf), resamples=2000)
+    got = evaluate.paired_f1_diff_ci(demo.judged(spark, sf))
     return got.select("metric", r6("value"), r6("low"), r6("high"), "switch")
 
 
 @query()
 def kappa_ci(spark, sf):
-    got = evaluate.kappa_ci(demo.judged(spark, sf), "shipping", "challenger", stats.LABELS, resamples=2000)
+    got = evaluate.kappa_ci(demo.judged(spark, sf), "shipping", "challenger", stats.LABELS)
     return got.select("metric", r6("value"), r6("low"), r6("high"))
 
 
@@ -624,12 +630,14 @@ def feed_frame(spark, sf):
 
 
 @query("""SELECT CAST(doc_id AS VARCHAR) AS source_review_id, CASE WHEN doc_id % 7 BETWEEN 1 AND 5 AND doc_id % 11 <> 0 THEN true ELSE false END AS valid, CAST(doc_id % 7 AS INTEGER) AS rating,
-  CASE doc_id % 3 WHEN 0 THEN DATE '2024-01-01' + CAST(doc_id % 28 AS INTEGER) END AS day, doc_id % 2 = 0 AS is_edited, doc_id % 4 = 0 AS has_developer_response FROM documents""".replace("CAST(doc_id AS VARCHAR) AS source_review_id", "CASE WHEN doc_id % 11 = 0 THEN '' ELSE CAST(doc_id AS VARCHAR) END AS source_review_id"))
+  CASE doc_id % 3 WHEN 0 THEN DATE '2024-01-01' + CAST(doc_id % 28 AS INTEGER) END AS day, doc_id % 2 = 0 AS is_edited, doc_id % 4 = 0 AS has_developer_response, md5(trim(coalesce(text, ''))) AS digest,
+  array_to_string(list_filter([CASE WHEN trim(coalesce(text, '')) = '' THEN 'missing_or_blank_body' END, CASE WHEN doc_id % 3 <> 0 THEN 'missing_or_unparseable_date' END], lambda x: x IS NOT NULL), ',') AS flags,
+  3::BIGINT AS vote_count, NULL::BIGINT AS vote_sum, CASE WHEN doc_id % 4 = 0 THEN '7' END AS developer_response_id FROM documents""".replace("CAST(doc_id AS VARCHAR) AS source_review_id", "CASE WHEN doc_id % 11 = 0 THEN '' ELSE CAST(doc_id AS VARCHAR) END AS source_review_id"))
 def typed_review(spark, sf):
     d = demo.table(spark, sf, "documents")
     n = F.col("doc_id")
-    raw = d.select(F.lit(1).alias("app_id"), F.lit("us").alias("country"), n.alias("rank"), F.when(n % 11 == 0, "").otherwise(n.cast("string")).alias("userReviewId"), F.lit("t").alias("title"), F.left("text", F.lit(50)).alias("body"), (n % 7).cast("string").alias("rating"), F.when(n % 3 == 0, F.concat(F.date_add(F.lit("2024-01-01").cast("date"), (n % 28).cast("int")).cast("string"), F.lit("T08:00:00Z"))).when(n % 3 == 1, "2024").otherwise("soon").alias("date"), F.when(n % 2 == 0, "true").otherwise("no").alias("isEdited"), F.lit("3").alias("voteCount"), F.lit("").alias("voteSum"), F.when(n % 4 == 0, '{"id": "7", "modified": "2024-02-03T00:00:00Z"}').otherwise("{}").alias("developerResponse"))
-    return source.typed_reviews(raw).select("source_review_id", "valid", "rating", F.to_date("created_at").alias("day"), "is_edited", "has_developer_response")
+    raw = d.select(F.lit(1).alias("app_id"), F.lit("us").alias("country"), n.alias("rank"), F.when(n % 11 == 0, "").otherwise(n.cast("string")).alias("userReviewId"), F.lit("t").alias("title"), F.col("text").alias("body"), (n % 7).cast("string").alias("rating"), F.when(n % 3 == 0, F.concat(F.date_add(F.lit("2024-01-01").cast("date"), (n % 28).cast("int")).cast("string"), F.lit("T08:00:00Z"))).when(n % 3 == 1, "2024").otherwise("soon").alias("date"), F.when(n % 2 == 0, "true").otherwise("no").alias("isEdited"), F.lit("3").alias("voteCount"), F.lit("").alias("voteSum"), F.when(n % 4 == 0, '{"id": "7", "modified": "2024-02-03T00:00:00Z"}').otherwise("{}").alias("developerResponse"))
+    return source.typed_reviews(raw).select("source_review_id", "valid", "rating", F.to_date("created_at").alias("day"), "is_edited", "has_developer_response", F.md5("body").alias("digest"), F.array_join("source_flags", ",").alias("flags"), "vote_count", "vote_sum", "developer_response_id")
 
 
 @query(oracle.q(oracle.LIGHT, "SELECT source_review_id, rank, rating, strftime(created_at, '%Y-%m-%dT%H:%M:%S') || 'Z' AS created_at FROM light"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions import text
 from gleaner.operators import categories, evaluate, phrases, ratings, sampling, themes, units
 from gleaner.sources import reviews as source
 from gleaner.sources import sinks
@@ -180,3 +181,44 @@ def test_stream(spark, tmp_path):
     ingest.write_windows(windows, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sum(r["n"] for r in got) == 2
+
+
+def test_means_of_periods(spark):
+    df = reviews(spark, [5, 4, 4, 3] * 10 + [1, 2, 2, 3] * 10, [2026] * 40 + [2025] * 40)
+    got = {r["bucket"]: r for r in ratings.period_means(df).collect()}
+    assert got[0]["low"] < 4.0 < got[0]["high"] and got[1]["low"] < 2.0 < got[1]["high"] and got[0]["low"] > got[1]["high"]
+    assert {r["reason"] for r in ratings.period_means(reviews(spark, [5, 4, 4, 3] * 10, reachable=40)).collect()} == {"census"}
+    two = df.union(df.withColumn("app_id", F.lit(2).cast("long")))
+    ends = {(r["low"], r["high"]) for r in ratings.mean_bca_ci(two).collect()}
+    assert len(ends) == 2 and max(a for a, _ in ends) - min(a for a, _ in ends) < 0.1  # draws of their own
+
+
+def test_comparison_with_a_walk(spark):
+    df = reviews(spark, [1] * 10 + [5] * 90, reachable=100)
+    dist = ratings.distribution(reviews(spark, [1] * 5 + [5] * 45, reachable=100), "rating", [1, 2, 3, 4, 5])
+    got = {r["rating"]: r for r in ratings.population_compare(dist, ratings.frame_weights(df)).collect()}
+    assert got[1]["covers"] and got[3]["true_share"] == 0.0 and got[3]["skipped"] is None
+    why = lambda **k: {r["skipped"] for r in ratings.population_compare(dist, ratings.frame_weights(k.pop("walk", df)), **k).collect()}
+    assert why(window_days=30) == {"window_frame"} and why(walk=df.limit(90)) == {"other_frame"} and why(walk=df.limit(0)) == {"no_population"}
+
+
+def test_sheets_hide_what_they_should(spark):
+    df = spark.createDataFrame([(f"r{i}", "text", 1, "negative") for i in range(50)], "review_id string, text string, star int, prior string")
+    got = sampling.relabel_sample(df, 30, 1)
+    assert got.columns == ["review_id", "text", "human_label"] and got.count() == 30 and {r["human_label"] for r in got.collect()} == {""}
+
+
+def test_booleans_of_whole_numbers(spark):
+    df = spark.createDataFrame([(x,) for x in ("2", "-1", "00", " Yes ", "no", "x", None)], "v string").select(source.optional_bool(F.col("v")).alias("b"))
+    assert [r["b"] for r in df.collect()] == [True, True, False, True, False, None, None]
+
+
+def test_normalised_pages_equal_python(spark):
+    import html
+    import re
+    import unicodedata
+
+    said = ["<p>ﬁne &amp; &eacute;t&#233; ½ x²</p>\r\n\x07 Ａ　b", "&lt;b&gt; &nbsp; &unknown; \u2028 end", "", None]
+    got = [r["t"] for r in spark.createDataFrame([(x,) for x in said], "v string").select(text.normalise(F.col("v")).alias("t")).collect()]
+    plain = lambda x: re.sub(r"\s+", " ", "".join(c for c in unicodedata.normalize("NFKC", html.unescape(x or "")) if c >= " " and c != "\x7f" or c in "\t\n\r")).strip()
+    assert got == [plain(x) for x in said]

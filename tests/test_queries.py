@@ -30,7 +30,7 @@ def test_sql_belongs_to_queries():
 
 
 @pytest.mark.skipif(not TINY.is_dir(), reason="the given tables are not here")
-@pytest.mark.parametrize("name", ["rating_distribution", "period_metrics", "distinctive_phrases", "category_stats", "pair_join", "feed_frame"])
+@pytest.mark.parametrize("name", ["rating_distribution", "period_metrics", "distinctive_phrases", "category_stats", "pair_join", "feed_frame", "typed_review", "store_rows", "reviews_csv", "population_compare", "unit_candidates", "representatives", "pair_strata", "mart_category_precision"])
 def test_sql_agrees(spark, name):
     import duckdb
 
