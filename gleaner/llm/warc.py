@@ -100,12 +100,19 @@ class Package:
         self.zip.close()
 
 
+def _uri(folder: str) -> str:
+    """A folder as Arrow takes it: plain paths and Hadoop's own form file:/x are local ones. Other schemes need Arrow's driver on executors."""
+    if "://" in folder:
+        return folder
+    return f"file://{folder.removeprefix('file:')}"
+
+
 def write_packages(pages: DataFrame, folder: str, package_bytes: int = 32 << 20) -> DataFrame:
     """Write `pages` (page_id, url, html, first_id) into packages below `folder`; the manifest, as a written table."""
     schema = to_arrow_schema(T._parse_datatype_string(MANIFEST))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, top = pafs.FileSystem.from_uri(_uri(folder))
         store.create_dir(top, recursive=True)
         package, out, path = None, None, ""
 
@@ -207,7 +214,7 @@ def read_packages(manifest: DataFrame, folder: str, batch_rows: int = 500) -> Da
     schema = to_arrow_schema(T._parse_datatype_string(RECORDS))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, _ = pafs.FileSystem.from_uri(_uri(folder))
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 with store.open_input_file(path) as f:

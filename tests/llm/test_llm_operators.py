@@ -130,16 +130,16 @@ def test_pii_base_spans(spark):
 
 
 def test_archives(spark, tmp_path):
-    html = ["same", "same", None, "", "other", "same"]
+    html = ["same", "same", None, "", "öther 日本 \r\n\r\n 💩", "same"]
     pages = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in enumerate(html)] + [(0, "http://again", "same"), (None, None, "same")], "page_id long, url string, html string")
-    folder = str(tmp_path / "packages")
+    folder = f"file:{tmp_path}/packages"
     manifest = warc.write_packages(warc.with_first(pages), folder, package_bytes=200)
     got = warc.read_packages(manifest, folder).collect()
     kinds = collections.Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in got)
     assert kinds == collections.Counter({(0, "response", None): 2, (1, "revisit", 0): 1, (2, "response", None): 1, (3, "revisit", 2): 1, (4, "response", None): 1, (5, "revisit", 0): 1, (None, "revisit", 0): 1})
     for r in got:
         body = (html[r["page_id"]] if r["page_id"] is not None else "same") or ""
-        assert (r["payload_bytes"], r["payload_digest"]) == (len(body), base64.b32encode(hashlib.sha1(body.encode()).digest()).decode())
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(body.encode()), base64.b32encode(hashlib.sha1(body.encode()).digest()).decode())
     assert warc.read_packages(warc.write_packages(warc.with_first(pages.limit(0)), folder), folder).count() == 0
 
 
