@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +48,8 @@ SHARE = 15
 CHUNK = 256
 #: Nodes that share a shingle and are paired where they meet; more go through their groups first.
 FEW = 16
+#: Bytes of text whose shingles make a bucket.
+SPLIT_BYTES = 24 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,34 +91,65 @@ def node_ids(ends: np.ndarray, values: np.ndarray) -> np.ndarray:
     return mixed(_over(mixed(values ^ np.uint64(0x5851F42D4C957F2D)), ends, np.add) + np.diff(ends).astype(np.uint64)).view(np.int64)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (hash of the text), n, node and min-hashes of each document."""
-    out = "doc_id long, text_key long, n long, node long, mins array<long>"
+def named(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each hash, rising with it, and 32 bits that name it there. Two hashes may share a name; sets are compared later."""
+    return ((values >> np.uint64(44)) * np.uint64(buckets) >> np.uint64(20)).astype(np.int64), (values >> np.uint64(12)).astype(np.uint32)
+
+
+def _full_names(values: np.ndarray, buckets: int) -> np.ndarray:
+    bucket, name = named(values, buckets)
+    return (bucket << 32) | name
+
+
+def packed(names: np.ndarray) -> bytes:
+    """Sorted names as gaps, those bytes of each place of a number together, compressed."""
+    gaps = np.diff(names, prepend=np.uint32(0))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.uint32), dtype=np.uint32)
+
+
+def sketches(docs: DataFrame, buckets: int, tokens_each: int = 1 << 20) -> DataFrame:
+    """doc_id, text_key (hash of the text), n, node and min-hashes of each document; in rows of their own, bucket and names of all shingles.
+
+    One pass over the texts gives both: the names, once for each document that has them, are what `frequent` counts.
+    """
+    out = "doc_id long, text_key long, n long, node long, mins array<long>, bucket int, names binary"
     schema = to_arrow_schema(T._parse_datatype_string(out))
 
+    def batch_of(rows: int, **given: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(rows, f.type) for f in schema], schema=schema)
+
+    def emit(parts: list[np.ndarray]) -> pa.RecordBatch:
+        bucket, name = named(np.sort(np.concatenate(parts)), buckets)
+        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(cuts))
+        return batch_of(len(full), bucket=pa.array(full, pa.int32()), names=pa.array([packed(name[cuts[b] : cuts[b + 1]]) for b in full.tolist()], pa.binary()))
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for whole in batches:
             for batch in slices(whole, "text"):
                 ends, values = shingle_sets(texts_of(batch, "text"))
                 mins = np.stack([_over(mixed(values ^ np.uint64(17 + 1_000_003 * i)), ends, np.minimum) for i in range(MINHASHES)], 1).view(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(0, mins.size + 1, MINHASHES, dtype=np.int32), mins.ravel()).cast(schema.field("mins").type)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(np.diff(ends)), pa.array(node_ids(ends, values)), lists], schema=schema)
+                yield batch_of(batch.num_rows, doc_id=batch.column("doc_id"), text_key=batch.column("text_key"), n=pa.array(np.diff(ends)), node=pa.array(node_ids(ends, values)), mins=lists)
+                parts.append(values)
+                held += len(values)
+                if held >= tokens_each:
+                    yield emit(parts)
+                    parts, held = [], 0
+        if held:
+            yield emit(parts)
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(sketch, out)
 
 
-def named(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each hash, rising with it, and 32 bits that name it there. Two hashes may share a name; sets are compared later."""
-    return ((values >> np.uint64(44)) * np.uint64(buckets) >> np.uint64(20)).astype(np.int64), (values >> np.uint64(12)).astype(np.uint32)
-
-
-def _full_names(values: np.ndarray, buckets: int) -> np.ndarray:
-    bucket, name = named(values, buckets)
-    return (bucket << 32) | name
-
-
-def _dealt(docs: DataFrame, wanted, buckets: int, with_nodes: bool, tokens_each: int = 1 << 20) -> DataFrame:
-    """Shingles that `wanted(ends, values)` marks, dealt by bucket: blobs of names and, if asked for, of what nodes they are of.
+def _dealt(docs: DataFrame, wanted, buckets: int, tokens_each: int = 1 << 20) -> DataFrame:
+    """Shingles that `wanted(ends, values)` marks, dealt by bucket: blobs of names and of what nodes they are of.
 
     A blob's places point into its table of nodes and their set sizes.
     """
@@ -130,11 +164,8 @@ def _dealt(docs: DataFrame, wanted, buckets: int, with_nodes: bool, tokens_each:
         cuts, rows = np.searchsorted(bucket, np.arange(buckets + 1)), []
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             i, j = cuts[b], cuts[b + 1]
-            if with_nodes:
-                used, local = np.unique(places[i:j], return_inverse=True)
-                rows.append((b, name[i:j].tobytes(), local.astype(np.uint32).tobytes(), nodes[used].tobytes(), sizes[used].tobytes()))
-            else:
-                rows.append((b, name[i:j].tobytes(), None, None, None))
+            used, local = np.unique(places[i:j], return_inverse=True)
+            rows.append((b, name[i:j].tobytes(), local.astype(np.uint32).tobytes(), nodes[used].tobytes(), sizes[used].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,24 +188,18 @@ def _dealt(docs: DataFrame, wanted, buckets: int, with_nodes: bool, tokens_each:
     return docs.select("text").mapInArrow(deal, out)
 
 
-def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column])
-
-
-def frequent(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Full names of the most frequent shingles, sorted, and each one's place by frequency; HOT_KEPT at most, whatever the corpus."""
+def frequent(dealt: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Full names of the most frequent shingles of `dealt` (bucket, names), sorted, and each one's place by frequency; HOT_KEPT at most, whatever the corpus."""
     out = "name long, n long"
     schema = to_arrow_schema(T._parse_datatype_string(out))
 
     def count(rows: pa.Table) -> pa.Table:
-        name, n = np.unique(_joined(rows.column("names"), np.uint32), return_counts=True)
+        name, n = np.unique(np.concatenate([unpacked(x.as_buffer()) for x in rows.column("names")]), return_counts=True)
         keep = n >= HOT_FROM
         full = (np.int64(rows.column("bucket")[0].as_py()) << 32) | name[keep].astype(np.int64)
         return pa.table({"name": full, "n": n[keep].astype(np.int64)}, schema=schema)
 
-    every = lambda ends, values: np.ones(len(values), bool)
-    found = _dealt(docs, every, buckets, with_nodes=False).groupBy("bucket").applyInArrow(count, out)
-    top = found.orderBy(F.col("n").desc(), "name").limit(HOT_KEPT).toPandas()
+    top = dealt.groupBy("bucket").applyInArrow(count, out).orderBy(F.col("n").desc(), "name").limit(HOT_KEPT).toPandas()
     names, n = top["name"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
     place = np.empty(len(names), np.int64)
     place[np.lexsort((names, n))] = np.arange(len(names))
@@ -245,7 +270,7 @@ def meetings(docs: DataFrame, buckets: int, hot: tuple[np.ndarray, np.ndarray])
         columns += [pa.concat_arrays([pa.array(both[c].to_numpy(np.int64)), gap(len(full))]) for c in ("b", "times")]
         return pa.table([*columns, pa.concat_arrays([gap(len(both)), pa.array(full)])], schema=schema)
 
-    return _dealt(docs, wanted, buckets, with_nodes=True).groupBy("bucket").applyInArrow(meet, out)
+    return _dealt(docs, wanted, buckets).groupBy("bucket").applyInArrow(meet, out)
 
 
 def _overlap(sorted_set: np.ndarray, other: np.ndarray) -> int:
@@ -331,13 +356,14 @@ def links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, members: Dat
 def classed(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n and class of each row of `docs` (doc_id, text); class is null for empty sets."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = written(sketches(docs), "sketches")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = tasks(docs.sparkSession, size, SPLIT_BYTES)
+    both = written(sketches(docs, buckets), "sketches")
+    seen, dealt = both.where("bucket IS NULL").drop("bucket", "names"), both.where("bucket IS NOT NULL").select("bucket", "names")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     nodes = seen.where("n > 0").groupBy("node").agg(first.alias("at"), F.first("n").alias("n"), F.first("mins").alias("mins"))
     nodes = written(nodes.select("node", "at.doc_id", "at.text_key", "n", "mins"), "nodes")
     where = nodes.select("node", "doc_id", "text_key")
-    shingles = nodes.agg(F.sum("n")).first()[0] or 0
-    buckets = tasks(docs.sparkSession, shingles, 4_000_000)
 
     # Whoever shares a min-hash is compared with one leader: the node whose min-hashes are shared most, the least edited copy.
     mins = nodes.select("node", "n", F.posexplode("mins").alias("i", "value"))
@@ -355,7 +381,7 @@ def classed(docs: DataFrame) -> DataFrame:
     place = nodes.select("node").join(marks.select("node", F.col("component").alias("mark")), "node", "left").join(homes.select(F.col("query").alias("node"), "home"), "node", "left")
     place = written(place.select("node", F.coalesce("mark", "node").alias("mark"), F.coalesce("home", "node").alias("home")), "places")
 
-    met = written(meetings(docs, buckets, frequent(docs, buckets)), "meetings")
+    met = written(meetings(docs, buckets, frequent(dealt)), "meetings")
     pairs = written(met.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("times").alias("times")), "pairs")
     many = met.where("b IS NULL").select("a", "name")
     bound = 1 + F.floor(F.col("n") * (SHARE * PERCENT) / 10_000)
