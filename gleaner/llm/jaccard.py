@@ -112,7 +112,7 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.uint32), dtype=np.uint32)
 
 
-def sketches(docs: DataFrame, buckets: int, tokens_each: int = 1 << 20) -> DataFrame:
+def sketches(docs: DataFrame, buckets: int, tokens_each: int = 2 << 20) -> DataFrame:
     """doc_id, text_key (hash of the text), n, node and min-hashes of each document; in rows of their own, bucket and names of all shingles.
 
     One pass over the texts gives both: the names, once for each document that has them, are what `frequent` counts.
@@ -124,10 +124,10 @@ def sketches(docs: DataFrame, buckets: int, tokens_each: int = 1 << 20) -> DataF
         return pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
     def emit(parts: list[np.ndarray]) -> pa.RecordBatch:
-        bucket, name = named(np.sort(np.concatenate(parts)), buckets)
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(cuts))
-        return batch_of(len(full), bucket=pa.array(full, pa.int32()), names=pa.array([packed(name[cuts[b] : cuts[b + 1]]) for b in full.tolist()], pa.binary()))
+        full = np.sort(_full_names(np.concatenate(parts), buckets))
+        name, cuts = full.astype(np.uint32), np.searchsorted(full, np.arange(buckets + 1, dtype=np.int64) << 32)
+        some = np.flatnonzero(np.diff(cuts))
+        return batch_of(len(some), bucket=pa.array(some, pa.int32()), names=pa.array([packed(name[cuts[b] : cuts[b + 1]]) for b in some.tolist()], pa.binary()))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
