@@ -40,15 +40,19 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared one, removed when the driver's Python ends."""
     path = f"{shared_dir(spark).rstrip('/')}/gleaner/{name}-{uuid.uuid4().hex}"
 
     def remove() -> None:
         try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            removed(spark, path)
         except Exception:  # noqa: BLE001  the session has ended; the folder's owner clears it
             pass
 

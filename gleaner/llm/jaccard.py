@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import WORD, hashes, mixed, slices, table, tasks, texts_of, word_codes, written
+from .common import WORD, hashes, mixed, new_folder, removed, slices, table, tasks, texts_of, word_codes, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -358,8 +358,11 @@ def classed(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = tasks(docs.sparkSession, size, SPLIT_BYTES)
-    both = written(sketches(docs, buckets), "sketches")
-    seen, dealt = both.where("bucket IS NULL").drop("bucket", "names"), both.where("bucket IS NOT NULL").select("bucket", "names")
+    spark, path = docs.sparkSession, new_folder(docs.sparkSession, "sketches")
+    made = sketches(docs, buckets).withColumn("dealt", F.col("bucket").isNotNull())
+    made.write.option("compression", "zstd").partitionBy("dealt").parquet(path)
+    stored = spark.read.schema(made.schema).parquet(path)
+    seen, dealt = stored.where("NOT dealt").drop("bucket", "names", "dealt"), stored.where("dealt").select("bucket", "names")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     nodes = seen.where("n > 0").groupBy("node").agg(first.alias("at"), F.first("n").alias("n"), F.first("mins").alias("mins"))
     nodes = written(nodes.select("node", "at.doc_id", "at.text_key", "n", "mins"), "nodes")
@@ -381,7 +384,9 @@ def classed(docs: DataFrame) -> DataFrame:
     place = nodes.select("node").join(marks.select("node", F.col("component").alias("mark")), "node", "left").join(homes.select(F.col("query").alias("node"), "home"), "node", "left")
     place = written(place.select("node", F.coalesce("mark", "node").alias("mark"), F.coalesce("home", "node").alias("home")), "places")
 
-    met = written(meetings(docs, buckets, frequent(dealt)), "meetings")
+    hot = frequent(dealt)
+    removed(spark, f"{path}/dealt=true")  # nothing reads it again
+    met = written(meetings(docs, buckets, hot), "meetings")
     pairs = written(met.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("times").alias("times")), "pairs")
     many = met.where("b IS NULL").select("a", "name")
     bound = 1 + F.floor(F.col("n") * (SHARE * PERCENT) / 10_000)
