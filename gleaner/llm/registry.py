@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, centroids, counting, jaccard, katz, media, mixing, packing, pii, topk, toxicity, warc
+from . import alignment, centroids, counting, jaccard, katz, media, mixing, packing, pii, snapshots, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interleaved_media": media.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_edit_aware_counts": counting.query,
     "op9_vector_best_fit": packing.query,
     "op10_segment_topk": topk.query,
+    "op11_fuse_snapshots": snapshots.query,
     "op12_vantage_centroids": centroids.query,
     "op13_token_alignment": alignment.query,
 }
@@ -27,5 +28,6 @@ SQL: dict[str, str] = {
     "op4_water_filling_mix": mixing.ORACLE,
     "op6_jaccard_groups": jaccard.ORACLE,
     "op10_segment_topk": topk.ORACLE,
+    "op11_fuse_snapshots": snapshots.ORACLE,
     "op12_vantage_centroids": centroids.ORACLE,
 }
