@@ -12,7 +12,7 @@ import numpy as np
 
 from .common import mixed
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD = 0x9E3779B97F4A7C15
 
 
 class Fuse:
@@ -23,9 +23,9 @@ class Fuse:
 
     def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The three cells (3 x n) and the fingerprint of each key."""
-        h = mixed(keys + np.uint64(self.seed + 1) * _ODD)
+        h = mixed(keys + np.uint64((self.seed + 1) * _ODD % 2**64))
         base = ((h >> np.uint64(32)) * np.uint64(self.starts) >> np.uint64(32)).astype(np.int64) * self.segment
-        g, mask = mixed(h ^ _ODD), np.uint64(self.segment - 1)
+        g, mask = mixed(h ^ np.uint64(_ODD)), np.uint64(self.segment - 1)
         at = np.stack([base + i * self.segment + ((g >> np.uint64(18 * i)) & mask).astype(np.int64) for i in range(3)])
         return at, (mixed(g) & np.uint64(255)).astype(np.uint8)
 
