@@ -21,6 +21,7 @@ import functools
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from . import tokens
 from .common import give_back, slices, table, written
 
 SPACE = "▁"
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 5 << 20
 #: Of a chunk: its documents (ids, what the pieces give), ends and numbers of their pieces, ends and pair numbers of the pieces, its pairs, how many documents hold each.
 CHUNKS = "chunk long, doc_id array<long>, sums binary, groups_sha256 array<string>, ends binary, pieces binary, link_ends binary, links binary, pairs binary, docs binary"
 PAIRS = "chunk long, code int, pair long, n long"
@@ -53,7 +54,9 @@ def first(path: str):
 
     tokenizer, byte = Tokenizer.from_file(path), tokens._alphabet()
     tokenizer.encode_special_tokens = True
-    of = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in tokenizer.get_vocab().items()}
+    of = [b""] * tokenizer.get_vocab_size()
+    for t, i in tokenizer.get_vocab().items():
+        of[i] = bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode()
     fast = tokens._fast(path)
     if fast is not None:
         return lambda texts: [fast.encode_ordinary(t) for t in texts], of
@@ -69,7 +72,7 @@ def second(path: str):
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     if any(SPACE in p.lstrip(SPACE) for p in pieces):
         raise ValueError("the vocabulary has pieces that go on behind a space")
-    of = {i: bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)}
+    of = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
     return lambda texts: model.encode(texts, num_threads=1), of
 
 
@@ -94,19 +97,42 @@ def links(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return left, np.arange(len(left)) - np.repeat(np.cumsum(count) - count - low, count)
 
 
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of tokens of each text, and all tokens."""
+    n = np.fromiter(map(len, ids), np.int64, len(ids))
+    return n, np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+
+
+def _keeps(ids: list[list[int]], of: list[bytes], texts: list[str]) -> np.ndarray:
+    """Whether the tokens of each text have its bytes."""
+    return np.array([b"".join([of[i] for i in x]) == t.encode() for x, t in zip(ids, texts, strict=True)], bool)
+
+
+def _spans(ends: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Sums of `x` between consecutive `ends`."""
+    total = np.concatenate([[0], np.cumsum(x)])
+    return total[ends[1:]] - total[ends[:-1]]
+
+
 class Aligned:
     """Distinct pieces aligned: numbers of tokens, groups and links, the groups as a string; `good`: both tokenizers keep the bytes."""
 
     def __init__(self, texts: list[str], a_path: str, b_path: str) -> None:
         (encode_a, bytes_a), (encode_b, bytes_b) = first(a_path), second(b_path)
-        raw, a, b = [t.encode() for t in texts], encode_a(texts), encode_b([t[1:] for t in texts])
-        same = lambda ids, of, want: b"".join([of[i] for i in ids]) == want
-        self.good = np.array([same(x, bytes_a, r) and same(y, bytes_b, r) for x, y, r in zip(a, b, raw, strict=True)], bool)
-        a, b = ([x if ok else [] for x, ok in zip(ids, self.good.tolist(), strict=True)] for ids in (a, b))
-        self.n_a, self.n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a, b))
-        flat_a, flat_b = (np.fromiter((i for x in ids for i in x), np.int64, int(n.sum())) for ids, n in ((a, self.n_a), (b, self.n_b)))
+        a, b = encode_a(texts), encode_b([t[1:] for t in texts])
+        self.good = np.ones(len(texts), bool)
+        for ids, of in ((a, bytes_a), (b, bytes_b)):
+            n, flat = _flat(ids)
+            size = np.fromiter(map(len, of), np.int64, len(of))[flat]
+            want = np.fromiter((len(t) if t.isascii() else len(t.encode()) for t in texts), np.int64, len(texts))
+            if not np.array_equal(_spans(np.concatenate([[0], np.cumsum(n)]), size), want) or b"".join(map(of.__getitem__, flat.tolist())) != "".join(texts).encode():
+                self.good &= _keeps(ids, of, texts)  # some are changed: look at each
+        if not self.good.all():
+            a, b = ([x if ok else [] for x, ok in zip(ids, self.good.tolist(), strict=True)] for ids in (a, b))
+        (self.n_a, flat_a), (self.n_b, flat_b) = _flat(a), _flat(b)
+        del a, b
         # All pieces lie one behind the other on one axis of bytes, where both sides end together.
-        a_end, b_end = (np.cumsum(np.fromiter((len(of[i]) for i in flat.tolist()), np.int64, len(flat))) for flat, of in ((flat_a, bytes_a), (flat_b, bytes_b)))
+        a_end, b_end = (np.cumsum(np.fromiter(map(len, of), np.int64, len(of))[flat]) for flat, of in ((flat_a, bytes_a), (flat_b, bytes_b)))
         of_a = np.repeat(np.arange(len(texts)), self.n_a)
         top = groups(a_end, b_end)
         terminal = np.flatnonzero(top[: len(flat_a)] == np.arange(len(flat_a)))
@@ -124,12 +150,6 @@ class Aligned:
         self.said = [";".join(parts[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _spans(ends: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Sums of `x` between consecutive `ends`."""
-    total = np.concatenate([[0], np.cumsum(x)])
-    return total[ends[1:]] - total[ends[:-1]]
-
-
 def _taken(ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the spans `which` one behind the other, and the number of each span's entry in `which`."""
     size = (ends[1:] - ends[:-1])[which]
