@@ -101,13 +101,21 @@ def repeated(docs: DataFrame, total_share: float = 1.5, max_epochs: float = 2.0,
     """
     seen, full = _settled(docs, total_share, max_epochs, weights, seed)
     # The borders' decisions are few, a bucket for each source; the documents themselves, whole rows whatever their columns' names, are
-    # joined to the plan in place.
-    cut = _cut(_planned(seen, full)).groupBy("source", "key").agg(F.max("extra").alias("_extra"))
+    # joined to the plan in place. Equal rows share a key: of `_n` such rows `_some` come once more.
+    half = (F.col("size") > 0) & (2 * F.col("extra") >= F.col("size"))
+    cut = written(_cut(_planned(seen, full)).groupBy("source", "key").agg(F.count("*").alias("_n"), F.count_if(half).alias("_some")), "mixing-borders")
     text = docs.select("doc_id", "source", order_key(seed).alias("key"), word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
     joined = _planned(text.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)), full, "row").alias("j").join(cut.alias("c"), F.col("j.source").eqNullSafe(F.col("c.source")) & (F.col("j.key") == F.col("c.key")), "left")
-    extra = F.when(F.col("j.bucket") == F.col("j.border"), F.coalesce("c._extra", F.lit(0))).otherwise(_whole("j."))
-    copies = F.col("j.times") + F.when((F.col("j.size") > 0) & (2 * extra >= F.col("j.size")), 1).otherwise(0)
-    return joined.select(F.explode(F.array_repeat("j.row", copies.cast("int"))).alias("row")).select("row.*")
+    inside = (F.col("j.size") > 0) & (2 * _whole("j.") >= F.col("j.size"))
+    once_more = F.when(F.col("j.bucket") == F.col("j.border"), F.coalesce(F.col("c._some") > 0, F.lit(False))).otherwise(inside)
+    split = F.coalesce((F.col("j.bucket") == F.col("j.border")) & (F.col("c._some") > 0) & (F.col("c._some") < F.col("c._n")), F.lit(False))
+    rows = joined.select("j.row", "j.source", "j.key", "j.times", "c._some", once_more.alias("_more"), split.alias("_split"))
+    taken = rows.where("NOT _split").select("row", (F.col("times") + F.col("_more").cast("int")).alias("copies"))
+    if not cut.where("_some > 0 AND _some < _n").isEmpty():
+        # A border within equal rows, of one key a source at most: the rows are told apart by a number.
+        number = F.row_number().over(Window.partitionBy("source", "key").orderBy(F.lit(0)))
+        taken = taken.unionByName(rows.where("_split").withColumn("_i", number).select("row", (F.col("times") + (F.col("_i") <= F.col("_some")).cast("int")).alias("copies")))
+    return taken.select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,6 +185,23 @@ def test_mix_repeats_rows(docs):
     assert got.columns == docs.columns and got.groupBy("doc_id", "text").count().where("count > 4").count() == 0
 
 
+@pytest.mark.parametrize("share", [0.5, 0.8, 1.5])
+def test_repeated_rows_give_the_words_that_the_mix_takes(spark, rows, share):
+    """Equal rows, of which a source's border takes some: by source the words differ by half a document at most."""
+    equal = [(7, "one two three four five six seven eight", "en", "s", None)] * 6 + [(8, " ".join(["w"] * 40), "en", "t", None)] * 9 + [(9, "x y", "en", "t", None)]
+    for some in (equal[:6], equal, rows + equal):
+        df = spark.createDataFrame(some, DOCS).repartition(3)
+        taken, sizes = collections.Counter(), collections.Counter()
+        for r in mixing.mix(df, total_share=share).collect():
+            taken[r["source"]] += r["taken"]
+            sizes[r["source"]] = max(sizes[r["source"]], r["size"])
+        given = collections.Counter()
+        for r in mixing.repeated(df, total_share=share).collect():
+            given[r["source"]] += len(WORD.findall(r["text"] or ""))
+        assert all(2 * abs(given[s] - taken[s]) <= sizes[s] for s in taken)
+
+
+
 # 5
 
 
