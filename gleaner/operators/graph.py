@@ -1,4 +1,4 @@
-"""Connected components within groups, by rounds of least labels with pointer jumps; each round's result is checkpointed."""
+"""Connected components within groups by alternating stars, and tables stored in the folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -23,12 +23,6 @@ def _top(spark: SparkSession) -> str:
     return top
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the session's checkpoint folder."""
-    _top(df.sparkSession)
-    return df.checkpoint()
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one, removed when the driver's Python ends."""
     path = f"{_top(spark).rstrip('/')}/gleaner/{name}-{uuid.uuid4().hex}"
@@ -51,18 +45,32 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, group: Sequence[str] = (), rounds: int = 100) -> DataFrame:
-    """group, node, component (the least node) of every node of `edges` (group, a, b)."""
-    both = checkpointed(edges.select(*group, "a", "b").union(edges.select(*group, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = both.groupBy(*group, F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component"))
-    label = checkpointed(label)
+def _least(edges: DataFrame, group: list[str]) -> DataFrame:
+    """u, v, m of directed edges: m is the least of u and all its neighbours. Minima are taken before rows are moved; a hub's edges are
+    joined with its one minimum, a join that Spark can split."""
+    least = edges.groupBy(*group, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return edges.join(least, [*group, "u"])
+
+
+def components(edges: DataFrame, group: Sequence[str] = (), rounds: int = 60) -> DataFrame:
+    """group, node, component (the least node) of every node of `edges` (group, a, b). Loops and repeats do no harm.
+
+    Large and small stars take turns: each node's greater neighbours, then its lesser ones, are linked to the least it knows, until the
+    edges are stars around the components' least nodes. Every round is stored.
+    """
+    group = list(group)
+    seen = stored(edges.select(*group, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    loops = seen.where("u = v").select(*group, F.col("u").alias("node"), F.col("u").alias("component"))
+    now, mark = seen.where("u <> v"), None
     for _ in range(rounds):
-        near = both.join(label.select(*group, F.col("node").alias("b"), F.col("component").alias("c")), [*group, "b"]).groupBy(*group, F.col("a").alias("node")).agg(F.min("c").alias("c"))
-        one = label.join(near, [*group, "node"]).select(*group, "node", F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("_moved"))
-        jump = one.select(*group, F.col("node").alias("component"), F.col("component").alias("c"))
-        after = checkpointed(one.join(jump, [*group, "component"], "left").select(*group, "node", F.least("component", F.coalesce("c", "component")).alias("component"), "_moved"))
-        moved = after.where("_moved").limit(1).count()
-        label = after.drop("_moved")
-        if not moved:
-            return label
+        both = now.unionByName(now.select(*group, F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _least(both, group).where("v > u").select(*group, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = _least(large, group)
+        small = small.select(*group, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select(*group, "u", F.col("m").alias("v"))).where("u <> v").distinct()
+        now = stored(small)
+        state = tuple(now.agg(F.count("*"), F.sum(F.hash(*group, "u", "v").cast("decimal(38,0)"))).first())
+        if state == mark:
+            stars = now.select(*group, F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(*group, F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            return stars.unionByName(loops.join(stars, [*group, "node"], "left_anti"))
+        mark = state
     raise RuntimeError(f"no components after {rounds} rounds")

@@ -1,217 +1,65 @@
 """Themes: exact average-linkage clusters of unit vectors, their distances, sizes, representatives and statistics.
 
-Pairs are compared in blocks: a group's vectors are dealt into blocks, each pair of blocks is one small task with a matrix
-product, and only near pairs or bin counts leave it. Average linkage cut at t equals itself within each connected component of
-the pairs nearer than t, so components are clustered apart: small ones in a task each, others by rounds that merge all clusters
-that are each other's nearest. Average linkage is reducible, so that gives the same clusters; the mean distance of two clusters
-of unit vectors is 1 less the product of their means, so a cluster is its mean and its size.
+Pairs go through `similarity`, clusters through the merge trees of `linkage`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from . import GROUP
-from .graph import components, stored
+from . import GROUP, linkage, similarity
 from .phrases import recent
 
 EDGES = (0.0, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0, 2.0)
 GRID = tuple(round(0.20 + 0.05 * i, 2) for i in range(10))
-BLOCK = 1024
 
 
-def _types(df: DataFrame, names: Sequence[str]) -> str:
-    return "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.schema if f.name in names)
-
-
-def _block_pairs(units: DataFrame, id_col: str, vec_col: str, group: Sequence[str], work, out: str, names: Sequence[str], normed: bool = False) -> DataFrame:
-    """`work(ids_a, a, ids_b, b, same)` on each pair of blocks of a group; each pair of rows is seen once. Vectors are made unit ones unless `normed`."""
-    sizes = units.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")) if group else units.agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
-    rows = units.select(*group, F.col(id_col).alias("_id"), (F.col(vec_col) if normed else stats.unit(F.col(vec_col))).alias("_v"))
-    rows = (rows.join(sizes, list(group)) if group else rows.withColumn("_blocks", F.lit(sizes.first()[0] or 1))).withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))
-    left = rows.select(*group, "_id", "_v", F.col("_b").alias("_i"), F.explode(F.sequence("_b", F.col("_blocks") - 1)).alias("_j"))
-    right = rows.select(*[F.col(g).alias(g) for g in group], F.col("_id").alias("_id"), F.col("_v").alias("_v"), F.col("_b").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_i"))
-    keys = [*group, "_i", "_j"]
+def near_pairs(units: DataFrame, below: float, id_col: str = "unit_id", vec_col: str = "vector", group: Sequence[str] = GROUP) -> DataFrame:
+    """left_id < right_id and their cosine distance, for pairs nearer than `below`."""
+    return similarity.near_pairs(similarity.cells(units, id_col, vec_col, group), below)
 
-    def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=names)
-        got = work(a["_id"].to_numpy(), np.stack(a["_v"].to_numpy()), b["_id"].to_numpy(), np.stack(b["_v"].to_numpy()), key[-1] == key[-2])
-        for i, g in enumerate(group):
-            got[g] = key[i]
-        return got[list(names)]
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, out)
+def pair_report(units: DataFrame, below: float, id_col: str = "unit_id", vec_col: str = "vector", group: Sequence[str] = GROUP) -> DataFrame:
+    """How much of the work of `near_pairs` the bounds of cells save: blocks and pairs compared and skipped."""
+    return similarity.report(similarity.cells(units, id_col, vec_col, group), below)
 
 
-def near_pairs(units: DataFrame, below: float, id_col: str = "unit_id", vec_col: str = "vector", group: Sequence[str] = GROUP) -> DataFrame:
-    """left_id < right_id and their cosine distance, for pairs nearer than `below`."""
-    kind = dict(units.dtypes)[id_col]
+def distance_histogram(units: DataFrame, id_col: str = "unit_id", vec_col: str = "vector", group: Sequence[str] = GROUP) -> DataFrame:
+    """Counts of pairs by distance; bins are closed below, the last on both sides. Distances just under 0 count as 0. All bins are there for a group with vectors."""
+    found = similarity.cells(units, id_col, vec_col, group)
+    got = similarity.histogram(found, EDGES)
+    bins = found.blocks.select(*group).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(len(EDGES) - 2))))
+    low = F.element_at(F.array(*[F.lit(e) for e in EDGES]), F.col("bin") + 1)
+    high = F.element_at(F.array(*[F.lit(e) for e in EDGES]), F.col("bin") + 2)
+    return bins.join(got, [*group, "bin"], "left").select(*group, low.alias("low"), high.alias("high"), F.coalesce("count", F.lit(0)).alias("count"))
 
-    def work(ids_a, a, ids_b, b, same):
-        d = np.maximum(0.0, 1.0 - a @ b.T)
-        i, j = np.nonzero(d < below)
-        x, y = ids_a[i], ids_b[j]
-        keep = x < y if same else x != y
-        x, y, d = x[keep], y[keep], d[i, j][keep]
-        swap = x > y
-        return pd.DataFrame({"left_id": np.where(swap, y, x), "right_id": np.where(swap, x, y), "distance": d})
 
-    return _block_pairs(units, id_col, vec_col, group, work, _types(units, group) + f"left_id {kind}, right_id {kind}, distance double", [*group, "left_id", "right_id", "distance"])
+def merge_tree(units: DataFrame, below: float, id_col: str = "unit_id", vec_col: str = "vector", group: Sequence[str] = GROUP, max_component: int = 5000) -> DataFrame:
+    """group, child, parent, height: the merges of average linkage nearer than `below`, stored once, for cuts at any threshold up to it."""
+    return linkage.merge_tree(units, below, id_col, vec_col, group, max_component)
 
 
-def distance_histogram(units: DataFrame, id_col: str = "unit_id", vec_col: str = "vector", group: Sequence[str] = GROUP) -> DataFrame:
-    """Counts of pairs by distance; bins are closed below, the last on both sides. Distances just under 0 count as 0."""
-    top = np.array(EDGES[:-1])
+def cluster_units(units: DataFrame, below: float, id_col: str = "unit_id", vec_col: str = "vector", group: Sequence[str] = GROUP, max_component: int = 5000, tree: DataFrame | None = None) -> DataFrame:
+    """`units` with column cluster: the least id of its cluster. tree: a stored merge tree of at least this threshold."""
+    tree = merge_tree(units, below, id_col, vec_col, group, max_component) if tree is None else tree
+    found = linkage.cut(tree, [below], group).select(*group, F.col("node").alias(id_col), F.col("cluster").alias("_cluster"))
+    return units.join(found, [*group, id_col], "left").withColumn("cluster", F.coalesce("_cluster", id_col)).drop("_cluster")
 
-    def work(ids_a, a, ids_b, b, same):
-        d = np.maximum(0.0, 1.0 - a @ b.T)
-        d = d[ids_a[:, None] < ids_b[None, :]] if same else d[ids_a[:, None] != ids_b[None, :]]
-        d = d[d <= EDGES[-1]]
-        n = np.bincount(np.searchsorted(top, d, side="right") - 1, minlength=len(top))
-        return pd.DataFrame({"bin": np.arange(len(top)), "count": n})
 
-    got = _block_pairs(units, id_col, vec_col, group, work, _types(units, group) + "bin int, count long", [*group, "bin", "count"])
-    low = F.element_at(F.array(*[F.lit(e) for e in EDGES]), F.col("bin") + 1)
-    high = F.element_at(F.array(*[F.lit(e) for e in EDGES]), F.col("bin") + 2)
-    return got.groupBy(*group, "bin").agg(F.sum("count").alias("count")).select(*group, low.alias("low"), high.alias("high"), "count")
-
-
-def average_linkage(v: np.ndarray, below: float) -> np.ndarray:
-    """Labels of average-linkage cosine clusters; clusters at a distance of `below` or more stay apart. O(m^2) memory."""
-    m = len(v)
-    d = np.maximum(0.0, 1.0 - v @ v.T)
-    np.fill_diagonal(d, np.inf)
-    size, label, alive = np.ones(m), np.arange(m), np.ones(m, bool)
-    while alive.sum() > 1:
-        at = int(np.argmin(d))
-        i, j = divmod(at, m)
-        if not d[i, j] < below:
-            break
-        i, j = min(i, j), max(i, j)
-        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = row, row
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        alive[j] = False
-        label[label == j] = i
-    return label
-
-
-def near_links(units: DataFrame, below: float, id_col: str = "unit_id", vec_col: str = "vector", group: Sequence[str] = GROUP) -> DataFrame:
-    """Pairs a, b with the components of `near_pairs`: of each pair of blocks a forest, so no more rows than it has units."""
-    kind = dict(units.dtypes)[id_col]
-
-    def work(ids_a, a, ids_b, b, same):
-        near = np.maximum(0.0, 1.0 - a @ b.T) < below
-        if same:
-            near &= ids_a[:, None] != ids_b[None, :]
-        n = len(ids_a)
-        label, ids = np.arange(n + len(ids_b)), np.concatenate([ids_a, ids_b])
-        tops = [int(np.flatnonzero(ids_a == x)[0]) if same else n + j for j, x in enumerate(ids_b)]
-        label[n:] = tops
-        i, j = np.nonzero(near)
-        j = np.asarray(tops)[j]
-        while len(i):
-            low = label.copy()
-            np.minimum.at(low, label[i], label[j])
-            np.minimum.at(low, label[j], label[i])
-            low = low[low]
-            while (low != low[low]).any():
-                low = low[low]
-            label = low[label]
-            apart = label[i] != label[j]
-            i, j = i[apart], j[apart]
-        linked = np.flatnonzero(label != np.concatenate([np.arange(n), tops]))
-        return pd.DataFrame({"a": ids[linked], "b": ids[label[linked]]})
-
-    return _block_pairs(units, id_col, vec_col, group, work, _types(units, group) + f"a {kind}, b {kind}", [*group, "a", "b"])
-
-
-def _nearest(clusters: DataFrame, below: float, group: Sequence[str]) -> DataFrame:
-    """Of each cluster (_id, _mean) the nearest other one of its group, if nearer than `below`; of several the least."""
-    kind = dict(clusters.dtypes)["_id"]
-
-    def work(ids_a, a, ids_b, b, same):
-        x, y = np.argsort(ids_a), np.argsort(ids_b)
-        ids_a, ids_b, d = ids_a[x], ids_b[y], np.maximum(0.0, 1.0 - a[x] @ b[y].T)
-        if same:
-            d = np.triu(d, 1)
-            d += d.T
-            np.fill_diagonal(d, np.inf)
-        j, i = d.argmin(1), d.argmin(0)
-        got = [(ids_a, ids_b[j], d[np.arange(len(j)), j])] + ([] if same else [(ids_b, ids_a[i], d[i, np.arange(len(i))])])
-        one, other, far = (np.concatenate(c) for c in zip(*got, strict=True))
-        keep = far < below
-        return pd.DataFrame({"one": one[keep], "other": other[keep], "distance": far[keep]})
-
-    found = _block_pairs(clusters, "_id", "_mean", group, work, _types(clusters, group) + f"one {kind}, other {kind}, distance double", [*group, "one", "other", "distance"], normed=True)
-    return found.groupBy(*group, "one").agg(F.min_by("other", F.struct("distance", "other")).alias("other"))
-
-
-def _in_rounds(rows: DataFrame, below: float, id_col: str, group: Sequence[str]) -> DataFrame:
-    """group, id, cluster of `rows` (group, id, _v: unit vectors), however many a group has; each round's result is stored."""
-    group, width = list(group), F.col("_n") + F.col("_m")
-    # Equal vectors are one cluster from the start.
-    same = stored(rows.groupBy(*group, F.col("_v").alias("_mean")).agg(F.min(id_col).alias("_id"), F.count("*").cast("double").alias("_n")))
-    member = rows.join(same.select(*group, F.col("_mean").alias("_v"), F.col("_id").alias("cluster")), [*group, "_v"]).select(*group, id_col, "cluster")
-    clusters, member = same, stored(member)
-    while True:
-        near = stored(_nearest(clusters, below, group))
-        if near.isEmpty():
-            return member
-        back = near.select(*group, F.col("other").alias("one"), F.col("one").alias("other"))
-        pairs = stored(near.join(back, [*group, "one", "other"]).where(F.col("one") < F.col("other")))
-        member = stored(member.join(pairs.select(*group, F.col("other").alias("cluster"), "one"), [*group, "cluster"], "left").select(*group, id_col, F.coalesce("one", "cluster").alias("cluster")))
-        # A cluster without a near one stays as it is: merging others brings none nearer.
-        left = clusters.join(near.select(*group, F.col("one").alias("_id")), [*group, "_id"])
-        into = pairs.join(clusters.withColumnRenamed("_id", "one"), [*group, "one"]).join(clusters.select(*group, F.col("_id").alias("other"), F.col("_mean").alias("_w"), F.col("_n").alias("_m")), [*group, "other"])
-        into = into.withColumn("_mean", F.zip_with("_mean", "_w", lambda x, y: (F.col("_n") * x + F.col("_m") * y) / width)).select(*group, F.col("one").alias("_id"), "_mean", width.alias("_n"))
-        gone = pairs.select(*group, F.explode(F.array("one", "other")).alias("_id"))
-        clusters = stored(left.join(gone, [*group, "_id"], "left_anti").select(*group, "_id", "_mean", "_n").unionByName(into))
-
-
-def cluster_units(units: DataFrame, below: float, id_col: str = "unit_id", vec_col: str = "vector", group: Sequence[str] = GROUP, max_component: int = 5000) -> DataFrame:
-    """`units` with column cluster: the least id of its cluster. A component of over `max_component` units is merged in rounds."""
-    if not 0 < below <= 2:
-        raise ValueError("the distance must satisfy 0 < below <= 2")
-    comp = components(near_links(units, below, id_col, vec_col, group), group)
-    comp = stored(comp.join(comp.groupBy(*group, "component").agg((F.count("*") > max_component).alias("_large")), [*group, "component"]))
-    linked = units.join(comp.withColumnRenamed("node", id_col), [*group, id_col], "left")
-    alone = linked.where("component IS NULL").select(*group, id_col, F.col(id_col).alias("cluster"))
-    kind = dict(units.dtypes)[id_col]
-    names = [*group, id_col, "cluster"]
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col, ignore_index=True)
-        label = average_linkage(np.stack(pdf["_v"].to_numpy()), below)
-        return pdf.assign(cluster=pdf[id_col].to_numpy()[label])[names]
-
-    grouped = linked.where("component IS NOT NULL").select(*group, "component", "_large", id_col, stats.unit(F.col(vec_col)).alias("_v"))
-    done = grouped.where("NOT _large").groupBy(*group, "component").applyInPandas(cluster, _types(units, group) + f"{id_col} {kind}, cluster {kind}")
-    if not comp.where("_large").isEmpty():
-        done = done.unionByName(_in_rounds(grouped.where("_large").drop("_large"), below, id_col, [*group, "component"]).select(*names))
-    return units.join(alone.unionByName(done), [*group, id_col])
-
-
-def cluster_sizes(units: DataFrame, thresholds: Sequence[float] = (0.30, 0.40, 0.50, 0.60), **names) -> DataFrame:
-    """Clusters and their sizes at several thresholds."""
-    group = names.get("group", GROUP)
-    parts = []
-    for t in thresholds:
-        sizes = cluster_units(units, t, **names).groupBy(*group, "cluster").agg(F.count("*").alias("size"))
-        parts.append(sizes.groupBy(*group).agg(F.count("*").alias("n_clusters"), F.sort_array(F.collect_list("size"), asc=False).alias("sizes")).withColumn("threshold", F.lit(t)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def cluster_sizes(units: DataFrame, thresholds: Sequence[float] = (0.30, 0.40, 0.50, 0.60), id_col: str = "unit_id", vec_col: str = "vector", group: Sequence[str] = GROUP, max_component: int = 5000) -> DataFrame:
+    """group, threshold, size, count: how many clusters of each size each threshold gives; one merge tree for all of them."""
+    tree = merge_tree(units, max(thresholds), id_col, vec_col, group, max_component)
+    sizes = linkage.cut(tree, thresholds, group).groupBy(*group, "threshold", "cluster").agg((F.count("*") + 1).alias("size"))
+    large = sizes.groupBy(*group, "threshold", "size").agg(F.count("*").alias("count"))
+    # What no merge names is alone.
+    n = units.where(F.col(id_col).isNotNull()).groupBy(*group).agg(F.countDistinct(id_col).alias("_n")).withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    inside = large.groupBy(*group, "threshold").agg(F.sum(F.col("size") * F.col("count")).alias("_in"))
+    alone = n.join(inside, [*group, "threshold"], "left").select(*group, "threshold", F.lit(1).cast("long").alias("size"), (F.col("_n") - F.coalesce("_in", F.lit(0))).alias("count")).where("count > 0")
+    return large.unionByName(alone)
 
 
 def theme_policy(clustered: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:

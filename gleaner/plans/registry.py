@@ -504,7 +504,14 @@ def cluster_units(spark, sf):
 @query()
 def cluster_sizes(spark, sf):
     got = themes.cluster_sizes(demo.vectors(spark, sf).drop("cluster"), (0.50, 0.60))
-    return got.select("threshold", "n_clusters", F.array_join(F.transform("sizes", lambda x: x.cast("string")), ",").alias("sizes"))
+    return got.select("threshold", "size", "count")
+
+
+@query(oracle.q(oracle.VECTORS, "SELECT CAST(count(*) AS BIGINT) AS pairs FROM pairs"))
+def pair_report(spark, sf):
+    """Pairs that are compared and pairs that bounds skip are all pairs."""
+    got = themes.pair_report(demo.vectors(spark, sf), 0.60)
+    return got.select((F.col("pairs_compared") + F.col("pairs_skipped")).alias("pairs"))
 
 
 _NAMED = """, sized AS (SELECT cluster, count(*) AS k, min(review_id) AS f FROM vectors GROUP BY cluster),

@@ -110,28 +110,6 @@ def test_labels_have_to_match(spark):
         evaluate.attach_labels(gold, labels).collect()
 
 
-def test_clusters_equal_one_linkage(spark):
-    rng = np.random.default_rng(3)
-    v = rng.normal(size=(40, 4)) + np.repeat(rng.normal(size=(5, 4)) * 3, 8, axis=0)
-    df = spark.createDataFrame([(1, "us", i, [float(x) for x in r]) for i, r in enumerate(v)], "app_id int, country string, unit_id long, vector array<double>")
-    got = {r["unit_id"]: r["cluster"] for r in themes.cluster_units(df, 0.3).collect()}
-    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    label = themes.average_linkage(unit, 0.3)
-    assert len(set(got.values())) == len(set(label.tolist()))
-    assert all((got[i] == got[j]) == (label[i] == label[j]) for i in range(40) for j in range(40))
-
-
-def test_large_components_are_clustered_in_rounds(spark, monkeypatch, below=0.7):
-    rng = np.random.default_rng(5)
-    v = rng.normal(size=(90, 4)) + np.repeat(rng.normal(size=(9, 4)) * 2, 10, axis=0)
-    v[70:80] = v[7]
-    df = spark.createDataFrame([(1, "us", i, [float(x) for x in r]) for i, r in enumerate(v)], "app_id int, country string, unit_id long, vector array<double>")
-    monkeypatch.setattr(themes, "BLOCK", 32)
-    got = {r["unit_id"]: r["cluster"] for r in themes.cluster_units(df, below, max_component=5).collect()}
-    label = themes.average_linkage(v / np.linalg.norm(v, axis=1, keepdims=True), below)
-    assert max(np.bincount(label)) > 10 and [got[i] for i in range(90)] == label.tolist()
-
-
 def test_threshold_table(spark):
     pairs = spark.createDataFrame([(0.2, True), (0.3, True), (0.35, True), (0.38, True), (0.39, False), (0.41, False)], "distance double, same boolean")
     assert themes.threshold_table(pairs).first()["selected"] == 0.40
