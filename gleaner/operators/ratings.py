@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from . import GROUP
+from .sketches import bottom_k
 
 LEAST_IN_PERIOD = 15
 
@@ -97,24 +98,41 @@ def population_compare(sample: DataFrame, population: DataFrame, group: Sequence
     return both.withColumn("skipped", skipped).withColumn("covers", F.when(F.col("skipped").isNull(), F.col("true_share").between(F.col("ci95.low"), F.col("ci95.high")))).drop("_walk", "_walked", "_share")
 
 
-def ci_coverage(reviews: DataFrame, replicates: int, k: int, seed: int, group: Sequence[str] = GROUP, id_col: str = "source_review_id") -> DataFrame:
-    """How often the share intervals of seeded subsamples of the table cover its own shares, by star.
+def replicate_counts(reviews: DataFrame, replicates: int, k: int, seed: int, group: Sequence[str] = GROUP, id_col: str = "source_review_id") -> DataFrame:
+    """group, replicate, s1 to s5, reachable (the group's rows): stars of seeded subsamples of k rows, without replacement."""
+    rows = reviews.where(F.col(id_col).isNotNull() & F.col("rating").between(1, 5))
+    drawn = bottom_k(rows, k, replicates, seed, "rating", id_col, group)
+    of = lambda s: F.size(F.filter("values", lambda x: x == s)).cast("long").alias(f"s{s}")
+    counts = drawn.select(*group, "replicate", *[of(s) for s in range(1, 6)])
+    return counts.join(rows.groupBy(*group).agg(F.count("*").alias("reachable")), list(group))
+
+
+def _coverage(each: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """evaluable, covered and rate of `each` (low, high, true); an interval without ends is not evaluable."""
+    ok = F.col("true").between(F.col("low"), F.col("high"))
+    return each.withColumn("_ok", ok).groupBy(*keys).agg(F.count("_ok").alias("evaluable"), F.count_if("_ok").alias("covered"), F.avg(F.col("_ok").cast("int")).alias("rate"))
 
-    Before the window ranks a replicate's rows, a threshold on the same hash, well above k of n, drops the others.
-    """
-    from pyspark.sql import Window
 
-    n = reviews.groupBy(*group).agg(F.count("*").alias("population"), *[F.avg((F.col("rating") == s).cast("int")).alias(f"_t{s}") for s in range(1, 6)])
-    rows = reviews.select(*group, "rating", id_col).join(n, list(group)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "rep", id_col)).where((F.col("h") / F.lit(2.0**63) + 1) / 2 <= (4.0 * k + 40) / F.col("population"))
-    drawn = rows.withColumn("i", F.row_number().over(Window.partitionBy(*group, "rep").orderBy("h", id_col))).where(F.col("i") <= k)
-    stars = drawn.groupBy(*group, "rep").agg(F.count("*").alias("n"), F.max("population").alias("population"), *[F.max(f"_t{s}").alias(f"_t{s}") for s in range(1, 6)], *[F.count_if(F.col("rating") == s).alias(f"_k{s}") for s in range(1, 6)])
-    each = stars.select(*group, "n", "population", F.explode(F.array(*[F.struct(F.lit(s).alias("rating"), F.col(f"_k{s}").alias("k"), F.col(f"_t{s}").alias("true")) for s in range(1, 6)])).alias("x")).select(*group, "n", "population", "x.*")
-    ci = stats.proportion(F.col("k"), F.col("n"), F.col("population"))
-    each = each.withColumn("ci", ci).withColumn("ok", F.col("true").between(F.col("ci.low"), F.col("ci.high")))
-    return each.groupBy(*group, "rating").agg(F.count("ok").alias("evaluable"), F.count_if("ok").alias("covered"), F.avg(F.col("ok").cast("int")).alias("rate"))
+def ci_coverage(reviews: DataFrame, replicates: int = 1000, k: int = 100, seed: int = 42, group: Sequence[str] = GROUP, id_col: str = "source_review_id", counts: DataFrame | None = None) -> DataFrame:
+    """How often the share intervals of seeded subsamples of the table cover its own shares, by star. counts: of `replicate_counts`."""
+    counts = replicate_counts(reviews, replicates, k, seed, group, id_col) if counts is None else counts
+    rows = reviews.where(F.col(id_col).isNotNull() & F.col("rating").between(1, 5))
+    true = rows.groupBy(*group).agg(F.array(*[F.avg((F.col("rating") == s).cast("int")) for s in range(1, 6)]).alias("_true"))
+    n = F.col("s1") + F.col("s2") + F.col("s3") + F.col("s4") + F.col("s5")
+    stars = F.array(*[F.struct(F.lit(s).alias("rating"), F.col(f"s{s}").alias("k")) for s in range(1, 6)])
+    each = counts.join(true, list(group)).select(*group, n.alias("n"), "reachable", "_true", F.explode(stars).alias("x")).select(*group, "n", "reachable", "x.*", F.get("_true", F.col("x.rating") - 1).alias("true"))
+    ci = stats.proportion(F.col("k"), F.col("n"), F.col("reachable"))
+    return _coverage(each.withColumn("ci", ci).select(*group, "rating", "true", "ci.low", "ci.high"), [*group, "rating"])
 
 
+def mean_coverage(reviews: DataFrame, replicates: int = 1000, k: int = 100, seed: int = 42, group: Sequence[str] = GROUP, id_col: str = "source_review_id", counts: DataFrame | None = None, resamples: int = 9999) -> DataFrame:
+    """How often the BCa interval of a subsample's mean rating covers the table's mean. counts: of `replicate_counts`."""
+    counts = replicate_counts(reviews, replicates, k, seed, group, id_col) if counts is None else counts
+    rows = reviews.where(F.col(id_col).isNotNull() & F.col("rating").between(1, 5))
+    true = rows.groupBy(*group).agg(F.avg("rating").alias("true"))
+    # A replicate's interval is some milliseconds of work on five numbers: deal them over all cores, whatever their bytes.
+    dealt = counts.repartition(counts.sparkSession.sparkContext.defaultParallelism, *group, "replicate")
+    return _coverage(mean_intervals(dealt, seed, 0, [*group, "replicate"], "replicate", resamples).join(true, list(group)), group)
 
 
 def bca(cells: np.ndarray, statistic, seed: Sequence[int], resamples: int = 9999) -> tuple[float, float] | None:
@@ -161,6 +179,11 @@ def mean_bca_ci(reviews: DataFrame, seed: int = 42, stage: int = 0, group: Seque
     Each group has draws of its own: the seed is `seed`, the stage (and `stage_col`) and a checksum of the group.
     """
     counts = reviews.groupBy(*group).agg(F.max("reachable").cast("long").alias("reachable"), *[F.count_if(F.col("rating") == s).alias(f"s{s}") for s in range(1, 6)])
+    return mean_intervals(counts, seed, stage, group, stage_col)
+
+
+def mean_intervals(counts: DataFrame, seed: int = 42, stage: int = 0, group: Sequence[str] = GROUP, stage_col: str | None = None, resamples: int = 9999) -> DataFrame:
+    """n, mean, low, high and reason of each row of counts (group, s1 to s5, reachable)."""
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema if f.name in group) + ", n long, mean double, low double, high double, reason string"
     names = list(group)
 
@@ -173,7 +196,7 @@ def mean_bca_ci(reviews: DataFrame, seed: int = 42, stage: int = 0, group: Seque
                 n, population = int(cells.sum()), int(r["reachable"])
                 mean = float((cells * values).sum() / n) if n else None
                 reason = "no_reviews" if not n else "census" if n == population else "degenerate" if n < 2 or (cells > 0).sum() == 1 else None
-                ends = None if reason else bca(cells, lambda c: (c * values).sum(-1) / c.sum(-1), [seed, stage + (int(r[stage_col]) if stage_col else 0), zlib.crc32(repr([str(r[g]) for g in names if g != stage_col]).encode())])
+                ends = None if reason else bca(cells, lambda c: (c * values).sum(-1) / c.sum(-1), [seed, stage + (int(r[stage_col]) if stage_col else 0), zlib.crc32(repr([str(r[g]) for g in names if g != stage_col]).encode())], resamples)
                 if not reason and ends is None:
                     reason = "degenerate"
                 if ends and population > 1 and n / population > stats.FPC_ABOVE:

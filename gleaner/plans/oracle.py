@@ -123,3 +123,19 @@ def excerpt(c: str) -> str:
 
 def q(base: str, select: str) -> str:
     return f"WITH {base.strip()}\n{select}"
+
+
+def _hex(text: str, start: int, n: int) -> str:
+    return f"CAST('0x' || substr(md5({text}), {start}, {n}) AS BIGINT)"
+
+
+#: Every replicate ranks all rows by a window; see `sketches` for the ranks.
+COVERAGE = q(LIGHT + f""",
+known AS (SELECT app_id, rating, {_hex("'42:' || source_review_id", 1, 8)} % 2147483647 AS x, {_hex("'42:' || source_review_id", 9, 7)} * 8 + rating AS low FROM light),
+totals AS (SELECT app_id, count(*) AS population, {', '.join(f'avg(CASE WHEN rating = {i} THEN 1.0 ELSE 0.0 END) AS t{i}' for i in range(1, 6))} FROM known GROUP BY app_id),
+reps AS (SELECT r, 1 + {_hex("'42:a:' || r", 1, 8)} % 2147483646 AS a, {_hex("'42:b:' || r", 1, 8)} % 2147483647 AS b FROM range(1000) AS t(r)),
+drawn AS (SELECT app_id, r, rating FROM known CROSS JOIN reps QUALIFY row_number() OVER (PARTITION BY app_id, r ORDER BY ((a * x + b) % 2147483647) * 4294967296 + low) <= 100),
+counts AS (SELECT app_id, r, count(*) AS n, {', '.join(f'count(*) FILTER (rating = {i}) AS k{i}' for i in range(1, 6))} FROM drawn GROUP BY ALL),
+stars AS (SELECT app_id, r, n, population, s AS rating, [k1, k2, k3, k4, k5][s] AS k, [t1, t2, t3, t4, t5][s] AS true_ FROM counts JOIN totals USING (app_id), range(1, 6) AS u(s)),
+ends AS (SELECT *, {shrunk(low('k', 'n'), 'k', 'n', 'population', 'low')} AS lo, {shrunk(high('k', 'n'), 'k', 'n', 'population', 'high')} AS hi FROM stars)""",
+    "SELECT app_id, CAST(rating AS INTEGER) AS rating, count(lo) AS evaluable, count(*) FILTER (true_ BETWEEN lo AND hi) AS covered, round(avg(CASE WHEN lo IS NOT NULL THEN CASE WHEN true_ BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END END), 6) AS rate FROM ends GROUP BY ALL")
