@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import GROUP
+from .order import positions
 
 
 def priority(seed: int, id_col: str) -> Column:
@@ -21,8 +22,8 @@ def uniform_sample(df: DataFrame, k: int, seed: int, id_col: str = "source_revie
 
 
 def seeded_order(df: DataFrame, seed: int, id_col: str, group: Sequence[str] = ()) -> DataFrame:
-    """Column `position`: from 1, in the seeded order of each group."""
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy(priority(seed, id_col), id_col)))
+    """Column `position`: from 1, in the seeded order of each group, by a distributed sort; no group has to fit in a task."""
+    return positions(df, [priority(seed, id_col), F.col(id_col)], group)
 
 
 def replay_ranks(frame: DataFrame, samples: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
@@ -39,13 +40,14 @@ def backfilled_sample(df: DataFrame, k: int, seed: int, most_replaced: int = 20,
     """k valid rows of different ids, and what was passed over for them, with its reason.
 
     Rows are drawn in the seeded order of their rank; a row that is invalid or repeats an id drawn before is replaced by the next
-    draw, `most_replaced` times at most.
+    draw, `most_replaced` times at most. So only the first k + `most_replaced` draws of a group are looked at, which tasks pick before
+    rows are moved. A null `valid` is invalid; null ids repeat each other.
     """
     draw = Window.partitionBy(*group).orderBy(priority(seed, "rank"), "rank")
     again = Window.partitionBy(*group, id_col).orderBy("_draw")
-    drawn = df.withColumn("_draw", F.row_number().over(draw))
+    drawn = df.withColumn("_draw", F.row_number().over(draw)).where(F.col("_draw") <= k + most_replaced)
     first = F.row_number().over(again) == 1
-    reason = F.when(~F.col(valid), "invalid_row").when(~first, "duplicate_review")
+    reason = F.when(~F.coalesce(F.col(valid), F.lit(False)), "invalid_row").when(~first, "duplicate_review")
     seen = drawn.withColumn("reason", reason)
     upto = Window.partitionBy(*group).orderBy("_draw").rowsBetween(Window.unboundedPreceding, 0)
     seen = seen.withColumn("_good", F.sum(F.when(F.col("reason").isNull(), 1).otherwise(0)).over(upto)).withColumn("_bad", F.sum(F.when(F.col("reason").isNull(), 0).otherwise(1)).over(upto))

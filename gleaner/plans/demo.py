@@ -83,11 +83,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.lit(1).alias("app_id"), F.lit("us").alias("country"), F.col("vec_id").alias("unit_id"), F.floor(F.col("vec_id") / 2).cast("long").alias("review_id"), F.col("embedding").alias("vector"), F.col("label").alias("cluster"), (F.col("vec_id") % 5 + 1).cast("int").alias("rating"), when.alias("created_at"), F.concat(F.lit("sentence number "), F.col("vec_id").cast("string"), F.when(F.col("vec_id") % 3 == 0, " of a text that is long enough").otherwise("")).alias("sentence"))
 
 
-def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations as pages of a feed, JSON text: an app, a turn and a running block of 150 ids, so some 50 of the app's entries."""
+def feed_pages(spark: SparkSession, sf_dir: str, ids: int | None = 40) -> DataFrame:
+    """conversations as pages of a feed, JSON text: an app, a turn and a running block of 150 ids, so some 50 of the app's entries. ids: how many different ones, null for all."""
     at = F.col("conv_id")
     page = F.col("turn") * F.lit(1 << 40) + F.coalesce(F.floor(at / 150), F.lit(0))
     said = lambda v: F.struct(v.cast("string").alias("label"))
-    entry = F.struct(at.alias("at"), said(F.concat(F.lit("r"), (at % 40).cast("string"))).alias("id"), said(F.lit("t")).alias("title"), said(F.lit("b")).alias("content"), said(at % 5 + 1).alias("im:rating"))
+    entry = F.struct(at.alias("at"), said(F.concat(F.lit("r"), (at % ids if ids else at).cast("string"))).alias("id"), said(F.lit("t")).alias("title"), said(F.lit("b")).alias("content"), said(at % 5 + 1).alias("im:rating"))
     pages = table(spark, sf_dir, "conversations").groupBy((at % 3).alias("app_id"), page.alias("page"))
     return pages.agg(F.to_json(F.struct(F.struct(F.sort_array(F.collect_list(entry)).alias("entry")).alias("feed"))).alias("value")).withColumn("country", F.lit("us"))

@@ -641,6 +641,21 @@ def feed_frame(spark, sf):
     return source.feed_frame(source.feed_entries(demo.feed_pages(spark, sf))).select("app_id", "source_review_id", "rating", "rank")
 
 
+@query("""WITH e AS (SELECT conv_id % 3 AS app_id, CAST(turn AS BIGINT) * 1099511627776 + conv_id // 150 AS page, conv_id, 'r' || conv_id AS id, CAST(conv_id % 5 + 1 AS INTEGER) AS rating FROM conversations),
+once AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY app_id, id ORDER BY page, conv_id) = 1),
+ranked AS (SELECT app_id, id AS source_review_id, rating, row_number() OVER (PARTITION BY app_id ORDER BY page, conv_id) - 1 AS rank FROM once)
+SELECT * FROM ranked WHERE rank < 2000000000""")
+def feed_frame_whole(spark, sf):
+    """Every conversation an entry of its own, so that the frame grows with the table; no limit on a feed's length."""
+    return source.feed_frame(source.feed_entries(demo.feed_pages(spark, sf, None)), 2_000_000_000).select("app_id", "source_review_id", "rating", "rank")
+
+
+@query(oracle.q(oracle.LIGHT, f"SELECT source_review_id, row_number() OVER (ORDER BY {PRIO.format(seed=7, id='source_review_id')}, source_review_id) AS position FROM light"))
+def seeded_order_whole(spark, sf):
+    """All reviews in one order: ranges of it are sorted apart."""
+    return sampling.seeded_order(_light(spark, sf), 7, "source_review_id").select("source_review_id", "position")
+
+
 @query("""SELECT CAST(doc_id AS VARCHAR) AS source_review_id, CASE WHEN doc_id % 7 BETWEEN 1 AND 5 AND doc_id % 11 <> 0 THEN true ELSE false END AS valid, CAST(doc_id % 7 AS INTEGER) AS rating,
   CASE doc_id % 3 WHEN 0 THEN DATE '2024-01-01' + CAST(doc_id % 28 AS INTEGER) END AS day, doc_id % 2 = 0 AS is_edited, doc_id % 4 = 0 AS has_developer_response, md5(trim(coalesce(text, ''))) AS digest,
   array_to_string(list_filter([CASE WHEN trim(coalesce(text, '')) = '' THEN 'missing_or_blank_body' END, CASE WHEN doc_id % 3 <> 0 THEN 'missing_or_unparseable_date' END], lambda x: x IS NOT NULL), ',') AS flags,

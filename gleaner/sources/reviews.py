@@ -83,10 +83,12 @@ def feed_entries(pages: DataFrame) -> DataFrame:
 
 def feed_frame(entries: DataFrame, most: int = FRAME_MOST) -> DataFrame:
     """Entries in page order, the first of each id, ranked from 0; at most `most` an app and country."""
-    first = Window.partitionBy("app_id", "country", "source_review_id").orderBy("page", "pos")
+    rest = [c for c in entries.columns if c not in ("app_id", "country", "source_review_id", "page", "pos")]
+    # The first of an id is taken in each task before rows are moved, so an id may be as frequent as it likes.
+    once = entries.groupBy("app_id", "country", "source_review_id").agg(F.min(F.struct("page", "pos", *rest)).alias("_e"))
+    once = once.select("app_id", "country", F.col("_e.page").alias("page"), F.col("_e.pos").alias("pos"), "source_review_id", *[F.col(f"_e.{c}").alias(c) for c in rest])
     place = Window.partitionBy("app_id", "country").orderBy("page", "pos")
-    once = entries.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return once.withColumn("rank", (F.row_number().over(place) - 1).cast("long")).where(F.col("rank") < most)
+    return once.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= most).withColumn("rank", (F.col("_n") - 1).cast("long")).drop("_n")
 
 
 def read_population(spark: SparkSession, path: str) -> DataFrame:
