@@ -91,3 +91,10 @@ def feed_pages(spark: SparkSession, sf_dir: str, ids: int | None = 40) -> DataFr
     entry = F.struct(at.alias("at"), said(F.concat(F.lit("r"), (at % ids if ids else at).cast("string"))).alias("id"), said(F.lit("t")).alias("title"), said(F.lit("b")).alias("content"), said(at % 5 + 1).alias("im:rating"))
     pages = table(spark, sf_dir, "conversations").groupBy((at % 3).alias("app_id"), page.alias("page"))
     return pages.agg(F.to_json(F.struct(F.struct(F.sort_array(F.collect_list(entry)).alias("entry")).alias("feed"))).alias("value")).withColumn("country", F.lit("us"))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as units of themes, with the words of each: five apps by conversation, stars and dates from ids."""
+    c = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    when = F.expr(f"TIMESTAMP '{REFERENCE}' - make_interval(0, 0, 0, CAST(conv_id * 53 % 1200 AS INT))")
+    return c.select((F.col("conv_id") % 5).alias("app_id"), F.lit("us").alias("country"), F.concat_ws(":t", "conv_id", "turn").alias("unit_id"), F.col("conv_id").alias("review_id"), F.coalesce("text", F.lit("")).alias("sentence"), text.lexical(F.coalesce("text", F.lit(""))).alias("lexical_text"), (F.col("conv_id") % 5 + 1).cast("int").alias("rating"), when.alias("created_at"))

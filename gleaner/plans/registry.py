@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text
 from ..operators.graph import shared_folder, stored
-from ..operators import categories, evaluate, insights, phrases, ratings, sampling, sentiment, themes, units
+from ..operators import categories, embedding, evaluate, insights, phrases, ratings, sampling, sentiment, themes, units
 from ..sources import reviews as source
 from ..sources import sinks
 from . import demo, oracle
@@ -559,6 +559,29 @@ def pair_strata(spark, sf):
     return themes.pair_strata(themes.near_pairs(demo.vectors(spark, sf), 0.65)).select("stratum", "left_id", "right_id", F.round("distance", 5).alias("distance"), "short")
 
 
+@query()
+def embedded_themes(spark, sf):
+    """Units to TF-IDF, a fitted decomposition, vectors, clusters, themes and their statistics, end to end."""
+    u = stored(demo.turns(spark, sf))
+    v = stored(embedding.transform(u, embedding.fit(u, rank=32)))
+    t = stored(themes.theme_policy(themes.cluster_units(v, 0.40)))
+    n = t.groupBy("app_id", "country").agg(F.countDistinct("review_id").alias("n_analysable"))
+    got = themes.theme_stats(t, n, REFERENCE)
+    return got.select("app_id", "theme_id", "unit_count", "review_count", r6("share"), r6("mean_star_rating"), _day("newest"))
+
+
+@query()
+def encoded_units(spark, sf):
+    """Any encoder, loaded once a task: here one of letters' shares."""
+    def load():
+        import numpy as np
+
+        return lambda texts: np.array([[t.lower().count(c) / max(len(t), 1) for c in "etaoinshrd"] for t in texts])
+
+    got = embedding.embed(demo.turns(spark, sf).select("unit_id", "sentence"), load)
+    return got.select("unit_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
 # Insights and marts
 
 
