@@ -11,7 +11,7 @@ from ..functions import stats, text
 from ..operators.graph import shared_folder, stored
 from ..operators import categories, embedding, evaluate, insights, phrases, ratings, sampling, sentiment, themes, units
 from ..sources import reviews as source
-from ..sources import sinks
+from ..sources import sinks, snapshots
 from . import demo, oracle
 from .demo import REFERENCE
 
@@ -828,6 +828,21 @@ def store_rows(spark, sf):
     return source.read_store_rows(spark, path).select("source_review_id", "rank", F.md5("body").alias("digest"), "rating", "has_developer_response", "valid")
 
 
+@query("""SELECT conv_id % 7 AS app_id, 42::BIGINT AS seed, 'c' || conv_id || ':' || turn AS source_review_id, CAST(conv_id % 5 + 1 AS INTEGER) AS rating, md5(coalesce(text, '')) AS digest, DATE '2024-01-01' + CAST(conv_id % 300 AS INTEGER) AS day
+  FROM conversations WHERE conv_id % 7 IN (2, 3) AND conv_id % 2 = 0""")
+def read_snapshots(spark, sf):
+    """conversations as recorded collections of seven apps and two seeds, written to the shared folder; of two apps and one seed the files are read back."""
+    at = F.col("conv_id")
+    review = F.struct(F.concat(F.lit("c"), at, F.lit(":"), "turn").alias("source_review_id"), F.col("turn").alias("rank"), F.coalesce("text", F.lit("")).alias("body"), (at % 5 + 1).alias("rating"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (at % 300).cast("int")), "yyyy-MM-dd'T'00:00:00'Z'").alias("created_at"), F.lit("someone").alias("reviewer"))
+    keyed = demo.table(spark, sf, "conversations").select((at % 7).alias("app_id"), F.lit("us").alias("country"), (42 + at % 2).cast("long").alias("seed"), F.lit(100).cast("long").alias("requested"), F.floor(at / 200).alias("part"), review.alias("review"))
+    lists = keyed.groupBy(*snapshots.KEYS, "part").agg(F.collect_list("review").alias("reviews"))  # 200 ids a document
+    document = F.to_json(F.struct(F.struct("app_id", "country").alias("app"), F.struct("seed", "requested").alias("sampling"), "reviews"))
+    path = shared_folder(spark, "snapshots")
+    snapshots.record(lists.withColumn("document", document), path)
+    got = snapshots.read_snapshots(spark, path).where("app_id IN (2, 3) AND seed = 42")
+    return got.select("app_id", "seed", "source_review_id", "rating", F.md5("body").alias("digest"), F.to_date("created_at").alias("day"))
+
+
 @query(r'''SELECT CAST(page_id AS VARCHAR) AS source_review_id, page_id AS rank, md5(CASE WHEN regexp_matches(v, '^[=+\-@＝]') THEN chr(9) || v ELSE v END) AS digest FROM (SELECT page_id, list_element(['=', '+', '-', '@', '"', 'a,;', '＝'], CAST(page_id % 7 + 1 AS INTEGER)) || url AS v FROM pages)''')
 def reviews_csv(spark, sf):
     """Addresses of pages behind what a spreadsheet could take for formulas, written as CSV to the shared folder and read back."""

@@ -12,9 +12,6 @@ from ..functions import text
 REVIEW = """source_review_id string, rank bigint, country string, title string, body string, rating int, created_at timestamp, is_edited boolean,
   vote_count bigint, vote_sum bigint, has_developer_response boolean, developer_response_id string, developer_response_date timestamp,
   app_version string, provider string, source_flags array<string>"""
-SNAPSHOT = f"""app struct<app_id:bigint,name:string,country:string,average_user_rating:double,user_rating_count:bigint,current_version_release_date:timestamp>,
-  sampling struct<seed:bigint,requested:bigint,actual:bigint,reachable:bigint,ranks:array<bigint>,collected_at:timestamp>,
-  reviews array<struct<{", ".join(f.strip().replace(" ", ":", 1) for f in REVIEW.split(","))}>>"""
 STORE_ROW = "struct<userReviewId:string,title:string,body:string,rating:string,date:string,isEdited:string,voteCount:string,voteSum:string,developerResponse:string>"
 STORE = f"start bigint, country string, app_id bigint, userReviewList array<{STORE_ROW}>"
 _L = "struct<label:string>"
@@ -22,17 +19,6 @@ ENTRY = f"array<struct<id:{_L},title:{_L},content:{_L},`im:rating`:{_L},`im:vers
 FRAME_MOST = 500
 
 
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded collections: a row for each review with its app's and sample's fields."""
-    got = spark.read.schema(SNAPSHOT).option("multiLine", True).json(path)
-    return got.select("app.app_id", F.col("sampling.seed").alias("seed"), F.col("sampling.requested").alias("requested"), F.col("sampling.reachable").alias("reachable"), F.expr("inline(reviews)"))
-
-
-def snapshot_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """What there is: app, country, seed and numbers, from the same files with the reviews left unread."""
-    return spark.read.schema(SNAPSHOT).option("multiLine", True).json(path).select("app.app_id", "app.name", "app.country", "sampling.seed", "sampling.requested", "sampling.actual")
-
-
 def parse_datetime(value: Column, iso_only: bool = False) -> Column:
     """A timestamp, as UTC if it says nothing else; null for what is none. Years or months alone are none."""
     v = F.trim(value)
