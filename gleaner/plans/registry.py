@@ -11,7 +11,7 @@ from ..functions import stats, text
 from ..operators.graph import shared_folder, stored
 from ..operators import categories, embedding, evaluate, insights, phrases, ratings, sampling, sentiment, themes, units
 from ..sources import reviews as source
-from ..sources import sinks, snapshots
+from ..sources import records, sinks, snapshots
 from . import demo, oracle
 from .demo import REFERENCE
 
@@ -828,6 +828,36 @@ def store_rows(spark, sf):
     return source.read_store_rows(spark, path).select("source_review_id", "rank", F.md5("body").alias("digest"), "rating", "has_developer_response", "valid")
 
 
+_BROKEN = "CASE WHEN doc_id % 11 = 0 THEN '{\"source_review_id\": ' || doc_id WHEN doc_id % 13 = 0 THEN '{\"rating\": 3}' WHEN doc_id % 17 = 0 THEN '{\"source_review_id\":\"' || doc_id || '\",\"rating\":9}' END"
+
+
+@query(f"""SELECT CASE WHEN b IS NULL THEN CAST(doc_id AS VARCHAR) ELSE md5(b) END AS key, CASE WHEN b IS NULL THEN CAST(doc_id % 5 + 1 AS INTEGER) END AS rating, CASE WHEN b IS NULL THEN md5(coalesce(text, '')) END AS digest,
+  CASE WHEN doc_id % 11 = 0 THEN 'no review' WHEN doc_id % 13 = 0 THEN 'no id' WHEN doc_id % 17 = 0 THEN 'no stars from 1 to 5' END AS reason FROM (SELECT *, {_BROKEN} AS b FROM documents)""")
+def read_population(spark, sf):
+    """documents as lines of JSON, some broken, blank lines between them, written to the shared folder; good rows and rejects are read back in one."""
+    good = F.to_json(F.struct(F.col("doc_id").cast("string").alias("source_review_id"), (F.col("doc_id") % 5 + 1).alias("rating"), F.coalesce("text", F.lit("")).alias("body")))
+    path = shared_folder(spark, "population")
+    demo.table(spark, sf, "documents").select(F.concat(F.coalesce(F.expr(_BROKEN), good), F.when(F.col("doc_id") % 3 == 0, "\n").otherwise("")).alias("value")).write.text(path)
+    got = records.read_population(spark, path)
+    fine = F.col("reason").isNull()
+    return got.select(F.when(fine, F.col("source_review_id")).otherwise(F.md5("record")).alias("key"), F.when(fine, F.col("rating")).alias("rating"), F.when(fine, F.md5("body")).alias("digest"), "reason")
+
+
+@query("""WITH d AS (SELECT *, doc_id // 2 AS k FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS i FROM d)
+SELECT CAST(k AS VARCHAR) AS review_id, md5(coalesce(text, '')) AS digest, CASE WHEN doc_id % 7 = 0 THEN 'blank cell: human_label' WHEN i > 1 THEN 'repeated key' END AS reason FROM f WHERE length(coalesce(text, '')) > 0""")
+def read_label_sheet(spark, sf):
+    """documents as a label sheet: cells with quotes, commas and line ends, blank labels, each key twice. A row for each file would have its own header, so all rows go in one by their keys' order."""
+    cell = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    row = F.concat_ws(",", F.floor(F.col("doc_id") / 2).cast("string"), cell, F.when(F.col("doc_id") % 7 == 0, " ").otherwise("x"))
+    path = shared_folder(spark, "sheet")
+    docs = demo.table(spark, sf, "documents").where("length(coalesce(text, '')) > 0")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").select(row.alias("value"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
+    dealt.select(F.when(F.col("m") == F.shiftleft(F.col("p").cast("long"), 33), F.concat(F.lit("\ufeffreview_id,text,human_label\n"), "value")).otherwise(F.col("value")).alias("value")).write.text(path)
+    got = records.read_label_sheet(spark, path, "review_id string, text string, human_label string", ["human_label"], ["review_id"])
+    return got.select("review_id", F.md5("text").alias("digest"), "reason")
+
+
 @query("""SELECT conv_id % 7 AS app_id, 42::BIGINT AS seed, 'c' || conv_id || ':' || turn AS source_review_id, CAST(conv_id % 5 + 1 AS INTEGER) AS rating, md5(coalesce(text, '')) AS digest, DATE '2024-01-01' + CAST(conv_id % 300 AS INTEGER) AS day
   FROM conversations WHERE conv_id % 7 IN (2, 3) AND conv_id % 2 = 0""")
 def read_snapshots(spark, sf):

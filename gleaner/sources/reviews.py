@@ -77,22 +77,6 @@ def feed_frame(entries: DataFrame, most: int = FRAME_MOST) -> DataFrame:
     return once.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= most).withColumn("rank", (F.col("_n") - 1).cast("long")).drop("_n")
 
 
-def read_population(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of JSON reviews; blank lines don't count, a broken one fails the read."""
-    return spark.read.schema(REVIEW).option("mode", "FAILFAST").json(path)
-
-
-def read_label_sheet(spark: SparkSession, path: str, schema: str, required: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """A CSV sheet with this very header; raises ValueError for blank required cells and for repeated keys."""
-    got = spark.read.schema(schema).options(header=True, enforceSchema=False, multiLine=True, escape='"').csv(path)
-    blank = [F.count_if(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "").alias(c) for c in required]
-    bad = got.agg(*blank, (F.count("*") - F.countDistinct(F.struct(*key))).alias("_repeats")).first().asDict()
-    wrong = {k: v for k, v in bad.items() if v}
-    if wrong:
-        raise ValueError(f"label sheet {path}: blank cells or repeated keys: {wrong}")
-    return got
-
-
 def parse_app_id(value: Column) -> Column:
     """An app's number from digits or a store address, null if it is none of 1 to 2**63 - 1."""
     v = F.trim(value)
