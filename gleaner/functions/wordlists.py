@@ -17,6 +17,8 @@ FILLERS = tuple(
     """also anything did do does even give gives gave get gets getting got just made make maybe now out really something still
     then thing things use used using want wanted when""".split()
 )
+#: Scores of negative, neutral and positive by label.
+SCORER_SCORES = {"negative": (0.90, 0.08, 0.02), "positive": (0.02, 0.08, 0.90), "neutral": (0.05, 0.90, 0.05)}
 SCORER_NEGATIVE = ("awful", "bad", "broken", "charged", "crash", "crashed", "hate", "refund", "scam", "terrible", "worst")
 SCORER_POSITIVE = ("amazing", "excellent", "good", "great", "love", "perfect")
 EMBED_TERMS = (

@@ -19,8 +19,7 @@ def lexicon_scorer(value: Column, negative: Sequence[str] = wordlists.SCORER_NEG
     found = text.stripped_words(value)
     listed = lambda ws: F.arrays_overlap(found, F.array(*[F.lit(w) for w in ws]))
     label = F.when(listed(negative), "negative").when(listed(positive), "positive").otherwise("neutral")
-    table = {"negative": (0.90, 0.08, 0.02), "positive": (0.02, 0.08, 0.90), "neutral": (0.05, 0.90, 0.05)}
-    score = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v[i])]), label)
+    score = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in wordlists.SCORER_SCORES.items() for x in (k, v[i])]), label)
     scores = F.create_map(*[x for i, n in enumerate(stats.LABELS) for x in (F.lit(n), score(i))])
     return F.struct(label.alias("label"), scores.alias("scores"), (F.size(F.split(F.trim(value), r"\s+")) > MOST_WORDS).alias("truncated"))
 
@@ -72,41 +71,6 @@ def hash_embed(value: Column, terms: Sequence[Sequence[str]] = wordlists.EMBED_T
     return stats.unit(F.array(*sums, F.lit(1.0)))
 
 
-def language_profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int = 3, most: int = 2000) -> DataFrame:
-    """The most frequent character n-grams of each language with their log shares (most * languages rows)."""
-    grams = _grams(df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), text_col), text_col, n).groupBy("lang", "gram").agg(F.count("*").alias("k"))
-    rank = Window.partitionBy("lang").orderBy(F.col("k").desc(), "gram")
-    top = grams.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= most).drop("_r")
-    totals = grams.groupBy("lang").agg(F.sum("k").alias("total"))
-    return top.join(totals, "lang").select("lang", "gram", F.log(F.col("k") / F.col("total")).alias("logp"))
-
-
-def _grams(df: DataFrame, text_col: str, n: int) -> DataFrame:
-    """A row for each run of n characters, zipped from shifted lists of characters."""
-    low = F.concat(F.lit(" "), text.spaced(F.lower(F.col(text_col))), F.lit(" "))
-    chars = df.withColumn("_c", F.split(low, ""))
-    grams = F.col("_c")
-    for k in range(2, n + 1):
-        grams = F.array_compact(F.zip_with(grams, F.slice("_c", k, F.size("_c")), lambda a, b: F.concat(a, b)))
-    return chars.withColumn("gram", F.explode(grams)).drop(text_col, "_c")
-
-
-def detect_language(df: DataFrame, profiles: DataFrame, id_col: str, text_col: str = "text", n: int = 3, floor: float = 0.80) -> DataFrame:
-    """id, language, confidence of a whole text; und below the floor or 20 characters.
-
-    Profiles are bounded (`most` rows a language), so they may be joined by broadcast; Spark decides by their size.
-    """
-    short = F.length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) < text.FEWEST_LETTERS
-    known = profiles.withColumn("worst", F.min("logp").over(Window.partitionBy()))  # a few thousand rows
-    grams = _grams(df.where(~short).select(F.col(id_col), text_col), text_col, n).groupBy(id_col, "gram").agg(F.count("*").alias("k"))
-    hit = grams.join(known, "gram").groupBy(id_col, "lang").agg(F.sum(F.col("k") * (F.col("logp") - F.col("worst") + 1)).alias("s"), F.sum("k").alias("k"))
-    best = hit.groupBy(id_col).agg(F.max("s").alias("top"), F.max_by("lang", "s").alias("lang"), F.collect_list("s").alias("all"))
-    soft = 1 / F.aggregate("all", F.lit(0.0), lambda t, x: t + F.exp(F.greatest((x - F.col("top")) / 4, F.lit(-50.0))))
-    found = best.select(id_col, F.col("lang").alias("language"), soft.alias("confidence"))
-    out = df.select(id_col).join(found, id_col, "left")
-    return out.select(id_col, F.when(F.col("confidence") >= floor, F.col("language")).otherwise("und").alias("language"), "confidence")
-
-
 def rating_consistency(reviews: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
     """Do stars and labels agree? Three stars and rows without a label are left out; disagreements are named."""
     s, l = F.col("rating"), F.col("sentiment_label")

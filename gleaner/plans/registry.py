@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text
 from ..operators.graph import shared_folder, stored
-from ..operators import categories, embedding, evaluate, insights, phrases, ratings, sampling, sentiment, themes, units
+from ..operators import categories, crossfit, embedding, evaluate, insights, language, phrases, ratings, sampling, sentiment, themes, units
 from ..sources import reviews as source
 from ..sources import records, sinks, snapshots
 from . import demo, oracle
@@ -225,8 +225,9 @@ def hash_embed(spark, sf):
 
 @query()
 def lang_profile(spark, sf):
+    """Profiles of all texts of the given languages, and the language that they give each text."""
     d = demo.table(spark, sf, "documents").select("doc_id", "text", "lang")
-    return sentiment.detect_language(d, sentiment.language_profiles(d), "doc_id").select("doc_id", "language", r6("confidence"))
+    return language.detect(d, language.profiles(d)).select("doc_id", "language", r6("confidence"))
 
 
 # Consistency and preparation
@@ -761,6 +762,39 @@ def binary_reference(spark, sf):
     return evaluate.binary_reference(demo.judged(spark, sf).withColumn("predicted", F.col("shipping"))).select("n", r6("accuracy"))
 
 
+@query(oracle.q(oracle.REVIEWS, f"SELECT source_review_id, {oracle.label('body', demo.NEGATIVE, demo.POSITIVE)} AS sentiment_label, length(body) > 4000 AS truncated FROM reviews WHERE analysable"))
+def score_sentiment(spark, sf):
+    """A model from outside, loaded once a task and given sorted batches: here one that looks for words."""
+    def load():
+        strip = ".,!?;:\"'()[]{}"
+
+        def predict(texts):
+            out = []
+            for t in texts:
+                words = {w.strip(strip) for w in t.strip().lower().split()}
+                label = "negative" if words & set(demo.NEGATIVE) else "positive" if words & set(demo.POSITIVE) else "neutral"
+                out.append((label, {label: 1.0}, len(t) > 4000))
+            return out
+
+        return predict
+
+    r = demo.reviews(spark, sf).where("analysable").select("source_review_id", "analysis_text")
+    return sentiment.score_sentiment(r, load).select("source_review_id", "sentiment_label", "truncated")
+
+
+def _labelled(spark, sf):
+    d = demo.table(spark, sf, "documents").join(demo.table(spark, sf, "labels"), "doc_id")
+    label = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
+    return d.select("doc_id", text.lexical(F.coalesce("text", F.lit(""))).alias("lexical_text"), label.alias("label"))
+
+
+@query()
+def cross_fitted_metrics(spark, sf):
+    """Labelled documents, each scored by a pipeline that was fitted without its fold: metrics with intervals."""
+    got = stored(crossfit.cross_fitted(_labelled(spark, sf), 4).select(F.col("label").alias("true"), "predicted"))
+    return evaluate.metric_bca_ci(got).select("metric", r6("value"), r6("low"), r6("high"), "reason")
+
+
 @query()
 def compare_models(spark, sf):
     shares = spark.range(1, 6).select(F.col("id").cast("int").alias("star"), (F.col("id") / 15.0).alias("share"))
