@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text
 from ..operators.graph import shared_folder, stored
-from ..operators import categories, crossfit, embedding, evaluate, insights, language, phrases, ratings, sampling, sentiment, themes, units
+from ..operators import categories, crossfit, embedding, evaluate, insights, language, order, phrases, ratings, sampling, sentiment, themes, units
 from ..sources import reviews as source
-from ..sources import records, sinks, snapshots
+from ..sources import analyses, records, sinks, snapshots
 from . import demo, oracle
 from .demo import REFERENCE
 
@@ -916,3 +916,47 @@ def reviews_csv(spark, sf):
     sinks.write_reviews_csv(rows, path, ("source_review_id", "rank", "body"))
     got = spark.read.schema("source_review_id string, rank long, body string").options(header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return got.select("source_review_id", "rank", F.md5("body").alias("digest"))
+
+
+# Stored analyses
+
+
+def _stored_analyses(spark, sf):
+    """Analyses of the five apps with their reviews, written to the shared folder, as SQL table functions."""
+    r = demo.reviews(spark, sf)
+    df = r.select("app_id", "country", "source_review_id", "rating", "created_at", "language", "analysable", "sentiment_label")
+    name = F.concat(F.lit("app "), F.col("app_id")).alias("analysis_id")
+    numbers = df.groupBy("app_id").agg(F.struct(F.count("*").alias("n"), F.count_if("analysable").alias("n_analysable")).alias("preprocessing"), F.struct(F.count("*").alias("n"), F.avg("rating").alias("mean")).alias("metrics"), F.struct(F.count_if(F.col("sentiment_label") == "negative").alias("negative")).alias("sentiment"))
+    areas = _areas(spark, sf)[0].groupBy("app_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "area", "count", "total"))).alias("areas"))  # as many as the lexicon has categories
+    whole = numbers.join(areas, "app_id", "left").select(name, "preprocessing", "metrics", "sentiment", F.struct("areas").alias("insights"))
+    path = shared_folder(spark, "analyses")
+    placed = order.positions(df.withColumn("analysis_id", name), [F.col("source_review_id").cast("long")], ["analysis_id"])
+    analyses.save(spark, stored(whole), placed, path)
+    analyses.register(spark, path)
+
+
+def _of_all_apps(spark, function, select):
+    parts = [spark.sql(f"SELECT {select} FROM {function}('app {i}')") for i in range(5)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(oracle.q(oracle.REVIEWS, "SELECT 'app ' || app_id AS analysis_id, count(*) AS n, count(*) FILTER (analysable) AS n_analysable, round(avg(rating), 6) AS mean, count(*) FILTER (sentiment_label = 'negative') AS negative FROM reviews GROUP BY app_id"))
+def metrics_view(spark, sf):
+    _stored_analyses(spark, sf)
+    return _of_all_apps(spark, "stored_metrics", "analysis_id, metrics.n, preprocessing.n_analysable, round(metrics.mean, 6) AS mean, sentiment.negative")
+
+
+@query(f"SELECT 'app ' || app_id AS analysis_id, rank, area, count, total FROM ({SQL['areas_of_improvement']})")
+def insights_view(spark, sf):
+    _stored_analyses(spark, sf)
+    return _of_all_apps(spark, "stored_insights", "analysis_id, inline(insights.areas)").select("analysis_id", "rank", "area", "count", "total")
+
+
+@query(oracle.q(oracle.LIGHT, "SELECT 'app ' || app_id AS analysis_id, source_review_id, rating, row_number() OVER (PARTITION BY app_id ORDER BY rank) AS position FROM light"))
+def get_analysis(spark, sf):
+    """The reviews of each stored analysis, by position."""
+    _stored_analyses(spark, sf)
+    return _of_all_apps(spark, "stored_reviews", "analysis_id, source_review_id, rating, position")

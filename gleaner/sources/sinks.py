@@ -1,10 +1,10 @@
-"""Exports and stored analyses."""
+"""Exports of reviews and collections."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -48,23 +48,3 @@ def collection_documents(reviews: DataFrame, apps: DataFrame, group: Sequence[st
 
 def write_collection_json(documents: DataFrame, path: str) -> None:
     documents.write.mode("errorifexists").json(path)
-
-
-def save_analysis(spark: SparkSession, rows: DataFrame, path: str, replace: bool = False) -> None:
-    """Store rows by analysis_id. Insert fails if one is there; with `replace`, only the partitions of these rows change."""
-    if not replace:
-        try:
-            there = spark.read.parquet(path).select("analysis_id").distinct().join(rows.select("analysis_id").distinct(), "analysis_id").limit(1).count()
-        except Exception as e:  # noqa: BLE001  an absent table is an empty one
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            there = 0
-        if there:
-            raise ValueError("an analysis with this id is stored already")
-    placed = rows.repartition("analysis_id").sortWithinPartitions("analysis_id", "position")
-    placed.write.mode("overwrite" if replace else "append").option("partitionOverwriteMode", "dynamic").partitionBy("analysis_id").parquet(path)
-
-
-def get_reviews(spark: SparkSession, path: str, analysis_id: str) -> DataFrame:
-    """The rows of one analysis in order; reads its partition alone."""
-    return spark.read.parquet(path).where(F.col("analysis_id") == analysis_id).orderBy("position")

@@ -138,17 +138,6 @@ def test_csv_round_trip(spark, tmp_path):
     assert b'r,"\t=HYPERLINK(""x"")"\r\n' in raw
 
 
-def test_stored_analyses(spark, tmp_path):
-    path = str(tmp_path / "a")
-    rows = lambda i, n: spark.createDataFrame([(i, k) for k in range(n)], "analysis_id string, position long")
-    sinks.save_analysis(spark, rows("one", 3), path)
-    sinks.save_analysis(spark, rows("two", 2), path)
-    with pytest.raises(ValueError, match="stored already"):
-        sinks.save_analysis(spark, rows("one", 1), path)
-    sinks.save_analysis(spark, rows("one", 1), path, replace=True)
-    assert (sinks.get_reviews(spark, path, "one").count(), sinks.get_reviews(spark, path, "two").count()) == (1, 2)
-
-
 def test_stream(spark, tmp_path):
     from gleaner.streaming import ingest
 
