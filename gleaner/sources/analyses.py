@@ -120,7 +120,7 @@ def register(spark: SparkSession, path: str, prefix: str = "stored") -> None:
     analyses, reviews = spark.table(f"{prefix}_analyses_table"), spark.table(f"{prefix}_reviews_table")
     views = {"analysis": (analyses, analyses.columns), "metrics": (analyses, ["analysis_id", *[c for c in METRICS if c in analyses.columns]]), "insights": (analyses, ["analysis_id", *[c for c in INSIGHTS if c in analyses.columns]]), "reviews": (reviews, reviews.columns)}
     for name, (df, columns) in views.items():
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in columns)
-        listed = ", ".join(f"`{f.name}`" for f in df.schema if f.name in columns)
+        kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+        listed = ", ".join(f"`{c}`" for c in columns)
         table = f"{prefix}_{'reviews' if name == 'reviews' else 'analyses'}_table"
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}_{name}(wanted STRING) RETURNS TABLE ({kinds}) RETURN SELECT {listed} FROM {table} WHERE analysis_id = wanted")
