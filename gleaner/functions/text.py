@@ -98,6 +98,11 @@ def flags(text: Column, title: Column, body: Column, language: Column, source_fl
     return F.array_distinct(F.array_compact(F.concat(F.coalesce(source_flags, F.array().cast("array<string>")), made)))
 
 
+def scored_flags(flags: Column, truncated: Column) -> Column:
+    """Flags after scoring: `truncated` comes last if the model cut the text; null for a text that wasn't scored is no cut."""
+    return F.array_distinct(F.concat(F.coalesce(flags, F.array().cast("array<string>")), F.when(F.coalesce(truncated, F.lit(False)), F.array(F.lit("truncated"))).otherwise(F.array().cast("array<string>"))))
+
+
 def analysable(text: Column, language: Column) -> Column:
     return (text != "") & language.isin("en", "und")
 

@@ -40,13 +40,20 @@ def category_match(units: DataFrame, matches: DataFrame, group: Sequence[str] =
     return got.select(*group, "category_id", "review_id", "phrases", F.col("best._k.c").alias("unit_id"), F.col("best.sentence").alias("sentence"), first.alias("matched_phrase"), "rating", "created_at")
 
 
-def category_stats(matched: DataFrame, complaint: DataFrame, reference: str, least: int = 2, group: Sequence[str] = GROUP) -> DataFrame:
-    """Categories with enough reviews: support, share of complaint reviews with interval, mean stars, recency, in order."""
+def category_stats(matched: DataFrame, complaint: DataFrame, reference: str, least: int = 2, group: Sequence[str] = GROUP, labels: DataFrame | None = None) -> DataFrame:
+    """Categories with enough reviews: support, share of complaint reviews with interval, mean stars, recency, in order.
+
+    Order: current ones first, then greater shares, then labels (`labels`: category_id, label, a row for each category at least), without them ids.
+    """
     got = matched.groupBy(*group, "category_id").agg(F.count("*").alias("review_count"), F.avg("rating").alias("mean_star_rating"), F.max("created_at").alias("newest"), F.count_if(recent(reference)).alias("n_recent")).where(F.col("review_count") >= least)
     got = got.join(complaint.select(*group, F.col("n_complaint_reviews").alias("denominator")), list(group))
     got = got.withColumns({"share": stats.share(F.col("review_count"), F.col("denominator")), "ci95": stats.wilson(F.col("review_count"), F.col("denominator")), "share_last_12_months": stats.share(F.col("n_recent"), F.col("review_count")), "historical": F.col("n_recent") == 0})
-    order = Window.partitionBy(*group).orderBy("historical", F.col("share").desc(), "category_id")
-    return got.withColumn("rank", F.row_number().over(order))
+    if labels is not None:
+        got = got.join(labels.groupBy("category_id").agg(F.min("label").alias("_label")), "category_id", "left")
+    else:
+        got = got.withColumn("_label", F.col("category_id"))
+    order = Window.partitionBy(*group).orderBy("historical", F.col("share").desc(), "_label", "category_id")
+    return got.withColumn("rank", F.row_number().over(order)).drop("_label")
 
 
 def top_phrases(matched: DataFrame, most: int = 5, group: Sequence[str] = GROUP) -> DataFrame:

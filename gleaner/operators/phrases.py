@@ -47,10 +47,12 @@ def phrase_support(reviews: DataFrame, reference: str, group: Sequence[str] = GR
     return with_examples(phrase_counts(reviews, reference, group), reviews, group)
 
 
-def totals(reviews: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
-    """n_negative, n_rest and the least support of each group."""
+def totals(reviews: DataFrame, group: Sequence[str] = GROUP, apps: DataFrame | None = None) -> DataFrame:
+    """n_negative, n_rest and the least support of each group; with `apps` (group, name) also the words of its app's name, which block phrases."""
     bad = F.coalesce(F.col("sentiment_label") == "negative", F.lit(False))
     got = reviews.where("analysable").groupBy(*group).agg(F.count_if(bad).alias("n_negative"), F.count_if(~bad).alias("n_rest"))
+    if apps is not None:
+        got = got.join(own_words(apps, group), list(group), "left")
     return got.withColumn("min_support", F.when(F.col("n_negative") >= 30, 3).otherwise(2)).withColumn("status", F.when(F.col("n_negative") < 5, "insufficient_negative_signal").otherwise("ok"))
 
 
@@ -96,9 +98,20 @@ def _ranked(rows: DataFrame, order: Sequence[Column], most: int, group: Sequence
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= most)
 
 
+def own_words(apps: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
+    """group, own_words: the words of each app's name (`apps`: group, name), which its phrases can't consist of alone. A row for each app."""
+    words = F.array_distinct(F.flatten(F.collect_list(text.words(text.lexical(F.coalesce("name", F.lit("")))))))
+    return apps.groupBy(*group).agg(words.alias("own_words"))
+
+
 def _eligible(counts: DataFrame, sizes: DataFrame, blocked: Sequence[str], group: Sequence[str]) -> DataFrame:
     rows = counts.join(sizes.where("status = 'ok'"), list(group)).where("support >= min_support")
-    return rows.where(text.displayable(F.col("phrase"), blocked)).withColumn("share_last_12_months", stats.share(F.col("_n_recent"), F.col("support")))
+    if "own_words" in sizes.columns:
+        listed = F.concat(F.array(*[F.lit(w) for w in blocked]).cast("array<string>"), F.coalesce("own_words", F.array().cast("array<string>")))
+        rows = rows.where(text.displayable(F.col("phrase"), listed)).drop("own_words")
+    else:
+        rows = rows.where(text.displayable(F.col("phrase"), blocked))
+    return rows.withColumn("share_last_12_months", stats.share(F.col("_n_recent"), F.col("support")))
 
 
 OUT = ("phrase", "support", "n_negative", "rest", "n_rest", "first_rank", "newest", "share_last_12_months")

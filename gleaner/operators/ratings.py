@@ -18,11 +18,19 @@ LEAST_IN_PERIOD = 15
 
 
 def rating_summary(reviews: DataFrame, frames: DataFrame | None = None, group: Sequence[str] = GROUP) -> DataFrame:
-    """n, mean, median, stddev and, with `frames` (group, reachable), sampling fraction and census."""
+    """n, mean, median, stddev and, with `frames` (group, reachable), sampling fraction and census.
+
+    Where `frames` has store_mean, rating_count or histogram, they are passed through as store_benchmark: stores count star-only
+    ratings too, so that is another population than the sampled reviews, to be shown beside their mean and never pooled with it.
+    """
     got = reviews.groupBy(*group).agg(F.count("*").alias("n"), F.avg("rating").alias("mean"), F.median("rating").alias("median"), F.stddev_samp("rating").alias("stddev"))
     if frames is None:
         return got
-    return got.join(frames, list(group)).withColumn("sampling_fraction", stats.share(F.col("n"), F.col("reachable"))).withColumn("census", F.col("n") == F.col("reachable"))
+    shown = [c for c in ("store_mean", "rating_count", "histogram") if c in frames.columns]
+    got = got.join(frames.select(*group, "reachable", *shown), list(group))
+    if shown:
+        got = got.withColumn("store_benchmark", F.struct(*shown)).drop(*shown)
+    return got.withColumn("sampling_fraction", stats.share(F.col("n"), F.col("reachable"))).withColumn("census", F.col("n") == F.col("reachable"))
 
 
 def distribution(df: DataFrame, value: str, values: Sequence, population: str = "reachable", group: Sequence[str] = GROUP) -> DataFrame:

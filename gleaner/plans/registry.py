@@ -160,7 +160,7 @@ def ngrams(spark, sf):
     return r.where("n_grams > 0")
 
 
-@query("SELECT page_id, md5(trim(regexp_replace(url, '[\\s\\p{Z}]+', ' ', 'g'))) AS digest FROM pages WHERE NOT contains(url, '&') OR true".replace("\\\\", "\\"))
+@query("SELECT page_id, md5(trim(regexp_replace(url, '[\\s\\p{Z}]+', ' ', 'g'))) AS digest FROM pages".replace("\\\\", "\\"))
 def normalise_text(spark, sf):
     # Addresses have no characters that NFKC changes; entities in them would have to be of the kind that needs a semicolon.
     return demo.table(spark, sf, "pages").select("page_id", F.md5(text.normalise(F.col("url"))).alias("digest"))
@@ -256,15 +256,15 @@ def preprocessing_examples(spark, sf):
 # Phrases
 
 
-@query(oracle.q(oracle.PHRASES, "SELECT app_id, phrase, support, rest, example_review_id, strftime(newest, '%Y-%m-%d') AS newest FROM counts WHERE support + rest >= 3"))
+@query(oracle.q(oracle.PHRASES, "SELECT app_id, phrase, support, rest, example_review_id, strftime(newest, '%Y-%m-%d') AS newest FROM counts"))
 def phrase_support(spark, sf):
-    got = phrases.phrase_support(demo.reviews(spark, sf), REFERENCE).where("support + rest >= 3")
+    got = phrases.phrase_support(demo.reviews(spark, sf), REFERENCE)
     return got.select("app_id", "phrase", "support", "rest", "example_review_id", _day("newest"))
 
 
-@query(oracle.q(oracle.PHRASES, "SELECT app_id, phrase, round(z, 6) AS z FROM words WHERE support + rest >= 5"))
+@query(oracle.q(oracle.PHRASES, "SELECT app_id, phrase, round(z, 6) AS z FROM words"))
 def fightin_words(spark, sf):
-    got = phrases.fightin_words(phrases.phrase_counts(demo.reviews(spark, sf), REFERENCE)).where("support + rest >= 5")
+    got = phrases.fightin_words(phrases.phrase_counts(demo.reviews(spark, sf), REFERENCE))
     return got.select("app_id", "phrase", r6("z"))
 
 
@@ -594,7 +594,7 @@ def _areas(spark, sf):
     u, m = demo.matched(spark, sf)
     totals = units.complaint_totals(u)
     labels = categories.lexicon(spark, demo.LEXICON)
-    cats = categories.category_stats(m, totals, REFERENCE)
+    cats = categories.category_stats(m, totals, REFERENCE, labels=labels)
     return insights.areas_of_improvement([insights.category_areas(cats, categories.evidence(m), labels)]), cats, labels, totals, u, m
 
 
@@ -603,6 +603,35 @@ def areas_of_improvement(spark, sf):
     return _areas(spark, sf)[0].select("app_id", "rank", "source", "area", "count", "total", r6("share"))
 
 
+_THEMED = oracle.MATCHED + f""", worded AS (SELECT *, string_split(lexical_text, ' ')[1] AS cluster FROM units),
+heads AS (SELECT app_id, count(*) AS n FROM worded GROUP BY app_id),
+sized AS (SELECT app_id, cluster, count(*) AS k, min(review_id) AS f, n FROM worded JOIN heads USING (app_id) GROUP BY ALL),
+named AS (SELECT app_id, cluster, printf('theme_%02d', row_number() OVER (PARTITION BY app_id ORDER BY k DESC, f, cluster)) AS theme_id FROM sized WHERE n >= 5 AND k >= CASE WHEN n < 15 THEN 2 ELSE 3 END),
+seen AS (SELECT app_id, cluster, count(DISTINCT review_id) AS review_count, count(DISTINCT review_id) FILTER ({oracle.RECENT}) AS nr FROM worded JOIN named USING (app_id, cluster) GROUP BY ALL),
+areas AS (
+  SELECT app_id, 'issue_category' AS source, upper(left(category_id, 1)) || category_id[2:] AS area, review_count AS count, denominator AS total, historical FROM stats
+  UNION ALL SELECT app_id, 'theme', cluster, review_count, n_complaint_reviews, nr = 0 FROM seen JOIN complaint USING (app_id)
+  UNION ALL SELECT app_id, 'phrase', phrase, support, n_negative, false FROM ({SQL['distinctive_phrases']}) JOIN (SELECT app_id, count(*) FILTER ({oracle.label('body', demo.NEGATIVE, demo.POSITIVE)} = 'negative') AS n_negative FROM light WHERE analysable GROUP BY app_id) USING (app_id) WHERE rank <= 3 AND app_id NOT IN (SELECT app_id FROM stats UNION SELECT app_id FROM seen)),
+ranked AS (SELECT *, count::DOUBLE / total AS share FROM areas)"""
+
+
+@query(oracle.q(_THEMED, "SELECT l.app_id, CASE WHEN r.area IS NULL THEN 'insufficient_signal' ELSE 'ok' END AS status, CAST(CASE WHEN r.area IS NOT NULL THEN row_number() OVER (PARTITION BY l.app_id ORDER BY CASE source WHEN 'issue_category' THEN 0 ELSE 1 END, historical, share DESC, area) END AS INTEGER) AS rank, source, area, count, total, round(share, 6) AS share FROM (SELECT DISTINCT app_id FROM light) l LEFT JOIN ranked r ON l.app_id = r.app_id"))
+def all_areas(spark, sf):
+    """Categories, themes (units by their first word) and, for apps that have neither, phrases, in one order, with each app's status."""
+    _, cats, labels, _, u, m = _areas(spark, sf)
+    t = stored(themes.theme_policy(u.withColumn("cluster", F.split("lexical_text", " ")[0])))
+    of_themes = t.where("theme_id IS NOT NULL")
+    names = of_themes.select("app_id", "country", "theme_id", F.lit(1).alias("rank"), F.col("cluster").alias("phrase")).distinct()
+    shown = of_themes.groupBy("app_id", "country", "theme_id").agg(F.lit(1).alias("rank"), text.excerpt(F.min("sentence")).alias("excerpt"))
+    r = demo.reviews(spark, sf)
+    n = r.where("analysable").groupBy("app_id", "country").agg(F.count("*").alias("n_analysable"))
+    first = stored(insights.category_areas(cats, categories.evidence(m), labels).unionByName(insights.theme_areas(themes.theme_stats(t, n, REFERENCE), names, shown)))
+    found = phrases.with_examples(phrases.distinctive_phrases(phrases.phrase_counts(r, REFERENCE), phrases.totals(r), demo.BLOCKED), r)
+    areas = insights.areas_of_improvement([first, insights.phrase_areas(found, first, r)])
+    status = insights.area_status(_light(spark, sf), areas)
+    return status.join(areas, ["app_id", "country"], "left").select("app_id", "status", "rank", "source", "area", "count", "total", r6("share"))
+
+
 @query()
 def area_text(spark, sf):
     return _areas(spark, sf)[0].select("app_id", "rank", "text")
@@ -633,6 +662,12 @@ def mart_sentiment_distribution(spark, sf):
     return got.select("app_id", "label", r6("value"), r6("low"), r6("high"), "count")
 
 
+@query(f"SELECT app_id, bucket, label, mean AS value, n FROM ({SQL['period_metrics']})")
+def mart_period_values(spark, sf):
+    """What SQL can tell of mart_periods: all but the intervals."""
+    return insights.mart_periods(ratings.period_metrics(_reachable(_light(spark, sf)))).select("app_id", "bucket", "label", r6("value"), "n")
+
+
 @query()
 def mart_periods(spark, sf):
     df = _reachable(_light(spark, sf))
@@ -646,7 +681,10 @@ def mart_negative_phrases(spark, sf):
     return got.select("app_id", "rank", "label", r6("value"), "count")
 
 
-@query()
+@query(oracle.q(oracle.MATCHED, f"""SELECT app_id, 1 AS tile, 'mean rating' AS label, CAST(CAST(round(CAST(avg(rating) AS DECIMAL(18, 9)), 2) AS DECIMAL(18, 2)) AS VARCHAR) AS value FROM light GROUP BY app_id
+UNION ALL SELECT app_id, 2, 'negative reviews', CAST(CAST(round(CAST(100.0 * count(*) FILTER ({oracle.label('body', demo.NEGATIVE, demo.POSITIVE)} = 'negative') / count(*) AS DECIMAL(18, 9)), 1) AS DECIMAL(18, 1)) AS VARCHAR) || '%' FROM light GROUP BY app_id
+UNION ALL SELECT app_id, 3, 'reviews with complaints', CAST(n_complaint_reviews AS VARCHAR) FROM complaint WHERE n_complaint_reviews > 0
+UNION ALL SELECT app_id, 4, 'first area', upper(left(category_id, 1)) || category_id[2:] FROM stats QUALIFY row_number() OVER (PARTITION BY app_id ORDER BY historical, share DESC, category_id) = 1"""))
 def mart_summary(spark, sf):
     areas, _, _, totals, _, _ = _areas(spark, sf)
     df = demo.reviews(spark, sf).select("app_id", "country", "rating", "sentiment_label")
@@ -697,6 +735,44 @@ def export_rows(spark, sf):
     return got.select("source_review_id", "rank", "rating", "created_at")
 
 
+@query(oracle.q(oracle.REVIEWS, f"""SELECT source_review_id, rank, country, '' AS title, md5(CASE WHEN regexp_matches(body, '^[=+\\-@\\t\\r\\n＝＋－＠]') THEN chr(9) || body ELSE body END) AS body, rating, strftime(created_at, '%Y-%m-%dT%H:%M:%S') || 'Z' AS created_at,
+  NULL::VARCHAR AS is_edited, NULL::VARCHAR AS vote_count, NULL::VARCHAR AS vote_sum, NULL::VARCHAR AS has_developer_response, NULL::VARCHAR AS app_version, NULL::VARCHAR AS provider, '["' || language || '"]' AS source_flags,
+  md5(CASE WHEN regexp_matches(analysis_text, '^[=+\\-@\\t\\r\\n＝＋－＠]') THEN chr(9) || analysis_text ELSE analysis_text END) AS analysis_text, language, analysable, sentiment_label FROM reviews""".replace("\\\\", "\\")))
+def export_analysed(spark, sf):
+    """The analysed shape, all columns of the raw one among them, texts as digests."""
+    r = demo.reviews(spark, sf).withColumn("source_flags", F.array("language"))
+    got = sinks.export_rows(r, [c for c in sinks.ANALYSED if c not in ("class_scores", "flags")])
+    return got.withColumns({c: F.md5(c) for c in ("body", "analysis_text")})
+
+
+@query(r"""SELECT doc_id, CASE WHEN len(string_split_regex(trim(coalesce(text, '')), '\s+')) > 512 THEN 'truncated' ELSE '' END AS flags FROM documents""")
+def scored_flags(spark, sf):
+    """The flag that scoring adds."""
+    scored = sentiment.lexicon_scorer(F.coalesce("text", F.lit("")))["truncated"]
+    return demo.table(spark, sf, "documents").select("doc_id", F.array_join(text.scored_flags(F.array().cast("array<string>"), scored), ",").alias("flags"))
+
+
+@query(oracle.q(oracle.LIGHT, "SELECT app_id, count(*) AS n, round(avg(rating), 6) AS mean, count(*) * 3 AS rating_count, 3.5::DOUBLE AS store_mean FROM light GROUP BY app_id"))
+def store_benchmark(spark, sf):
+    """Stores' own numbers beside the reviews'."""
+    df = _light(spark, sf)
+    f = demo.frames(df).join(df.groupBy("app_id", "country").agg((F.count("*") * 3).alias("rating_count"), F.lit(3.5).alias("store_mean")), ["app_id", "country"])
+    return ratings.rating_summary(df, f).select("app_id", "n", r6("mean"), F.col("store_benchmark.rating_count").alias("rating_count"), F.col("store_benchmark.store_mean").alias("store_mean"))
+
+
+_NAMED_APPS = "list_filter(string_split(e.phrase, ' '), lambda x: NOT list_contains([['ther'], ['this'], ['thes'], ['with'], ['ther']][e.app_id + 1], x) AND NOT list_contains({blocked}, x) AND regexp_matches(x, '\\p{{L}}'))".format(blocked=oracle.listed(demo.BLOCKED)).replace("\\\\", "\\")
+_NAMED_ELIGIBLE = oracle.PHRASES + f", kept AS (SELECT * FROM eligible e WHERE len({_NAMED_APPS}) > 0)"
+
+
+@query(oracle.q(_NAMED_ELIGIBLE, f"SELECT app_id, rank, phrase, support FROM (SELECT *, CAST(row_number() OVER (PARTITION BY app_id ORDER BY support DESC, phrase) AS INTEGER) AS rank FROM kept e WHERE {_LONGER.format(t='kept')}) WHERE rank <= 15"))
+def named_app_phrases(spark, sf):
+    """Common phrases of apps whose own names are words of the texts: each app's name blocks for that app alone."""
+    r = demo.reviews(spark, sf)
+    apps = r.select("app_id", "country").distinct().withColumn("name", F.get(F.array(*[F.lit(x) for x in ("Ther", "This!", "THES", "with", "Ther ther")]), F.col("app_id").cast("int")))
+    got = phrases.common_phrases(phrases.phrase_counts(r, REFERENCE), phrases.totals(r, apps=apps), demo.BLOCKED)
+    return got.select("app_id", "rank", "phrase", "support")
+
+
 # Small columns
 
 
