@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import free, slices, table
+from .common import free, slices, table, written
 from .tokens import SPECIAL, Encoder, default_tokenizer
 
 LEAF_PIECES, FAN = 64, 8
@@ -118,13 +118,17 @@ def with_leaves(docs: DataFrame, tokenizer: str | None = None, text: str = "text
     return docs.mapInArrow(build, schema)
 
 
-def edited(trees: DataFrame, tokenizer: str | None = None, text: str = "text", edits: str = "edits") -> DataFrame:
-    """Counts before and after `edits` (array of structs start, stop, text), with the text, leaves and edits left out."""
+def edited(trees: DataFrame, tokenizer: str | None = None, text: str = "text", edits: str = "edits", keep: bool = False) -> DataFrame:
+    """Counts before and after `edits` (array of structs start, stop, text), with the text, leaves and edits left out.
+
+    keep: with the edited text and its leaves, in which regions that edits touched are one leaf, to be stored and edited again.
+    """
     path = tokenizer or default_tokenizer()
     rest = [f for f in trees.schema if f.name not in (text, "leaves", edits)]
     added = T._parse_datatype_string(EDITED)
     free(trees.drop(text, "leaves", edits), *added.names)
-    schema = T.StructType([*rest, *added])
+    kept = [T.StructField(text, T.StringType()), T.StructField("leaves", LEAVES)] if keep else []
+    schema = T.StructType([*rest, *kept, *added])
     arrow = to_arrow_schema(schema)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +141,8 @@ def edited(trees: DataFrame, tokenizer: str | None = None, text: str = "text", e
                     tree = CountTree(said or "", [(x["chars"], x["tokens"]) for x in leaves or []])
                     before = tree.tokens
                     work = sum(tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "", count) for e in wanted or [] if e)
-                    rows.append((before, tree.tokens, len(tree.text), len(wanted or []), work))
+                    tree_now = [tree.text if said is not None or tree.text else None, [{"chars": c, "tokens": t} for c, t in tree.levels[0] if c]] if keep else []
+                    rows.append((*tree_now, before, tree.tokens, len(tree.text), len(wanted or []), work))
                 columns = [pa.array(list(c), arrow.field(len(rest) + i).type) for i, c in enumerate(zip(*rows, strict=True))]
                 yield pa.RecordBatch.from_arrays([batch.column(f.name).cast(arrow.field(f.name).type) for f in rest] + columns, schema=arrow)
 
@@ -153,9 +158,11 @@ def with_edits(docs: DataFrame, edits: int = 3, longest: int = 40) -> DataFrame:
         start = draw(f"{k}:at", size)
         return F.struct(start.alias("start"), (start + draw(f"{k}:long", F.lit(longest))).alias("stop"), F.substring("text", draw(f"{k}:from", size) + 1, draw(f"{k}:size", F.lit(longest))).alias("text"))
 
+    free(docs, "edits")
     return docs.withColumn("edits", F.array(*[one(k) for k in range(edits)]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return edited(with_leaves(with_edits(docs)))
+    trees = written(with_leaves(docs), "trees")  # kept: later edits find them
+    return edited(with_edits(trees))
