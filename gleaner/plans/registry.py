@@ -290,7 +290,21 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive_phrases(spark, sf_dir)
 
 
-@query()
+_GROUPED = oracle.UNITS + f""",
+words_ AS (SELECT app_id, rating AS cluster, list_filter(string_split(lexical_text, ' '), lambda x: x <> '') AS w FROM units),
+grams AS (SELECT app_id, cluster, unnest({oracle.GRAMS}) AS phrase FROM words_),
+own AS (SELECT app_id, cluster, phrase, count(*) AS support FROM grams GROUP BY ALL),
+whole AS (SELECT app_id, phrase, sum(support) AS everywhere FROM own GROUP BY ALL),
+sizes AS (SELECT app_id, rating AS cluster, count(*) AS n_units FROM units GROUP BY ALL),
+sums AS (SELECT app_id, cluster, sum(support) AS ng, sum(sum(support)) OVER (PARTITION BY app_id) AS nt FROM own GROUP BY app_id, cluster),
+prior AS (SELECT o.*, everywhere - support AS rest, ng, nt - ng AS nr, n_units, 100.0::DOUBLE * everywhere / nt AS a FROM own o JOIN whole USING (app_id, phrase) JOIN sums USING (app_id, cluster) JOIN sizes USING (app_id, cluster)),
+kept AS (
+  SELECT *, (ln((support + a) / (ng + 100 - support - a)) - ln((rest + a) / (nr + 100 - rest - a))) / sqrt(1 / (support + a) + 1 / (rest + a)) AS z FROM prior
+  WHERE support >= CASE WHEN n_units = 1 THEN 1 ELSE 2 END AND len(list_filter(string_split(phrase, ' '), lambda x: NOT list_contains({oracle.listed(demo.BLOCKED)}, x) AND regexp_matches(x, '\\p{{L}}'))) > 0)"""
+
+
+@query(oracle.q(_GROUPED, """SELECT app_id, cluster, rank, phrase, support, round(z, 6) AS z FROM (SELECT *, CAST(row_number() OVER (PARTITION BY app_id, cluster ORDER BY z DESC, phrase) AS INTEGER) AS rank FROM kept e
+  WHERE NOT EXISTS (SELECT 1 FROM kept o WHERE o.app_id = e.app_id AND o.cluster = e.cluster AND length(o.phrase) < length(e.phrase) AND contains(' ' || e.phrase || ' ', ' ' || o.phrase || ' '))) WHERE rank <= 5"""))
 def group_phrases(spark, sf):
     u = demo.kept_units(spark, sf).withColumn("cluster", F.col("rating"))
     return phrases.group_phrases(u, blocked=demo.BLOCKED).select("app_id", "cluster", "rank", "phrase", "support", r6("z"))
@@ -632,7 +646,17 @@ def all_areas(spark, sf):
     return status.join(areas, ["app_id", "country"], "left").select("app_id", "status", "rank", "source", "area", "count", "total", r6("share"))
 
 
-@query()
+def _percent(x: str) -> str:
+    """A share as SQL says it, rounded half up at one digit."""
+    return f"CAST(CAST(round(CAST(100 * ({x}) AS DECIMAL(18, 9)), 1) AS DECIMAL(18, 1)) AS VARCHAR) || '%'"
+
+
+_SHOWN = f"shown AS (SELECT app_id, category_id, {oracle.excerpt('sentence')} AS excerpt FROM matched QUALIFY row_number() OVER (PARTITION BY app_id, category_id ORDER BY len(phrases) DESC, created_at DESC NULLS LAST, review_id) = 1)"
+
+
+@query(oracle.q(oracle.MATCHED + ", " + _SHOWN, f"""SELECT app_id, CAST(row_number() OVER (PARTITION BY app_id ORDER BY historical, share DESC, category_id) AS INTEGER) AS rank,
+  'Investigate ' || upper(left(category_id, 1)) || category_id[2:] || ': ' || review_count || ' of ' || denominator || ' complaint reviews (' || {_percent('share')} || ', 95% CI ' || {_percent(oracle.low('review_count', 'denominator'))}
+  || '-' || {_percent(oracle.high('review_count', 'denominator'))} || '), for example ' || chr(39) || excerpt || chr(39) || '.' AS text FROM stats JOIN shown USING (app_id, category_id)"""))
 def area_text(spark, sf):
     return _areas(spark, sf)[0].select("app_id", "rank", "text")
 
@@ -914,7 +938,7 @@ def theme_areas(spark, sf):
     return insights.areas_of_improvement([areas]).select("app_id", "rank", "source", "area", "count", "total", r6("share"))
 
 
-@query()
+@query(oracle.q(oracle.PHRASES + ", positive AS (SELECT * FROM eligible WHERE z > 0), first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY round(z, 9) DESC, support DESC, phrase) AS i FROM positive e WHERE " + _LONGER.format(t="positive") + ") WHERE i <= 3)", "SELECT app_id, CAST(row_number() OVER (PARTITION BY app_id ORDER BY share_last_12_months = 0, support::DOUBLE / n_negative DESC, phrase) AS INTEGER) AS rank, 'phrase' AS source, phrase AS area, support AS count, n_negative AS total, round(support::DOUBLE / n_negative, 6) AS share FROM first"))
 def phrase_areas(spark, sf):
     """Areas of groups that have neither categories nor themes: here of all, as the others are left out."""
     r = demo.reviews(spark, sf)
