@@ -7,7 +7,7 @@ may be cut. Only the sums above changed leaves are updated. The count is that of
 
 Null or empty text: no leaves, 0 tokens. Edits (start, stop, text) are applied in order, each to the text the ones before
 have left; starts and stops beyond it are clamped, null parts of an edit count as 0 and empty. No edits: the count stays.
-Repeated rows: each has its tree. Empty table: no rows. Extra columns are carried along; `leaves` and the names of the counts must
+Repeated rows: each has its tree. A very long text is a tree of as many leaves as it needs. Empty table: no rows. Extra columns are carried along; `leaves` and the names of the counts must
 be free, or ValueError says which is not.
 """
 

@@ -17,7 +17,7 @@ frequent (the `HOT_KEPT` most frequent, from counts over all documents) only dec
 Nothing of a document is held by the driver. Shingles are told apart by 64-bit hashes, as are nodes.
 
 Null or empty text: an empty set, linked with nothing. Fewer words than a shingle has: the whole sequence is the
-set's one element. Repeated rows are copies. Null doc_id: the document takes part, its component_id is the
+set's one element. Repeated rows are copies. Very long texts are compared whole. Null doc_id: the document takes part, its component_id is the
 least doc_id of its component, null if there is none. Empty table: no rows. Extra columns are ignored.
 """
 

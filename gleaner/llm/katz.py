@@ -15,7 +15,7 @@ they stand for, sums by context, which make the backoff weights. Only what a tex
 for each chunk and context: of training texts, nothing.
 
 Null or empty text: the end alone. Null doc_id: a training text. Repeated rows: each counts and is scored. No training
-texts: every word is unknown. Words are told apart by 64-bit hashes. Extra columns are ignored.
+texts: every word is unknown. A very long text may be a chunk of its own. Empty table: no rows. Words are told apart by 64-bit hashes. Extra columns are ignored.
 """
 
 from __future__ import annotations

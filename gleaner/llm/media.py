@@ -6,7 +6,8 @@ grey samples (binary PGM, 64 to a row), and a join on the digest resolves them w
 payloads are read where they are stored, and only their digests and features are shuffled.
 
 Null html: no items. A reference whose digest the media table lacks stays, unresolved (null features).
-Copies of a payload share a digest and so their features. Extra columns of the input are carried along under
+Copies of a payload share a digest and so their features. Very long pages and payloads are rows as others. Empty tables of pages
+or of media: no rows, or none that resolves. Extra columns of the input are carried along under
 their own names; the operator's own columns have to be free in it, or ValueError says which is not.
 """
 

@@ -10,7 +10,7 @@ that are still missing: a source's words differ from its target by the rounding
 To find the border no source is gathered: MD5 buckets are summed first, and only documents of a source's
 border bucket are put in order.
 
-Null source: a source of its own, last. Null text: no words, taken 0. Repeated rows: each is a document of its own;
+Null source: a source of its own, last. Null text: no words, taken 0. Of very long texts only sizes and keys are moved. Repeated rows: each is a document of its own;
 which of two equal rows gives the border's words is the only thing left open. No documents: no rows. Extra columns
 are ignored.
 """

@@ -8,7 +8,7 @@ are such bins. The plan is a list of runs (length, first rank, count, first bin,
 their length by salted counts, no length is gathered anywhere, and each finds its run by its rank.
 
 Null or empty text: the end token alone. A text of more than `max_tokens` ids is cut, its first piece taking what is
-over whole pieces. Repeated rows are packed each. Empty table: no rows. Extra columns are ignored.
+over whole pieces. A very long text is many pieces. Repeated rows are packed each. Empty table: no rows. Extra columns are ignored.
 A piece beyond a capacity on its own raises ValueError.
 """
 

@@ -8,7 +8,7 @@ few hundred rows whatever the corpus, estimates each labeler's reliability. With
 classifier is trained on kind, length, cue and edge; a candidate it gives 0.5 or more becomes a span. Base spans stay; a
 candidate that overlaps one, or an earlier candidate, does not become one.
 
-Positions are code points, ends exclusive. Null or empty text: no spans. Repeated rows: each gives its spans. Empty table:
+Positions are code points, ends exclusive. Null or empty text: no spans. Repeated rows: each gives its spans. Very long texts are searched whole. Empty table:
 no rows. No candidates: no training, base spans only. Extra columns are ignored.
 """
 

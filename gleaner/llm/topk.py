@@ -11,7 +11,7 @@ pass over one slice gives each query a floor, a score that k candidates reach, s
 
 Null vectors, and such as hold null, NaN or infinite components, take no part. Vectors shorter than the longest of a
 group count as filled up with 0. Equal scores: the smaller id first; repeated ids are candidates each, but never
-for a query with their own id. A query without candidates gets no rows. Extra columns are ignored. Scores are exact integers of any
+for a query with their own id. A query without candidates gets no rows, nor does an empty table. Extra columns are ignored. Scores are exact integers of any
 size, by Python's where 64 bits could overflow; a component or a score beyond 64 bits counts as the nearest long.
 """
 

@@ -15,7 +15,7 @@ Bound of the fit: `SAMPLE_TOXIC` and `SAMPLE_OTHER` labelled documents, those wi
 to learn from (crc32 of doc_id mod 5 is not 0), and of their words the `TRAINED_WORDS` with the most documents in each class.
 Labels of null doc_id or null toxic are not learnt from; of several labels of a document the greatest counts. No labels of either
 class, or no word that stands out: every score is the share of toxic ones (0 without any). Null or empty text: no window, scored
-like a text without distance. A text of any length is cut into windows whole. Repeated rows: each is scored, alike. Extra columns
+like a text without distance. A text of any length is cut into windows whole. Repeated rows: each is scored, alike. Empty table: no rows. Extra columns
 are ignored, or kept by `with_score` and `without_toxic`, which raise ValueError where their own column's name is taken.
 """
 
