@@ -115,13 +115,15 @@ def read_label_sheet(spark: SparkSession, path: str, schema: str, required: Sequ
     head = F.split(F.regexp_replace("record", '"', ""), sep) == F.array(*[F.lit(n) for n in names])
     rows = parsed.where("line > 1").withColumn("r", F.from_csv("record", wide.simpleString()[7:-1].replace(":", " "), options))
     blank = [(F.trim(F.coalesce(F.col(f"r.{c}").cast("string"), F.lit(""))) == "", f"blank cell: {c}") for c in required]
-    own = [F.col(f"r.{c}").alias(f"_k{i}") for i, c in enumerate(key)]
-    # A key's first row is found in each task before rows are moved.
-    first = rows.select(*own, "file", "line").groupBy(*[f"_k{i}" for i in range(len(key))]).agg(F.min(F.struct("file", "line")).alias("_first"))
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)]
-    rows = rows.join(first, same, "left")
-    again = F.struct("file", "line") != F.col("_first")
-    reason = _reasons((F.col("r").isNull() | F.col("r._broken").isNotNull(), "broken row"), *blank, (F.coalesce(again, F.lit(False)), "repeated key"))
+    own, keys = [F.col(f"r.{c}").alias(f"_k{i}") for i, c in enumerate(key)], [f"_k{i}" for i in range(len(key))]
+    # A key's first row is found in each task before rows are moved. Only keys and lines are joined here, and rows, which
+    # lie by file and line already, meet the repeated lines where they are.
+    slim = rows.select(*own, "file", "line")
+    first = slim.groupBy(*keys).agg(F.min(F.struct("file", "line")).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
+    again = slim.alias("s").join(first.alias("f"), same).where(F.struct("s.file", "s.line") != F.col("f._first")).select("s.file", "s.line", F.lit(True).alias("_again"))
+    rows = rows.join(again, ["file", "line"], "left")
+    reason = _reasons((F.col("r").isNull() | F.col("r._broken").isNotNull(), "broken row"), *blank, (F.coalesce("_again", F.lit(False)), "repeated key"))
     good = rows.select("file", "line", "record", reason.alias("reason"), *[F.col(f"r.{n}") for n in names])
     # The reason depends on the record, so that `checked` can't be moved to where the record isn't known yet.
     heads = parsed.where("line = 1").select("file", "line", "record", F.when(~head, "another header").alias("reason"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in kind]).where("reason IS NOT NULL")
