@@ -74,3 +74,22 @@ def test_wordlists_are_lexical(spark):
     got = spark.createDataFrame([(p,) for p in phrases], "p string").select(text.lexical(F.col("p")).alias("q")).collect()
     assert [r["q"] for r in got] == phrases
     assert max(len(p.split()) for p in phrases) == 5
+
+
+def test_a_title_that_ends_with_a_line_end_gets_its_mark(spark):
+    from gleaner.functions import text
+
+    df = spark.createDataFrame([("Bad.\n", "It broke"), ("Bad.", "It broke"), ("Bad\n", "It broke")], "title string, body string")
+    assert [r[0] for r in df.select(text.joined(F.col("title"), F.col("body"))).collect()] == ["Bad.\n. It broke", "Bad. It broke", "Bad\n. It broke"]
+
+
+def test_a_unit_vector_is_computed_once(spark):
+    """However many components it has, the plan names the text once, and so evaluates it once."""
+    from gleaner.operators import sentiment
+
+    df = spark.createDataFrame([("the of the", 0), (None, 1), ("", 2)], "text string, n int")
+    got = df.select("n", sentiment.hash_embed(F.col("text"), (("the", "of"), ("zz",))).alias("v"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(text") == 1
+    rows = {r["n"]: r["v"] for r in got.collect()}
+    assert [round(x, 6) for x in rows[0]] == [0.948683, 0.0, 0.316228] and rows[2] == [0.0, 0.0, 1.0] and rows[1] == [0.0] * 3
