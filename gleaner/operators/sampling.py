@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import GROUP
 from .order import positions
 
+#: Rows that a task looks at before it leaves out what can't be drawn.
+HELD = 50_000
+
 
 def priority(seed: int, id_col: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
@@ -57,11 +63,44 @@ def backfilled_sample(df: DataFrame, k: int, seed: int, most_replaced: int = 20,
     return taken, passed
 
 
+def least(df: DataFrame, keys: Sequence[str], by: str, most: int) -> DataFrame:
+    """Of each task's rows those that may be among the `most` with the least `by` of equal `keys`: what is left out is neither sorted nor moved."""
+    keys = list(keys)
+
+    def best(rows: pa.Table) -> pa.Table:
+        code = np.zeros(rows.num_rows, np.int64)
+        for k in keys:
+            c = pc.dictionary_encode(rows.column(k).combine_chunks(), null_encoding="encode")
+            code = np.unique(code * len(c.dictionary) + c.indices.to_numpy(), return_inverse=True)[1]
+        order = pc.sort_indices(pa.table({"c": code, "p": rows.column(by)}), [("c", "ascending"), ("p", "ascending")], null_placement="at_start").to_numpy()
+        code = code[order]
+        place = np.arange(len(code)) - np.searchsorted(code, code)
+        return rows.take(pa.array(order[place < most]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= HELD:
+                held = best(pa.Table.from_batches(held)).combine_chunks().to_batches()
+                # With very many keys little can be left out, and what is held is passed on.
+                n = sum(b.num_rows for b in held)
+                if n > HELD // 2:
+                    yield from held
+                    held, n = [], 0
+        if n:
+            yield from best(pa.Table.from_batches(held)).to_batches()
+
+    return df.mapInArrow(work, df.schema)
+
+
 def stratified_draw(df: DataFrame, quotas: Mapping[int, int], seed: int, stratum: str = "rating", id_col: str = "source_review_id", group: Sequence[str] = ()) -> DataFrame:
     """Each stratum's quota, drawn on its own; a stratum without enough rows has `short` true on its rows."""
     order = Window.partitionBy(*group, stratum).orderBy(priority(seed, id_col), id_col)
     quota = F.element_at(F.create_map(*[F.lit(x) for pair in quotas.items() for x in pair]), F.col(stratum).cast("int"))
-    ranked = df.withColumn("_n", F.row_number().over(order)).withColumn("_quota", quota).where("_n <= _quota")
+    few = least(df.withColumn("_p", priority(seed, id_col)), [*group, stratum], "_p", max(quotas.values(), default=0)).drop("_p")
+    ranked = few.withColumn("_n", F.row_number().over(order)).withColumn("_quota", quota).where("_n <= _quota")
     return ranked.withColumn("short", F.count("*").over(Window.partitionBy(*group, stratum)) < F.col("_quota")).drop("_n", "_quota")
 
 
