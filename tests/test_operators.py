@@ -189,3 +189,25 @@ def test_normalised_pages_equal_python(spark):
     got = [r["t"] for r in spark.createDataFrame([(x,) for x in said], "v string").select(text.normalise(F.col("v")).alias("t")).collect()]
     plain = lambda x: re.sub(r"\s+", " ", "".join(c for c in unicodedata.normalize("NFKC", html.unescape(x or "")) if c >= " " and c != "\x7f" or c in "\t\n\r")).strip()
     assert got == [plain(x) for x in said]
+
+
+def test_rows_of_a_group_are_broadcast_and_phrases_are_not_dealt_by_group(spark):
+    """A join dealt by a handful of groups would bring all phrases of one to a task, however large the tables are by Spark's measure."""
+    from gleaner.operators import phrases
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counts = spark.range(100).selectExpr("id % 2 AS app_id", "'us' AS country", "CAST(id AS STRING) AS phrase", "id AS support", "id + 1 AS rest")
+        plan = phrases.fightin_words(counts)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert phrases.fightin_words(counts).count() == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_units_are_stored_before_they_are_matched(spark):
+    from gleaner.plans import demo
+
+    u, m = demo.matched(spark, "/root/testdata/sf0.001")
+    assert all("documents" not in f for df in (u, m) for f in df.inputFiles()) and u.count() > 0
