@@ -1,7 +1,9 @@
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import grams
+from gleaner.functions import text
+from gleaner.operators import grams, phrases, sentiment
 
 TEXTS = [(1, "a b c a b", 4, 2.0), (1, "b  c", None, 1.0), (2, "a b c", 1, None), (2, None, 7, 7.0), (None, "", 7, 7.0), (None, "é b", 0, 3.0), (1, "a b", 9, 0.5)]
 
@@ -41,3 +43,25 @@ def test_words_are_cut_once(spark):
 
     plan = registry.ngrams(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") <= 20 and "zip_with" not in plan
+
+
+def test_phrases_are_tested_after_they_are_counted(spark):
+    rows = [("a", "us", f"r{i}", i, "neg pos x", "negative", True, None) for i in range(6)]
+    r = spark.createDataFrame(rows, "app_id string, country string, source_review_id string, rank int, lexical_text string, sentiment_label string, analysable boolean, created_at timestamp")
+    got = phrases._eligible(phrases.phrase_counts(r, "2026-01-01"), phrases.totals(r), ["neg"], ["app_id", "country"])
+    assert "MapInArrow" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(x["phrase"] for x in got.collect()) == ["neg pos", "neg pos x", "pos", "pos x", "x"]
+
+
+@pytest.mark.parametrize("said", ["Bad", "so (bad)!", "bad-ish", "badly", "x\tbad\n", "'bad", "...bad...", "b.ad", " bad", "bad bad", "", "né bad,", "bad ", "bad. x", None])
+def test_labels_are_those_of_stripped_words(spark, said):
+    value = F.lit(said).cast("string")
+    row = spark.range(1).select(sentiment.lexicon_scorer(value, ("bad", "two words", "x."), ())["label"].alias("label"), F.arrays_overlap(text.stripped_words(value), F.array(F.lit("bad"))).alias("found")).first()
+    assert row["label"] == ("negative" if row["found"] else "neutral")
+
+
+def test_phrases_of_clusters_are_counted_once(spark):
+    u = spark.createDataFrame([("a", "us", c, t) for c, t in ((1, "red car"), (1, "red car"), (2, "blue car"), (2, "blue sky"), (3, "one"))], "app_id string, country string, cluster int, lexical_text string")
+    got = phrases.group_phrases(u)
+    assert "MapInArrow" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["cluster"], r["phrase"], r["support"]) for r in got.collect()} >= {(1, "red", 2), (2, "blue", 2)}
