@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import shared_folder, stored
-from .sentiment import trained_scorer
+from .sentiment import hashed_words, trained_scorer
 
 
 def fold_of(text_col: str, folds: int, seed: int) -> Column:
@@ -39,8 +39,12 @@ def cross_fitted(labelled: DataFrame, folds: int = 5, seed: int = 42, text_col:
         raise ValueError(f"the input has columns named {', '.join(sorted(taken))}")
     if folds < 2:
         raise ValueError("at least two folds are needed")
-    fit = fit or (lambda df: trained_scorer(df, text_col, label_col))
-    rows = stored(labelled.withColumn(text_col, F.coalesce(text_col, F.lit(""))).withColumn("fold", fold_of(text_col, folds, seed)))
+    rows = labelled.withColumn(text_col, F.coalesce(text_col, F.lit(""))).withColumn("fold", fold_of(text_col, folds, seed))
+    names = rows.columns
+    if fit is None:
+        # Words are cut and hashed once, not for each stage of each fold.
+        rows, fit = hashed_words(rows, text_col), lambda df: trained_scorer(df, text_col, label_col, hashed_col="_tf")
+    rows = stored(rows)
     kinds = rows.where(F.col(label_col).isNotNull()).groupBy("fold", label_col).agg(F.count("*").alias("n")).collect()  # a row for each fold and label
     out = None
     for f in range(folds):
@@ -48,6 +52,6 @@ def cross_fitted(labelled: DataFrame, folds: int = 5, seed: int = 42, text_col:
             raise ValueError(f"outside of fold {f} there are fewer than two labels")
         path = shared_folder(rows.sparkSession, "model")
         fit(rows.where((F.col("fold") != f) & F.col(label_col).isNotNull())).write().save(path)
-        some = scored(PipelineModel.load(path), rows.where(F.col("fold") == f))
+        some = scored(PipelineModel.load(path), rows.where(F.col("fold") == f)).select(*names, "predicted")
         out = some if out is None else out.unionByName(some)
     return out
