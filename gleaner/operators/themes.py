@@ -15,6 +15,7 @@ from . import GROUP, linkage, similarity
 from .phrases import recent
 
 EDGES = (0.0, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0, 2.0)
+THRESHOLDS = (0.30, 0.40, 0.50, 0.60)
 GRID = tuple(round(0.20 + 0.05 * i, 2) for i in range(10))
 
 
@@ -50,7 +51,7 @@ def cluster_units(units: DataFrame, below: float, id_col: str = "unit_id", vec_c
     return units.join(found, [*group, id_col], "left").withColumn("cluster", F.coalesce("_cluster", id_col)).drop("_cluster")
 
 
-def cluster_sizes(units: DataFrame, thresholds: Sequence[float] = (0.30, 0.40, 0.50, 0.60), id_col: str = "unit_id", vec_col: str = "vector", group: Sequence[str] = GROUP, max_component: int = linkage.REST) -> DataFrame:
+def cluster_sizes(units: DataFrame, thresholds: Sequence[float] = THRESHOLDS, id_col: str = "unit_id", vec_col: str = "vector", group: Sequence[str] = GROUP, max_component: int = linkage.REST) -> DataFrame:
     """group, threshold, size, count: how many clusters of each size each threshold gives; one merge tree for all of them."""
     tree = merge_tree(units, max(thresholds), id_col, vec_col, group, max_component)
     sizes = linkage.cut(tree, thresholds, group).groupBy(*group, "threshold", "cluster").agg((F.count("*") + 1).alias("size"))
