@@ -25,16 +25,21 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import tokens
-from .common import give_back, slices, table, written
+from .common import give_back, slices, table, texts_of, written
 
 SPACE = "▁"
 CHUNK_BYTES = 5 << 20
+#: Distinct pieces that are encoded and aligned at once.
+PIECES = 16_384
+#: A row group for some chunks, looked at after each: else a file's chunks are all held by its writer, and again by who reads it.
+GROUPED = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 #: Of a chunk: its documents (ids, what the pieces give), ends and numbers of their pieces, ends and pair numbers of the pieces, its pairs, how many documents hold each.
 CHUNKS = "chunk long, doc_id array<long>, sums binary, groups_sha256 array<string>, ends binary, pieces binary, link_ends binary, links binary, pairs binary, docs binary"
 PAIRS = "chunk long, code int, pair long, n long"
@@ -115,8 +120,19 @@ def _spans(ends: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Aligned:
-    """Distinct pieces aligned: numbers of tokens, groups and links, the groups as a string; `good`: both tokenizers keep the bytes."""
+    """Distinct pieces aligned: numbers of tokens, groups and links, the groups as a string; `good`: both tokenizers keep the bytes.
 
+    Pieces are aligned some at a time, as tokens as Python's numbers and strings would be several times the texts.
+    """
+
+    def __init__(self, texts: list[str], a_path: str, b_path: str) -> None:
+        parts = [_Part(texts[i : i + PIECES], a_path, b_path) for i in range(0, len(texts), PIECES)] or [_Part([], a_path, b_path)]
+        for name in ("good", "n_a", "n_b", "n_groups", "n_links", "pairs"):
+            setattr(self, name, np.concatenate([getattr(p, name) for p in parts]))
+        self.said = list(chain.from_iterable(p.said for p in parts))
+
+
+class _Part:
     def __init__(self, texts: list[str], a_path: str, b_path: str) -> None:
         (encode_a, bytes_a), (encode_b, bytes_b) = first(a_path), second(b_path)
         a, b = encode_a(texts), encode_b([t[1:] for t in texts])
@@ -165,9 +181,9 @@ def chunks(docs: DataFrame, a_path: str, b_path: str, most: int = CHUNK_BYTES) -
         encoder = tokens.Encoder(a_path)
         for whole in batches:
             for batch in slices(whole, "text", most):
-                plain = ["" if t is None else t for t in batch.column("text").to_pylist()]
-                empty = np.array([not t for t in plain], bool)
-                ends, codes, said = encoder.pieces(pa.array([" " + t for t in plain], pa.large_string()))
+                plain = texts_of(batch, "text")
+                empty = pc.equal(pc.binary_length(plain), 0).to_numpy(zero_copy_only=False)
+                ends, codes, said = encoder.pieces(pc.binary_join_element_wise(pa.scalar("", pa.large_string()), plain, pa.scalar(" ", pa.large_string())))
                 del plain
                 of = Aligned(said, a_path, b_path)
                 n = len(empty)
@@ -222,7 +238,7 @@ def judged(chunk: pa.Table, told: pa.Table, schema: pa.Schema) -> pa.Table:
 
 def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, most: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each row of `docs` (doc_id, text)."""
-    stored = written(chunks(docs, a_path or tokens.default_tokenizer(), b_path or default_second(), most), "aligned")
+    stored = written(chunks(docs, a_path or tokens.default_tokenizer(), b_path or default_second(), most), "aligned", **GROUPED)
     each = pair_rows(stored)
     total = written(each.groupBy("pair").agg(F.sum("n").alias("docs")), "pairs").withColumn("a", F.shiftright("pair", 32))
     # A row for each id of the first tokenizer at most: its vocabulary bounds what is broadcast.

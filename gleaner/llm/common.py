@@ -60,11 +60,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write `df` to the shared folder as Parquet and read it again."""
+def written(df: DataFrame, name: str, **options: int | str) -> DataFrame:
+    """Cut the lineage: write `df` to the shared folder as Parquet, with a writer's options, and read it again."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -201,3 +201,37 @@ def test_pointers_reach_the_terminal_token():
         left, right = alignment.links(a, b)
         start = lambda ends: np.concatenate([[0], ends[:-1]])
         assert set(zip(left.tolist(), right.tolist(), strict=True)) == {(i, j) for i in range(len(a)) for j in range(len(b)) if start(a)[i] < b[j] and start(b)[j] < a[i]}
+
+
+def test_pieces_are_aligned_some_at_a_time(monkeypatch):
+    """All pieces of a chunk were tokens as Python's numbers and strings at once."""
+    a, b = tokens.default_tokenizer(), alignment.default_second()
+    texts = [" " + "".join(chr(97 + (i * 7 + k * k) % 26) for k in range(1 + i % 11)) + ("é" if i % 5 == 0 else "") for i in range(60)] + [" \u0000x"]
+    whole, sizes = alignment.Aligned(texts, a, b), []
+    encode, of = alignment.first(a)
+    monkeypatch.setattr(alignment, "first", lambda path: (lambda some: (sizes.append(len(some)), encode(some))[1], of))
+    monkeypatch.setattr(alignment, "PIECES", 8, raising=False)
+    got = alignment.Aligned(texts, a, b)
+    assert max(sizes) == 8 and sum(sizes) == len(texts)
+    for name in ("good", "n_a", "n_b", "n_groups", "n_links", "pairs"):
+        assert getattr(got, name).tolist() == getattr(whole, name).tolist() and getattr(got, name).dtype == getattr(whole, name).dtype
+    assert got.said == whole.said and alignment.Aligned([], a, b).said == []
+
+
+def test_stored_chunks_lie_in_small_row_groups(spark, monkeypatch):
+    """A file's chunks were one row group, held whole by its writer and by each task that read it."""
+    import pyarrow.parquet as pq
+
+    paths, written = [], alignment.written
+
+    def watched(df, name, **options):
+        out = written(df, name, **options)
+        paths.extend(out.inputFiles() if name == "aligned" else [])
+        return out
+
+    monkeypatch.setattr(alignment, "written", watched)
+    monkeypatch.setattr(alignment, "GROUPED", getattr(alignment, "GROUPED", {}) | {"parquet.block.size": 4096}, raising=False)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 31 + k * k) % 997}" for k in range(400))) for i in range(12)], "doc_id long, text string").coalesce(1)
+    assert alignment.align(docs, most=1).count() == 12
+    groups = [pq.ParquetFile(p.removeprefix("file:")).metadata for p in paths]
+    assert sum(m.num_rows for m in groups) == 12 and sum(m.num_row_groups for m in groups) >= 6
