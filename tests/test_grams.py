@@ -1,3 +1,4 @@
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -65,3 +66,38 @@ def test_phrases_of_clusters_are_counted_once(spark):
     got = phrases.group_phrases(u)
     assert "MapInArrow" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["cluster"], r["phrase"], r["support"]) for r in got.collect()} >= {(1, "red", 2), (2, "blue", 2)}
+
+
+def test_the_screen_lets_through_what_has_support_and_little_else(spark):
+    """Every n-gram of every chunk was spelled out, moved and stored, though few have support."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(30)), 1) for k in (1, 2, None) for _ in range(60)] + [(4, None, 1), (4, "", 1)]
+    df = spark.createDataFrame(rows, "k int, lexical_text string, a bigint").repartition(5)
+    plainly = {(r["k"], r["phrase"]): (r["a"], r["n"]) for r in grams.counted(df, ["k"], sums=["a"], count="n").collect()}
+    for least in (1, 2, 3, 70):
+        bits = spark.sparkContext.broadcast(grams.screen(df, ["k"], least))
+        got = {(r["k"], r["phrase"]): (r["a"], r["n"]) for r in grams.counted(df, ["k"], sums=["a"], count="n", screened=bits).collect()}
+        totals = {k: v for (k, p), v in got.items() if p is None}
+        got = {k: v for k, v in got.items() if k[1] is not None}
+        assert {k: v for k, v in plainly.items() if v[1] >= least}.items() <= got.items() <= plainly.items()
+        assert totals == {k: (n := sum(v[1] for (g, _), v in plainly.items() if g == k), n) for k in (1, 2, None)} | {4: (0, 0)}
+        assert least == 1 or len(got) < len(plainly) / 2
+
+
+def test_packed_codes_come_back():
+    for codes, n in (([], []), ([0], [1]), ([5, 5, (1 << 30) - 1], [300, 2, 255])):
+        got = grams._unpacked(grams._packed(np.array(codes, np.int64), np.array(n, np.int64)), len(codes))
+        assert got[0].tolist() == codes and got[1].tolist() == [min(x, 255) for x in n]
+
+
+def test_distinctive_phrases_of_what_has_support(spark):
+    rows = [("a", "us", f"r{i}", i, f"neg slow app x{i} bug{i % 3} y{i} stuck{i % 7}" if i % 2 else f"good app x{i} z bug{i % 5}", "negative" if i % 2 else "positive", True, None) for i in range(40)]
+    rows += [("b", "us", f"s{i}", i, "so bad here", "negative", True, None) for i in range(6)] + [("c", "us", "t", 0, "one", None, True, None), ("c", None, "t", 1, "neg", "negative", True, None)]
+    r = spark.createDataFrame(rows, "app_id string, country string, source_review_id string, rank int, lexical_text string, sentiment_label string, analysable boolean, created_at timestamp")
+    sizes = phrases.totals(r)
+    counts, sums = phrases.supported(r, "2026-01-01", sizes)
+    assert "MapInArrow" not in counts._jdf.queryExecution().optimizedPlan().toString() and counts.where("support < 2").isEmpty()
+    one, other = (sorted(map(tuple, phrases.distinctive_phrases(c, sizes, ["neg"], **more).collect()), key=str) for c, more in ((phrases.phrase_counts(r, "2026-01-01"), {}), (counts, {"sums": sums})))
+    assert one == other and len(one) > 2
