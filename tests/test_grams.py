@@ -101,3 +101,28 @@ def test_distinctive_phrases_of_what_has_support(spark):
     assert "MapInArrow" not in counts._jdf.queryExecution().optimizedPlan().toString() and counts.where("support < 2").isEmpty()
     one, other = (sorted(map(tuple, phrases.distinctive_phrases(c, sizes, ["neg"], **more).collect()), key=str) for c, more in ((phrases.phrase_counts(r, "2026-01-01"), {}), (counts, {"sums": sums})))
     assert one == other and len(one) > 2
+
+
+def test_areas_by_phrases_only_count_groups_without_others(spark, tmp_path, monkeypatch):
+    """Phrases of all groups were counted and stored, whether they were looked at or not."""
+    import duckdb
+
+    from gleaner.plans import registry
+
+    said = {0: "Ther of the thing was slow and bad and it did not work at all today again.", 1: "All is fine with than here.", 2: "Ther of the thing was slow and bad and it did not work at all today again.", 3: "Die slow login broke again les {}.", 4: "Nothing to say."}
+    docs = [(i, said[i % 5].format(i), "en") for i in range(80)] + [(83, "Than good login.", "en"), (88, None, "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    counted, supported = set(), phrases.supported
+
+    def watched(reviews, *more):
+        counted.update(r["app_id"] for r in reviews.select("app_id").distinct().collect())
+        return supported(reviews, *more)
+
+    monkeypatch.setattr(phrases, "supported", watched)
+    got = registry.all_areas(spark, str(tmp_path)).collect()
+    assert counted == {1, 3, 4} and {r["source"] for r in got} == {"issue_category", "theme", "phrase", None}
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(map(tuple, got), key=str) == sorted(con.execute(registry.SQL["all_areas"]).fetchall(), key=str)
